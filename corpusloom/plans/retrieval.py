@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import chunking, graph, metrics, pack, resolve, search, snapshots, vectors
-from corpusloom.session import cut, table
+from corpusloom.session import table
+from corpusloom.sources import extract
 from corpusloom.sources import files as sources
+from corpusloom.streaming import debounce
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -525,6 +527,31 @@ def grep_cost(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("term").agg(F.count("*").alias("lines"), F.sum(T.estimate_tokens(text).cast("long")).alias("tokens"))
 
 
+@query("""WITH e AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 3600000000 THEN 0 ELSE 1 END AS new FROM events),
+    b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM e)
+    SELECT CAST(user_id AS VARCHAR) AS path, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS events FROM b GROUP BY user_id, burst""")
+def debounce_bursts(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    b = debounce.bursts(ev, 3600)
+    return b.select("path", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "events")
+
+
+@query()
+def extract_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return extract.relations(extract.parse_files(table(spark, d, "files")))[0]
+
+
+@query()
+def extract_edges(spark: SparkSession, d: str) -> DataFrame:
+    s, e, _ = extract.relations(extract.parse_files(table(spark, d, "files")))
+    return resolve.resolve(e, s)
+
+
+@query()
+def extract_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return extract.relations(extract.parse_files(table(spark, d, "files")))[2]
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
