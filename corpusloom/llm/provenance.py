@@ -23,7 +23,7 @@ LEAST_FILES, LEAST_SHARE = 5, 0.9
 
 # Words that mark a tool's output in a leading comment, in the languages of the comments
 MARKERS = re.compile(
-    r"@generated\b|<auto-?generated|\bcode generated by\b|\bgenerated (?:code|file)\b|\bauto-?generated (?:by|from|file)\b"
+    r"^[\s/*#;-]*@generated\b|<auto-?generated|\bcode generated by\b|\bgenerated (?:code|file)\b|\bauto-?generated (?:by|from|file)\b"
     r"|\bfile (?:was|is|has been) (?:auto\w*[ -])?(?:produced|generated|created) (?:from|by)\b|\b(?:auto\w*[ -])(?:produced|generated) (?:from|by|file)\b"
     r"|\bgenerated (?:on|at) .{4,40}? by\b|\b(?:changes|edits|modifications) (?:will be|get|are) (?:lost|overwritten)\b|\bhand edits vanish\b"
     r"|\bdo not (?:edit|modify)(?: (?:by hand|manually|this file|directly))?\s*[.!*/-]*\s*$"
@@ -203,7 +203,7 @@ def declared(files: DataFrame) -> DataFrame:
     below = F.when(F.col("folder") == "", F.col("path")).otherwise(F.expr("substring(path, length(folder) + 2)"))
     return (
         places.join(rules, "folder")
-        .where(below.rlike(F.col("regex")))
+        .where(F.regexp_like(below, F.col("regex")))
         .groupBy("file_id", "rule_kind")
         .agg(F.max(F.struct(F.length("folder").alias("depth"), "line", "on")).alias("last"))
         .groupBy("file_id")

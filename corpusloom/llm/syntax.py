@@ -1499,7 +1499,7 @@ class Rust(Machine):
                     raise Bad("two types in a row")
                 return "T1"
             if t in ("::", "&", "&&", "mut", "dyn", "impl", "'", "+", "*", "const", "for", "->", "fn", "?", "!", "as"):
-                return "T1" if t in "'!" else "T"
+                return "T1" if t == "!" else "T"
             if t == "<":
                 stack.append("<gT1")
                 return "T"
