@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.resolve import resolve
+from corpusloom.session import prepare
 from corpusloom.sources import extract as X
 from corpusloom.sources import files as S
 
@@ -47,6 +48,7 @@ class Store:
     """An index below ROOT, a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, root: str):
+        prepare(spark)
         self.spark, self.root = spark, Path(root)
 
     def manifest(self, writing: bool = False) -> Manifest:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.session import cut
 
 # Fixed values of the reference
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -56,7 +57,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFram
     widest = 8
     near = at.select("chunk_id", "doc_len", "term", F.slice("w", F.col("pos") + 1, widest).alias("next"))
     hits = near.join(heads, "term").where(F.slice("next", 1, F.size("phrase")) == F.slice("phrase", 1, widest))
-    tf = hits.groupBy("chunk_id", "doc_len", "phrase").agg(F.count("*").alias("tf"))
+    tf = cut(hits.groupBy("chunk_id", "doc_len", "phrase").agg(F.count("*").alias("tf")))  # read twice
     df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
     n, avg_len = F.lit(stats["n"]), F.lit(float(stats["avg_len"] or 1.0))
     scored = tf.join(df, "phrase").join(asked, "phrase").select(

@@ -7,8 +7,18 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def prepare(spark: SparkSession) -> None:
+    """Settings that operators rely on.
+
+    A union of two sides that are hashed alike would be zipped partition by partition; adaptive execution can coalesce
+    the sides differently, and the job then fails. So unions do not claim a partitioning.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """The Parquet table NAME below BASE."""
+    prepare(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
