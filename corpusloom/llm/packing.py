@@ -176,7 +176,10 @@ def pack_items(calls: DataFrame, items: DataFrame) -> DataFrame:
     """
     parts = parts_of_items(calls, items)
     counts = parts.groupBy("request_id", "capacity", "size").agg(F.count("*").alias("n"))
-    runs = counts.groupBy("request_id").applyInPandas(
+    # histograms are small but costly to pack: a stated number of partitions keeps them from being coalesced into few
+    session = calls.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    runs = counts.repartition(tasks, "request_id").groupBy("request_id").applyInPandas(
         _pack, "request_id long, size int, container_no int, from_no long, to_no long"
     )
     seats = runs.select("request_id", "size", "container_no", F.explode(F.sequence("from_no", "to_no")).alias("no"))
