@@ -112,12 +112,14 @@ def _arity(params: str | None) -> int | None:
     return len([n for n in names if not re.match(r"^&?(?:'\w+\s+)?(?:mut\s+)?(?:self|cls)\b", n) and n not in ("void", "*", "/")])
 
 
-def _owner(ix: Index, line: int) -> int:
-    best, size = 0, None
-    for i, s in enumerate(ix.symbols):
-        if s["start_line"] <= line <= s["end_line"] and (size is None or s["start_line"] >= ix.symbols[best]["start_line"]):
-            best, size = i, s["end_line"] - s["start_line"]
-    return best
+def _owners(ix: Index, n: int) -> list[int]:
+    """For each of N lines the symbol of greatest first line that holds it."""
+    own = [0] * (n + 2)
+    for i in sorted(range(len(ix.symbols)), key=lambda i: (ix.symbols[i]["start_line"], i)):
+        s = ix.symbols[i]
+        for k in range(s["start_line"], min(n, s["end_line"]) + 1):
+            own[k] = i
+    return own
 
 
 def _python(ix: Index, text: str, lines: list[str]) -> bool:
@@ -135,12 +137,13 @@ def _python(ix: Index, text: str, lines: list[str]) -> bool:
             every = [*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))]
             arity = len([x for x in every if x.arg not in ("self", "cls")])
         _add(ix, "class" if isinstance(n, ast.ClassDef) else "function", n.name, lines[n.lineno - 1].strip(), n.lineno, n.end_lineno, arity)
+    own = _owners(ix, len(lines))
     for n in ast.walk(tree):
         if isinstance(n, ast.Call):
             f = n.func
             name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
             if name:
-                ix.edges.append({"src": _owner(ix, n.lineno), "kind": "calls", "dst_name": name, "dst_arity": len(n.args) + len(n.keywords), "line": n.lineno})
+                ix.edges.append({"src": own[n.lineno], "kind": "calls", "dst_name": name, "dst_arity": len(n.args) + len(n.keywords), "line": n.lineno})
         elif isinstance(n, ast.Import):
             ix.edges += [{"src": 0, "kind": "imports", "dst_name": a.name, "dst_arity": None, "line": n.lineno} for a in n.names]
         elif isinstance(n, ast.ImportFrom) and n.module and not n.level:
@@ -193,6 +196,7 @@ def _generic(ix: Index, lang: str, text: str, lines: list[str]) -> None:
     for i, s in enumerate(lines, 1):
         if imp and (m := imp.search(s)):
             ix.edges.append({"src": 0, "kind": "imports", "dst_name": m[1], "dst_arity": None, "line": i})
+    own = _owners(ix, len(lines) + 1)
     for i, s in enumerate(bare, 1):
         if i in taken and lang != "bash":
             continue
@@ -205,7 +209,7 @@ def _generic(ix: Index, lang: str, text: str, lines: list[str]) -> None:
                 inside += s[k]
                 k += 1
             name = m[1] + m[2] if m[1].endswith("::") else m[2]
-            ix.edges.append({"src": _owner(ix, i), "kind": "calls", "dst_name": name, "dst_arity": _arity(lines[i - 1][m.end() : k - 1] if k <= len(lines[i - 1]) else inside[:-1]), "line": i})
+            ix.edges.append({"src": own[i], "kind": "calls", "dst_name": name, "dst_arity": _arity(lines[i - 1][m.end() : k - 1] if k <= len(lines[i - 1]) else inside[:-1]), "line": i})
 
 
 def _chunks(ix: Index, lines: list[str]) -> None:
