@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOLERANCE, SLACK = 0.02, 1e-9  # fixed values of the reference
@@ -41,6 +41,30 @@ def pooled(units: DataFrame, group: str, metrics: list[str]) -> DataFrame:
     return units.rollup(group).agg(F.count("*").alias("n"), *(F.round(F.coalesce(F.avg(m), F.lit(0.0)), 4).alias(m) for m in metrics))
 
 
+def label_quality(near: DataFrame, labels: DataFrame, digits: int | None = 4) -> DataFrame:
+    """Quality of ranked neighbours where every other vector of a query's label is relevant, however many there are.
+
+    NEAR is ``qid, chunk_id, rank``, LABELS ``vec_id, label``; the query itself takes no rank. Columns ``qid, label,
+    recall10, rr, ndcg10, clean5``. Labels meet the ten ranked ids and the size of the relevant set is a count, so no
+    pairs are formed. A query without a label, or alone in it, has nothing to find and is left out.
+    """
+    w = Window.partitionBy("qid").orderBy("rank")
+    top = near.where(F.col("chunk_id") != F.col("qid")).withColumn("at", F.row_number().over(w)).where(F.col("at") <= 10)
+    size = labels.where(F.col("label").isNotNull()).groupBy("label").agg((F.count("*") - 1).alias("size")).where(F.col("size") > 0)
+    asked = labels.select(F.col("vec_id").alias("qid"), "label").join(size, "label")
+    found = labels.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("its"))
+    hit = F.coalesce(F.col("its") == F.col("label"), F.lit(False))
+    gain = lambda at: 1.0 / F.log2(at + F.lit(1.0))
+    sums = top.join(asked, "qid").join(found, "chunk_id", "left").groupBy("qid", "label", "size").agg(
+        F.sum(hit.cast("int")).alias("n10"), F.sum((hit & (F.col("at") <= 5)).cast("int")).alias("n5"),
+        F.coalesce(F.max(F.when(hit, 1.0 / F.col("at"))), F.lit(0.0)).alias("rr"),
+        F.coalesce(F.sum(F.when(hit, gain(F.col("at")))), F.lit(0.0)).alias("got"),
+    )
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("size"), F.lit(10)).cast("int")), F.lit(0.0), lambda a, x: a + gain(x))
+    cols = {"recall10": F.col("n10") / F.col("size"), "rr": F.col("rr"), "ndcg10": F.col("got") / ideal, "clean5": 1 - F.col("n5") / F.col("size")}
+    return sums.select("qid", "label", *((c if digits is None else F.round(c, digits)).alias(n) for n, c in cols.items()))
+
+
 def edge_quality(returned: DataFrame, labelled: DataFrame) -> DataFrame:
     """One row ``found, returned, labelled, precision, recall`` of labelled (src_id, dst_id) against returned edges."""
     r = returned.select("src_id", "dst_id").where(F.col("dst_id").isNotNull()).distinct()
@@ -66,8 +90,6 @@ def nearest_rank(values: DataFrame, group: str, value: str, percents: list[int])
 
     Equal values are counted first, then the running counts are looked up, so no group is collected.
     """
-    from pyspark.sql import Window
-
     n = values.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
     w = Window.partitionBy(group).orderBy(value)
     run = n.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("c").over(Window.partitionBy(group)))

@@ -464,6 +464,17 @@ def pooled_quality(spark: SparkSession, d: str) -> DataFrame:
     return metrics.pooled(u, "label", ["recall10"])
 
 
+@query()
+def retrieval_quality_all(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.label_quality(_nearest(spark, d, 11), table(spark, d, "embeddings").select("vec_id", "label")).drop("label")
+
+
+@query()
+def pooled_quality_all(spark: SparkSession, d: str) -> DataFrame:
+    lab = table(spark, d, "embeddings").select("vec_id", "label")
+    return metrics.pooled(metrics.label_quality(_nearest(spark, d, 11), lab, None), "label", ["recall10"])
+
+
 @query(f"""WITH {_SYM}, {_EDGE}, {_RESOLVED}, want AS (SELECT DISTINCT src_id, dst_id FROM edge WHERE kind = 'calls' AND dst_id IS NOT NULL),
     ret AS (SELECT DISTINCT src_id, dst_id FROM resolved WHERE kind = 'calls' AND dst_id IS NOT NULL AND src_id IN (SELECT src_id FROM want)), got AS (SELECT * FROM want INTERSECT SELECT * FROM ret)
     SELECT f.n AS found, r.n AS returned, w.n AS labelled, round(f.n / r.n, 4) AS precision, round(f.n / w.n, 4) AS recall

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +133,24 @@ def test_metrics(spark):
     assert [r.metric for r in metrics.ratchet(b, c).collect()] == ["n"]
 
 
+def test_label_quality_counts_the_whole_label(spark):
+    rnd = random.Random(3)
+    label = {i: rnd.choice("aab") for i in range(1, 91)} | {91: "alone", 92: None}
+    near = {q: rnd.sample([i for i in label if i != q], 12) for q in (1, 2, 3, 91, 92)}
+    for q in near:
+        near[q].insert(rnd.randint(0, 4), q)
+    want = {}
+    for q in (1, 2, 3):
+        relevant = {i for i in label if label[i] == label[q] and i != q}
+        assert len(relevant) > 20
+        hits = [i in relevant for i in near[q] if i != q][:10]
+        gain = lambda hs: sum(h / math.log2(k + 2) for k, h in enumerate(hs))
+        want[q] = (sum(hits) / len(relevant), next((1 / (k + 1) for k, h in enumerate(hits) if h), 0.0), gain(hits) / gain([1] * min(10, len(relevant))), 1 - sum(hits[:5]) / len(relevant))
+    ranked = spark.createDataFrame([(q, i, k + 1) for q, ids in near.items() for k, i in enumerate(ids)], "qid long, chunk_id long, rank int")
+    got = metrics.label_quality(ranked, spark.createDataFrame(list(label.items()), "vec_id long, label string"), None).collect()
+    assert {r.qid: (r.recall10, r.rr, r.ndcg10, r.clean5) for r in got} == {q: pytest.approx(v) for q, v in want.items()}
+
+
 def test_chunking(spark):
     df = spark.createDataFrame([(1, "a\nb\n\n}\n \nc"), (2, ""), (3, None)], "id long, content string")
     assert sorted(tuple(r) for r in chunking.line_runs(df).collect()) == [(1, 1, 2, "a\nb"), (1, 6, 6, "c")]
