@@ -12,8 +12,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,7 +42,7 @@ _LEX = {
     "go": rf"(?P<c>{_SLASH})|{_STR}|{_CHR}|`[^`]*`|{_OPEN[:-1]}|')",
     "c": rf"(?P<c>{_SLASH}|^[ \t]*#(?:\\\n|[^\n])*)|{_STR}|{_CHR}|{_OPEN[:-1]}|')",
     "rust": rf"(?P<c>{_SLASH})|b?r(?P<h>#*)\".*?\"(?P=h)|b?\"(?:\\.|[^\"\\])*\"|b?'(?:\\[^\n']*?|[^'\\\n])'|'[A-Za-z_]\w*|{_OPEN[:-1]}|')",
-    "ruby": rf"(?P<c>^=begin\b.*?^=end\b[^\n]*|#(?!\{{)[^\n]*)|<<[~-]?[\"']?(?P<h>[A-Z]\w*)[\"']?[^\n]*\n(?:.*?\n)?[ \t]*(?P=h)\b"
+    "ruby": rf"(?P<c>^=begin\b.*?^=end\b[^\n]*|#(?!\{{)[^\n]*)|<<[~-]?[\"']?(?P<h>[A-Z]\w*+)[\"']?[^\n]*\n(?:.*?\n)??[ \t]*(?P=h)\b"
     rf"|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`[^`\n]*`|%[wiqQ]?[\[({{][^\])}}]*[\])}}]|(?P<bad>^=begin\b|\"|')",
 }
 _LEX["typescript"] = _LEX["javascript"]
@@ -72,9 +71,43 @@ _CONFLICT = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?:\s|$)", re.M)
 _TOKEN = re.compile(r"[a-zA-Z_]+|@|\.\.[.=]?|::|=>|->|:=|<-|\?\.|\?\?=?|&&=?|\|\|=?|\+\+|--|===?|!==?|<<=?|>>>?=?|[-+*/%&|^<>!=]=|\*\*|[^\s]")
 _BLANKS = re.compile(r"[ \t\r\f\v]+")
 
-#: Lexer states in which a chunk may be entered.
+#: Lexer states in which a chunk of any language may be entered. Others are named by what ends them: "raw ##", "here TAG".
 STATES = ("code", "block", "tick", "string")
-_ENDS = {"block": re.compile(r"\*/"), "tick": re.compile(r"(?:\\.|[^`\\])*`", re.S), "string": re.compile(r'(?:\\.|[^"\\])*"', re.S)}
+_ENDS = {
+    "block": re.compile(r"\*/"), "tick": re.compile(r"\A(?:\\.|[^`\\])*`", re.S), "string": re.compile(r'\A(?:\\.|[^"\\])*"', re.S),
+    "char": re.compile(r"\A(?:\\.|[^'\\])*'", re.S), "text": re.compile('"""'), "go": re.compile("`"),
+    "percent": re.compile(r"[\])}]"), "begin": re.compile(r"^=end\b[^\n]*", re.M),
+}
+# what opens a construct that its chunk does not close, where the lexer would read on at something shorter
+_UNCLOSED = {
+    "java": r'(?P<open>"""(?!.*?"""))|',
+    "rust": r'(?P<open>b?r(?P<end>#*)"(?!.*?"(?P=end)))|',
+    "ruby": r"(?P<open><<[~-]?[\"']?(?P<end>[A-Z]\w*+)[\"']?[^\n]*\n(?!(?:.*?\n)?[ \t]*(?P=end)\b)|%[wiqQ]?[\[({](?![^\])}]*[\])}]))|",
+}
+_SCANNERS = {k: re.compile(_UNCLOSED.get(k, "") + v, re.S | re.M) for k, v in _LEX.items()}
+_OPENED = {
+    "javascript": {"/*": "block", "`": "tick"}, "typescript": {"/*": "block", "`": "tick"}, "java": {"/*": "block"}, "c": {"/*": "block"},
+    "go": {"/*": "block", "`": "go"}, "rust": {"/*": "block", '"': "string"}, "ruby": {"=begin": "begin", '"': "string", "'": "char"},
+}
+
+
+def _end(state: str) -> re.Pattern:
+    """What ends STATE in a chunk that is entered in it."""
+    kind, _, tag = state.partition(" ")
+    if kind == "raw":
+        return re.compile(re.escape('"' + tag))
+    return re.compile(rf"^[ \t]*{tag}\b", re.M) if kind == "here" else _ENDS[state]
+
+
+def _opened(m: re.Match, lang: str) -> str:
+    """The state that the match M of a scanner leaves the lexer in."""
+    if _UNCLOSED.get(lang) and m["open"]:
+        if lang == "java":
+            return "text"
+        if lang == "rust":
+            return "raw " + m["end"]
+        return "here " + m["end"] if m["end"] else "percent"
+    return _OPENED[lang].get(m[0], "code") if m.lastgroup == "bad" else "code"
 
 
 def _flat(m: re.Match) -> str:
@@ -90,27 +123,37 @@ def _flat(m: re.Match) -> str:
     return '"'
 
 
-def chunk_map(text: str, lang: str) -> dict[str, tuple[str, int]]:
-    """For each state in which the chunk TEXT may be entered: the state after it, and where code begins in it."""
+def chunk_map(text: str, lang: str, states: Iterable[str] = STATES) -> dict[str, tuple[str, int]]:
+    """For each of STATES in which the chunk TEXT may be entered: the state after it, and where code begins in it."""
     out = {}
-    for state in STATES:
+    for state in states:
         at = 0
         if state != "code":
-            m = _ENDS[state].match(text) if state != "block" else _ENDS[state].search(text)
+            m = _end(state).search(text)
             if m is None:
                 out[state] = (state, len(text))
                 continue
             at = m.end()
         left = "code"
-        for m in _LEXERS[lang].finditer(text, at):
-            if m.lastgroup == "bad":
-                left = {"/*": "block", "`": "tick", "=begin": "block"}.get(m[0], "string" if lang in ("rust", "ruby") else "code")
-                if left != "code":
-                    break
+        for m in _SCANNERS[lang].finditer(text, at):
+            left = _opened(m, lang)
+            if left != "code":
+                break
         out[state] = (left, at)
     return out
 
 
+def chunk_maps(parts: list[str], lang: str) -> list[dict[str, tuple[str, int]]]:
+    """The map of each of PARTS over all states in which one of them can be left."""
+    maps, known, new = [{} for _ in parts], set(), {"code"}
+    while new:
+        for m, p in zip(maps, parts):
+            m |= chunk_map(p, lang, new)
+        known |= new
+        new = {t for m in maps for t, _ in m.values()} - known
+    return maps
+
+
 def compose(a: dict[str, tuple[str, int]], b: dict[str, tuple[str, int]]) -> dict[str, tuple[str, int]]:
     """The map of one chunk followed by another; associative."""
     return {s: (b[t][0], at) for s, (t, at) in a.items()}
@@ -142,11 +185,25 @@ def join_brackets(a: tuple[str, str], b: tuple[str, str]) -> tuple[str, str]:
     return a[0] + b[0][n:], a[1][: len(a[1]) - n] + b[1]
 
 
+_SLASHED = re.compile(r"\s*/(?![*/\s])")
+
+
 def chunks(text: str, size: int = CHUNK) -> list[str]:
-    """TEXT cut at line ends into parts of about SIZE characters."""
+    """TEXT cut at line ends into parts of about SIZE characters.
+
+    No cut follows a backslash, which continues strings and directives, or stands before a slash, which may begin a
+    regular expression only because of what is before it.
+    """
     out, at = [], 0
     while len(text) - at > size:
         end = text.find("\n", at + size)
+        while end >= 0:
+            if text[end - 1] == "\\":
+                end = text.find("\n", end + 1)
+            elif m := _SLASHED.match(text, end + 1):
+                end = text.find("\n", m.end())
+            else:
+                break
         if end < 0:
             break
         out.append(text[at : end + 1])
@@ -155,23 +212,24 @@ def chunks(text: str, size: int = CHUNK) -> list[str]:
 
 
 def _codes(text: str, lang: str, size: int) -> list[str]:
-    """The chunks of TEXT with comments dropped and strings marked. A construct open at its end runs into the next."""
+    """The chunks of TEXT with comments dropped and strings marked. A construct open at its end runs into the next.
+
+    What is open at the end of TEXT stays one chunk from where it was opened, for the lexer to say whether it is an error.
+    """
     parts = chunks(text, size)
     if len(parts) > 1:
-        maps = [chunk_map(p, lang) for p in parts]
-        if reduce(compose, maps)["code"][0] != "code":
-            raise Bad("a comment or string is not closed")
-        merged, held, state = [], "", "code"
-        for p, m in zip(parts, maps):
-            held += p
+        # the line end before a later chunk tells the lexer that it is not at the start of the text
+        merged, held, state = [], [], "code"
+        for p, m in zip(parts, chunk_maps([parts[0], *("\n" + p for p in parts[1:])], lang)):
+            held.append(p)
             state = m[state][0]
             if state == "code":
-                merged.append(held)
-                held = ""
-        parts = merged
+                merged.append("".join(held))
+                held = []
+        parts = [*merged, "".join(held)]
     out = []
-    for p in parts:
-        code = _LEXERS[lang].sub(_flat, p)
+    for k, p in enumerate(parts):
+        code = _LEXERS[lang].sub(_flat, "\n" + p if k else p)
         if "\x00" in code:
             raise Bad("a comment or string is not closed")
         out.append(code)

@@ -140,6 +140,29 @@ def test_broken(lang, text):
     assert syntax.why_invalid(text, lang, size=20) is not None
 
 
+STRADDLING = [
+    ("ruby", "x = 1\n=begin\nit's */ end end (\n\"\n=end\ny = 2\n"), ("ruby", "a = <<~EOS\n  it's (\n  E\n  \"\nEOS\nb = 1\n"), ("ruby", "a = 'it (\n\" end\n'\nb = %w[a\n\" (\nc]\nc = 2\n"), ("ruby", "a = <<E\nE\nb = 'x'\nE.f(1)\n"), ("ruby", "a = b <<LIMIT\nc = 1\nd = 2\n"),
+    ("java", 'class A {\n    String s = """\n        it\'s "x" (\n        { "\n        """;\n    int i = 1;\n}\n'), ("c", "#define F(a) \\\n  do { (a); \\\n  \" \\\n  x(\nint x = 1;\nchar *s = \"a \\\n(b\";\n"),
+    ("go", "package a\n\nvar s = `a \\\n( \" \\`\n\nvar x = 1\n"), ("rust", 'fn f() {\n    let s = r#"a\n "quoted" (\n \\"#;\n    let t = "b\n( \\" {";\n    let u = r"c\n\\";\n}\n'),
+    ("javascript", "const a =\n/[\"'`(]/;\nconst s = 'a \\\n(b';\nf(`x\n\\` ( \n`);\n/* '\n( */\n"), ("javascript", "a();\n#!b (\nc();\n"), ("java", 'class A {\n    String s = """\n    (\n}\n'), ("ruby", "x = 1\n=begin\nend\n"), ("rust", 'fn f() {\n    g(r#"a\n");\n}\n'),
+]
+
+
+@pytest.mark.parametrize("lang,text", STRADDLING + [x for x in VALID + BROKEN if x[0] != "python"])
+def test_verdict_is_the_same_for_all_chunk_sizes(lang, text):
+    whole = syntax.why_invalid(text, lang, size=len(text)) is None
+    if (lang, text) in STRADDLING[:10]:
+        assert whole
+    assert [n for n in range(1, len(text)) if (syntax.why_invalid(text, lang, size=n) is None) != whole] == []
+
+
+@pytest.mark.parametrize("lang,text", STRADDLING)
+def test_maps_of_all_states_are_associative(lang, text):
+    maps = syntax.chunk_maps(syntax.chunks(text, 9), lang)
+    for a, b, c in zip(maps, maps[1:], maps[2:]):
+        assert syntax.compose(syntax.compose(a, b), c) == syntax.compose(a, syntax.compose(b, c))
+
+
 def test_chunk_summaries_are_associative():
     text = "a = 1; /* x\n y */ b = \"q\";\n`t\nu` c(\n[d]\n);\n// e\n" * 5
     parts = syntax.chunks(text, 7)
