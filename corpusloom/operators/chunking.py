@@ -83,14 +83,16 @@ def skeletons(symbols: DataFrame) -> DataFrame:
 
 def cap(text: Column) -> Column:
     """TEXT up to LIMIT tokens: longer ones keep whole lines, at least a cut first line, and end with a mark."""
-    lines = F.filter(F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+$"), F.lit(0)), lambda x: x != "")
+    lines = F.transform(
+        F.filter(F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+$"), F.lit(0)), lambda x: x != ""), lambda x: F.regexp_replace(x, r"\r?\n\z", "")
+    )
     zero = F.struct(F.lit("").alias("out"), F.lit(False).alias("full"))
     size = lambda c: F.floor(F.length(c) / 4)
     step = lambda a, x: F.when(
-        ~a["full"] & (size(a["out"]) + size(x) <= KEEP), F.struct(F.concat(a["out"], x).alias("out"), F.lit(False).alias("full"))
+        ~a["full"] & (size(a["out"]) + size(x) <= KEEP), F.struct(F.concat(a["out"], x, F.lit("\n")).alias("out"), F.lit(False).alias("full"))
     ).otherwise(F.struct(a["out"].alias("out"), F.lit(True).alias("full")))
     kept = F.aggregate(lines, zero, step, lambda a: a["out"])
-    short = F.when(kept == "", F.concat(F.substring(text, 1, HARD_CUT), F.lit("\n"))).otherwise(kept)
+    short = F.when(kept == "", F.concat(F.substring(F.get(lines, F.lit(0)), 1, HARD_CUT), F.lit("\n"))).otherwise(kept)
     return F.when(size(text) <= LIMIT, text).otherwise(F.concat(short, F.lit(MARK)))
 
 

@@ -180,8 +180,7 @@ def kind_promotion(spark: SparkSession, d: str) -> DataFrame:
     WHERE s.kind IN ('class', 'struct', 'enum', 'trait', 'interface') AND trim(coalesce(s.sig, '') || chr(10) || coalesce(k.body, ''), E' \\n') <> ''
     AND floor(length(coalesce(s.sig, '') || chr(10) || coalesce(k.body, '')) / 4) <= 512""")
 def container_skeletons(spark: SparkSession, d: str) -> DataFrame:
-    s = chunking.skeletons(table(spark, d, "symbols")).where(~F.endswith("content", F.lit(chunking.MARK)))
-    return s.select("id", F.md5(F.encode("content", "UTF-8")).alias("skeleton_md5"))
+    return chunking.skeletons(table(spark, d, "symbols")).select("id", F.md5(F.encode("content", "UTF-8")).alias("skeleton_md5"))
 
 
 # --- search -----------------------------------------------------------------------------------------------------------

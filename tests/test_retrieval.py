@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import chunking, graph, metrics, pack, resolve, search, vectors
+from corpusloom.plans import retrieval
 from corpusloom.sources import extract
 from corpusloom.sources.files import file_class
 
@@ -161,6 +163,30 @@ def test_chunking(spark):
     assert len(parts) >= 2 and all(p.startswith("def f():\n") for p in parts[1:])
 
 
+def test_container_skeletons_keep_large_classes(spark, tmp_path):
+    names = {2: 3, 3: 120, 4: 900}
+    rows = [(i, 1, f"C{i}", f"a.C{i}", "class", f"class C{i}:", i, i, None, None) for i in names]
+    rows += [(i * 1000 + k, 1, f"f{k}", f"a.C{i}.f{k}", "method", f"def f{k}(self, value):", k, k, i, 1) for i, n in names.items() for k in range(n)]
+    rows += [(5, 1, "D", "a.D", "struct", "struct D" + "<T>" * 900, 1, 1, None, None), (6, 1, "E", "a.E", "trait", "x" * 2040, 1, 1, None, None)]
+    rows += [(6000 + k, 1, "f", "a.E.f", "method", "f" * (k % 9), k, k, 6, 0) for k in range(40)]
+    rows += [(7, 1, "G", "a.G", "enum", "enum G {", 1, 1, None, None), *((7000 + k, 1, "f", "a.G.f", "method", "f" * (k % 3), k, k, 7, 0) for k in range(700))]
+    spark.createDataFrame(rows, SYM).write.parquet(f"{tmp_path}/symbols.parquet")
+    want = {}
+    for i in range(2, 8):
+        text = next(r[5] for r in rows if r[0] == i) + "\n" + "".join(f"    {r[5]}\n" for r in sorted(rows, key=lambda r: (r[6], r[0])) if r[8] == i)
+        if len(text) // 4 > 512:
+            kept = ""
+            for line in text.splitlines():
+                if len(kept) // 4 + len(line) // 4 > 508:
+                    kept = kept or line[:2048] + "\n"
+                    break
+                kept += line + "\n"
+            text = kept + "… (truncated)\n"
+        want[i] = hashlib.md5(text.encode()).hexdigest()
+    got = {r.id: r.skeleton_md5 for r in retrieval.container_skeletons(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_embedding(spark):
     c = spark.createDataFrame([(i, f"text {i}") for i in range(70)] + [(99, None)], "chunk_id long, content string")
     rows = vectors.embed(c, vectors.HashEmbedder).collect()
