@@ -1,8 +1,8 @@
 """Generated, minified or vendored source files (problem 1).
 
 Three kinds of evidence are combined: what repositories declare in attribute files (glob patterns, the deepest folder
-and the last line winning), what the content of a file shows, and path patterns mined from the files whose content is
-plain, which are then applied to files that declare and show nothing.
+and the last line winning), what the content of a file shows, and path patterns mined from the files that are
+declared or whose content is plain, which are then applied to files that declare and show nothing.
 """
 
 from __future__ import annotations
@@ -127,7 +127,7 @@ def _patterns(path: Column) -> Column:
 
 
 def mine_patterns(seen: DataFrame, least_files: int = LEAST_FILES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """Path patterns that nearly always go with plain evidence: ``pattern, kind, files, share``."""
+    """Path patterns that nearly always go with declared kinds or plain evidence: ``pattern, kind, files, share``."""
     each = seen.where(F.col("path").isNotNull()).select("kind", F.explode(_patterns(F.col("path"))).alias("pattern"))
     n = each.groupBy("pattern", "kind").agg(F.count("*").alias("n"))
     return (
@@ -217,14 +217,26 @@ def declared(files: DataFrame) -> DataFrame:
 def classify_files(files: DataFrame) -> DataFrame:
     """Every row of FILES with ``kind`` generated, minified, vendored or data, null for hand-written, and ``reason``.
 
-    A declaration decides; else content; else the conventions of names and folders; else a mined pattern. Null and empty
+    A declaration decides; else content; else the conventions of names and folders; else a mined pattern. Patterns are
+    mined from declared files and from content alike; what is declared hand-written speaks against them. Null and empty
     content shows nothing; a null path has no pattern. One pass reads the content where it lies; what is joined and
     counted afterwards are paths. The evidence of the pass is kept by a checkpoint, since it is used twice.
     """
-    looked = cut(files.select(F.col("id").alias("file_id"), "repo", "lang", "path", "content").mapInPandas(_look, EVIDENCE))
+    looked = files.select(F.col("id").alias("file_id"), "repo", "lang", "path", "content").mapInPandas(_look, EVIDENCE)
+    said = F.col("declared").isNotNull()
+    if files.where(F.element_at(F.split("path", "/"), -1) == ATTRIBUTES).select("path").take(1):
+        looked = looked.join(declared(files), "file_id", "left").select(
+            "file_id", "repo", "lang", "path", "declared",
+            F.when(~said, F.col("kind")).when(F.col("declared"), F.col("declared_kind")).alias("kind"),
+            F.when(~said, F.col("reason")).otherwise(F.lit("declared")).alias("reason"),
+        )
+    else:
+        looked = looked.withColumn("declared", F.lit(None).cast("boolean"))
+    looked = cut(looked)
     rules = mine_patterns(looked)
-    plain = looked.where(F.col("kind").isNotNull())
-    open_ = looked.where(F.col("kind").isNull())
+    names = ["file_id", "repo", "lang", "path", "kind", "reason"]
+    plain = looked.where(F.col("kind").isNotNull() | said).select(names)
+    open_ = looked.where(F.col("kind").isNull() & ~said).select(names)
     named = open_.withColumn("p", _by_path(F.col("path")))
     mined = (
         open_.where(F.col("path").isNotNull())
@@ -238,15 +250,7 @@ def classify_files(files: DataFrame) -> DataFrame:
         F.coalesce("p.kind", "m.rule_kind").alias("kind"),
         F.coalesce("p.reason", F.concat(F.lit("pattern "), F.col("m.pattern"))).alias("reason"),
     )
-    both = plain.unionByName(rest)
-    if not files.where(F.element_at(F.split("path", "/"), -1) == ATTRIBUTES).select("path").take(1):
-        return both
-    d = declared(files)
-    return both.join(d, "file_id", "left").select(
-        "file_id", "repo", "lang", "path",
-        F.when(F.col("declared").isNull(), F.col("kind")).when(F.col("declared"), F.col("declared_kind")).alias("kind"),
-        F.when(F.col("declared").isNull(), F.col("reason")).otherwise(F.lit("declared")).alias("reason"),
-    )
+    return plain.unionByName(rest)
 
 
 def _by_path(path: Column) -> Column:

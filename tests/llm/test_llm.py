@@ -55,6 +55,18 @@ def test_mined_patterns(spark):
     assert kinds[7] == "generated" and kinds[8] is None
 
 
+def test_patterns_are_mined_from_declarations(spark):
+    a = [("a/.gitattributes", None, "stubs/** linguist-generated\nlib/** linguist-vendored\nmade/** -linguist-generated\n")]
+    a += [(f"a/stubs/f{k}.py", "python", "x = 1\n") for k in range(12)] + [(f"a/made/f{k}.py", "python", "# @generated\n") for k in range(2)]
+    b = [("b/stubs/q.py", "python", "x = 1\n"), ("b/lib/q.py", "python", "x = 1\n")] + [(f"b/made/f{k}.py", "python", "# @generated\n") for k in range(9)] + [("b/made/q.py", "python", "x = 1\n")]
+    got = {r.path: (r.kind, r.reason) for r in provenance.classify_files(files(spark, *a, *b)).collect()}
+    assert got["a/stubs/f0.py"] == ("generated", "declared") and got["a/made/f0.py"] == (None, "declared")
+    assert got["b/stubs/q.py"] == ("generated", "pattern /stubs/")
+    assert got["b/lib/q.py"] == (None, None)  # nothing is there in the declared folder
+    assert got["b/made/f0.py"][0] == "generated" and got["b/made/q.py"] == (None, None)  # two of twelve are declared hand-written
+    assert len(got) == len(a + b)
+
+
 # --- 2 ----------------------------------------------------------------------------------------------------------------
 
 
