@@ -204,10 +204,11 @@ _LOOKALIKE = str.maketrans(
 _LEET = str.maketrans("@$013457!", "asoieast" + "i")
 _HIDDEN = re.compile("[​-‏⁠﻿­]")
 _ODD = re.compile(
-    r"(?<=[^\W\d_])[@$*013457!]+[^\W\d_]|[@$013457][^\W\d_]|(?<=[a-zA-Z])[@$](?!\w)|(?<=[a-zA-Z])(?:\*{2,}|-{3,})|[Ѐ-ӿԁһɡѕі]"
-    r"|\b\w[ .*_-]{1,3}\w[ .*_-]{1,3}\w[ .*_-]{1,3}\w\b"
+    r"(?<=[^\W\d_])[@$*013457!]+[^\W\d_]|[@$013457][^\W\d_]|(?<=[a-zA-Z])[@$!](?!\w)|(?<=[a-zA-Z])(?:\*{2,}|-{3,})|[Ѐ-ӿԁһɡѕі]"
+    r"|\b\w(?:[ .*_-]{1,3}\w){3,}(?!\w)"
 )
 _TRIPLES = [chr(c) * 3 for c in range(97, 123)]
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<![\w@$])[\w@$](?:[ .*_-]{1,3}[\w@$]){2,}(?![\w@$])")
 _MASKED = re.compile(r"(?<!\w)[a-z](?:\*{2,}|-{3,}|\*+\w?\*+)[a-z]?(?!\w)")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -220,7 +221,7 @@ def disguised(text: str) -> bool:
     if _ODD.search(text) or _HIDDEN.search(text):
         return True
     low = text.lower()
-    return any(x in low for x in _TRIPLES)
+    return any(x in low for x in _TRIPLES) or not text.isascii() and _TRIPLE.search(low) is not None
 
 
 def _list(text: str) -> list[str]:

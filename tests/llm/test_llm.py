@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -374,6 +375,16 @@ def test_examples(field, text, bad):
     assert (toxicity.Scorer(field).document(text)[0] >= 0.5) is bad
 
 
+def test_disguises_of_any_kind_are_seen():
+    was = re.compile(r"[^\W\d_][@$*013457!]+[^\W\d_]|[@$013457][^\W\d_]|(?<!\w)\w(?:[ .*_-]{1,3}\w){3,}(?!\w)|([^\W\d_])\1\1|[Ѐ-ӿԁһɡѕі]|[a-zA-Z](?:\*{2,}|-{3,})|[a-zA-Z][@$!](?!\w)")
+    for text in ("you m_o_r_o_n", "you are an idiot! go", "scheiß ééé", "i d i o t"):
+        assert was.search(text) and toxicity.disguised(text)
+    rnd = random.Random(2)
+    for _ in range(20000):
+        text = "".join(rnd.choice("ab1@$!*-_. éßСA") for _ in range(rnd.randint(1, 12)))
+        assert toxicity.disguised(text) or not was.search(text), text
+
+
 def test_marginals_by_enumeration(field):
     words = ["you", "idiot", "read", "it"]
     import numpy as np
