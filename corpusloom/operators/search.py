@@ -53,10 +53,10 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFram
     phrases = asked.select("phrase").distinct()
     heads = phrases.select(F.col("phrase")[0].alias("term"), "phrase")
     at = words.select("chunk_id", F.size("w").alias("doc_len"), "w", F.posexplode("w").alias("pos", "term"))
-    # the terms that follow are cut from the chunk's own list, so no positions are joined
-    widest = 8
+    # the terms that follow are cut from the chunk's own list, so no positions are joined; as many as the longest phrase has
+    widest = phrases.agg(F.max(F.size("phrase")).alias("n")).first()["n"] or 1  # one row
     near = at.select("chunk_id", "doc_len", "term", F.slice("w", F.col("pos") + 1, widest).alias("next"))
-    hits = near.join(heads, "term").where(F.slice("next", 1, F.size("phrase")) == F.slice("phrase", 1, widest))
+    hits = near.join(heads, "term").where(F.slice("next", 1, F.size("phrase")) == F.col("phrase"))
     tf = cut(hits.groupBy("chunk_id", "doc_len", "phrase").agg(F.count("*").alias("tf")))  # read twice
     df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
     n, avg_len = F.lit(stats["n"]), F.lit(float(stats["avg_len"] or 1.0))

@@ -94,6 +94,13 @@ def test_bm25_against_brute_force(spark):
     assert got == pytest.approx(want, abs=1e-6)
 
 
+def test_bm25_compares_whole_phrases(spark):
+    a, b = "a b c d e f g h i".split(), "a b c d e f g h j k".split()
+    df = spark.createDataFrame([(1, "_".join(a)), (2, " ".join(b)), (3, "_".join(a[:8]))], "chunk_id long, content string")
+    q = spark.createDataFrame([(0, "_".join(a)), (1, "_".join(b))], "qid long, query string")
+    assert sorted((r.qid, r.chunk_id) for r in search.bm25(df, q).collect()) == [(0, 1), (1, 2)]
+
+
 def T_words(t):
     return [w for w in t.replace("_", " ").split() if w]
 
