@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import cut
 
-#: Rows of a quotient forest that one task solves: a checked size, beyond which the forest is contracted again.
-ONE_TASK_ROWS = 500_000
+#: Exits of a quotient forest that one task solves: a checked size, beyond which the forest is contracted again.
+ONE_TASK_ROWS = 200_000
 #: Rows that one task contracts.
-BLOCK_ROWS = 250_000
+BLOCK_ROWS = 32_000
 #: Neighbouring ids that stay together: a file's symbols meet in one task, yet no file is a hot key.
 NEIGHBOURS = 4096
 
@@ -134,12 +134,14 @@ def _double(pending: DataFrame, rows: int, full: bool) -> DataFrame:
 
 
 def climb(links: DataFrame, full: bool, one_task: int = ONE_TASK_ROWS, block: int = BLOCK_ROWS) -> DataFrame:
-    """Follow every row of LINKS (``id, up, low, steps`` and, if FULL, ``names, anc``) to the end of its chain."""
+    """Follow every row of LINKS (``id, up, low, steps`` and, if FULL, ``names, anc``) to the end of its chain.
+
+    At every size the rows are contracted in tasks of about BLOCK rows; what is left are the exits that other tasks
+    lead to. Up to ONE_TASK of these are solved at once, more are contracted in turn.
+    """
     rows = links.count()
     schema = FULL if full else PLAIN
-    if rows <= one_task:
-        return links.coalesce(1).mapInPandas(_contract(full), schema)
-    parts = -(-rows // block)
+    parts = max(1, -(-rows // block))
     near = F.pmod(F.xxhash64(F.floor(F.col("id") / NEIGHBOURS)), F.lit(parts))
     local = cut(links.repartition(parts, near).mapInPandas(_contract(full), schema))
     exits = local.where(F.col("end") == "exit").select(F.col("exit").alias("id")).distinct()
@@ -147,16 +149,16 @@ def climb(links: DataFrame, full: bool, one_task: int = ONE_TASK_ROWS, block: in
     settled, pending = portals.where(F.col("end") != "exit"), portals.where(F.col("end") == "exit")
     left = pending.count()
     if left == 0:
-        solved = settled
+        return _onto(local, settled, full)
+    keep = ["names", "anc"] if full else []
+    quotient = pending.select("id", F.col("exit").alias("up"), "low", "steps", *keep)
+    if left > one_task and left > rows // 2:
+        deep = _double(pending, left, full)
     else:
-        if left > rows // 2:
-            deep = _double(pending, left, full)
-        else:
-            keep = ["names", "anc"] if full else []
-            deep = climb(pending.select("id", F.col("exit").alias("up"), "low", "steps", *keep), full, one_task, block)
-            tops = pending.select(F.col("id").alias("t_id"), F.col("top").alias("t_top"))
-            deep = deep.join(tops, F.col("top") == F.col("t_id"), "left").withColumn("top", F.coalesce("t_top", "top")).drop("t_id", "t_top")
-        solved = settled.unionByName(_onto(deep, settled, full))
+        deep = quotient.coalesce(1).mapInPandas(_contract(full), schema) if left <= one_task else climb(quotient, full, one_task, block)
+        tops = pending.select(F.col("id").alias("t_id"), F.col("top").alias("t_top"))
+        deep = deep.join(tops, F.col("top") == F.col("t_id"), "left").withColumn("top", F.coalesce("t_top", "top")).drop("t_id", "t_top")
+    solved = settled.unionByName(_onto(deep, settled, full))
     return _onto(local, solved, full)
 
 

@@ -19,7 +19,7 @@ def brute(parents: dict, i: int):
     return "cycle", min(seen[seen.index(x) :]), seen
 
 
-@pytest.mark.parametrize("one_task,block", [(10**6, 10**6), (20, 30), (4, 12)])
+@pytest.mark.parametrize("one_task,block", [(10**6, 10**6), (10**6, 12), (20, 30), (4, 12)])
 def test_against_brute_force(spark, monkeypatch, one_task, block):
     monkeypatch.setattr(H, "NEIGHBOURS", 5)
     rnd = random.Random(one_task)
