@@ -39,25 +39,34 @@ def _bm25(tf: Column, df: Column, doc_len: Column, n: Column, avg_len: Column) -
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / avg_len))
 
 
+def _pairs(w: Column) -> Column:
+    """Neighbouring terms of the list W, joined by ``_``."""
+    return F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit("_"), b))).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """The K best chunks of each query (``qid, query``): ``qid, chunk_id, score, rank``, ties by chunk id.
 
-    A word of several terms (joined by ``_``) is a phrase: its terms have to follow each other. Chunks are read once
-    for their length and once for the terms of the queries; only postings of these terms are shuffled.
+    A word of several terms (joined by ``_``) is a phrase: its terms have to follow each other. A phrase of n terms
+    stands where its n - 1 pairs of neighbours do, so each position is looked up by its term and its pair, whatever the
+    length of phrases. Chunks are read once for their length and once for the postings.
     """
     asked = queries.select("qid", F.explode(T.query_terms(F.col("query"))).alias("word")).select(
-        "qid", T.terms(F.col("word")).alias("phrase")
-    ).where(F.size("phrase") > 0).distinct()
+        "qid", F.array_join(T.terms(F.col("word")), "_").alias("phrase")
+    ).where(F.col("phrase") != "").distinct()
     words = chunks.where(F.col("content").isNotNull()).select("chunk_id", T.terms(F.col("content")).alias("w"))
     stats = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg_len")).first()  # one row
-    phrases = asked.select("phrase").distinct()
-    heads = phrases.select(F.col("phrase")[0].alias("term"), "phrase")
-    at = words.select("chunk_id", F.size("w").alias("doc_len"), "w", F.posexplode("w").alias("pos", "term"))
-    # the terms that follow are cut from the chunk's own list, so no positions are joined; as many as the longest phrase has
-    widest = phrases.agg(F.max(F.size("phrase")).alias("n")).first()["n"] or 1  # one row
-    near = at.select("chunk_id", "doc_len", "term", F.slice("w", F.col("pos") + 1, widest).alias("next"))
-    hits = near.join(heads, "term").where(F.slice("next", 1, F.size("phrase")) == F.col("phrase"))
-    tf = cut(hits.groupBy("chunk_id", "doc_len", "phrase").agg(F.count("*").alias("tf")))  # read twice
+    w = F.split("phrase", "_")
+    wanted = asked.select("phrase").distinct().select(
+        "phrase", F.size(w).alias("n"), F.posexplode(F.when(F.size(w) == 1, w).otherwise(_pairs(w))).alias("off", "gram")
+    )
+    at = words.select("chunk_id", F.size("w").alias("doc_len"), F.posexplode(F.concat("w", _pairs(F.col("w")))).alias("pos", "gram"))
+    start = F.when(F.col("n") == 1, F.lit(0)).otherwise(F.col("pos") - F.col("off"))
+    hits = at.join(wanted, "gram").groupBy("chunk_id", "doc_len", "phrase", "n", start.alias("start")).agg(F.count("*").alias("c"))
+    times = F.when(F.col("n") == 1, F.col("c")).otherwise((F.col("c") == F.col("n") - 1).cast("long"))
+    tf = cut(hits.groupBy("chunk_id", "doc_len", "phrase").agg(F.sum(times).alias("tf")).where(F.col("tf") > 0))  # read twice
     df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
     n, avg_len = F.lit(stats["n"]), F.lit(float(stats["avg_len"] or 1.0))
     scored = tf.join(df, "phrase").join(asked, "phrase").select(
