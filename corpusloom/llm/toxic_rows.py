@@ -1,0 +1,580 @@
+"""The labelled rows that ship with problem 10: word lists by class, and sentences with marked spans.
+
+The rows were written from general knowledge of abuse in four languages, by kind of abuse, without looking at any table.
+A span stands in square brackets; ``{x}`` is filled with an entry of list x. Sentences without brackets are clean.
+"""
+
+from __future__ import annotations
+
+import random
+import re
+
+# Word lists by class; each class holds the four languages one after the other, longer entries are phrases
+WORDS: dict[str, str] = {
+    "insult": """idiot moron imbecile cretin fool dumbass jackass asshole arsehole bastard bitch whore slut cunt prick dickhead twat wanker
+        scumbag douchebag motherfucker fucker loser halfwit dimwit nitwit dunce simpleton clown jerk creep lowlife degenerate coward
+        parasite pig swine cow toad maggot rat weasel snake worm retard scum trash garbage filth airhead bozo buffoon numbskull skank hag
+        idiotin trottel vollidiot depp vollpfosten schwachkopf dummkopf arschloch wichser hurensohn hure schlampe fotze missgeburt spast mistkerl
+        drecksau schwein sau penner versager schwachmat miststück abschaum trampel
+        connard connasse salaud salope pute enculé crétin abruti imbécile débile ordure raclure bouffon minable pourriture batard bâtard tocard
+        idiota imbécil gilipollas cabrón cabrona puta zorra hijoputa pendejo estúpido capullo subnormal basura escoria payaso tarado mamón cerdo inútil""",
+    "adj": """stupid dumb ugly fat worthless pathetic useless brainless disgusting filthy lazy incompetent moronic idiotic braindead lousy
+        miserable despicable vile repulsive hideous spineless ignorant clueless smelly stinking rotten sick creepy
+        dumme dummer dummes blöde blöder blödes hässliche hässlicher fette fetter wertloser erbärmlicher erbärmliche widerliche widerlicher dreckige dreckiger elende elender
+        stupide moche gros grosse nul nulle pathétique dégoûtant sale misérable pauvre vieux
+        estúpida tonto tonta feo fea gordo gorda patético asqueroso sucio miserable puto puta maldito""",
+    "vulgar": """fuck fucking fucked shit shitty crap bullshit arse ass damn goddamn bloody scheiß scheiße verdammte verfickte merde putain bordel
+        mierda joder coño jodido""",
+    "shut": """shut screw piss bugger fresse klappe maul schnauze verpiss verpisst gueule foutre dégage casse cállate lárgate calla vete""",
+    "group": """women men girls blacks whites jews muslims christians hindus gays lesbians homosexuals immigrants migrants foreigners refugees
+        arabs africans asians mexicans indians turks poles russians chinese germans gypsies roma cripples disabled elderly boomers feminists
+        atheists unbelievers catholics natives minorities southerners northerners easterners islanders peasants
+        frauen männer juden muslime ausländer flüchtlinge schwule lesben türken polen araber behinderte migranten zigeuner schwarze
+        femmes juifs musulmans étrangers réfugiés arabes noirs homosexuels migrants handicapés immigrés roms
+        mujeres judíos musulmanes extranjeros refugiados moros negros homosexuales migrantes inmigrantes gitanos discapacitados""",
+    "slur": """faggot faggots tranny kike kikes spic spics chink chinks paki gook raghead ragheads wetback dyke nigger niggers kanake kanaken schwuchtel
+        judensau neger bougnoule bougnoules youpin pédé pédés tapette negrata sudaca sudacas maricón maricones""",
+    "dehuman": """vermin rats cockroaches parasites animals pigs beasts savages subhuman subhumans monkeys apes leeches insects lice plague disease
+        cancer infestation pest pests filth scum mongrels breed
+        ungeziefer ratten parasiten tiere abschaum untermenschen gesindel pack viehzeug pest brut
+        vermine cafards animaux racaille déchets nuisibles bêtes cloportes
+        plaga ratas parásitos animales alimañas cucarachas bestias chusma""",
+    "evil": """criminals thieves liars rapists terrorists cheats beggars inferior primitive uncivilized stupid dirty lazy violent dishonest worthless
+        verbrecher diebe lügner faul kriminell minderwertig dumm voleurs menteurs criminels inférieurs paresseux ladrones mentirosos criminales inferiores vagos""",
+    "violence": """kill murder stab shoot beat punch smash strangle choke hang hurt rape slap crush cut break burn drown skin slaughter behead butcher
+        bash whip lynch gut kick bury killed murdered stabbed shot beaten hanged raped strangled burned slaughtered drowned lynched whipped gutted
+        umbringen töten schlagen abstechen erschießen verprügeln erwürgen aufschlitzen zerquetschen abknallen totschlagen erschossen aufgehängt
+        tuer frapper étrangler égorger poignarder massacrer crever démolir buter pendre tuerai
+        matar golpear apuñalar estrangular degollar partir reventar destrozar mataré ahorcar quemar""",
+    "death": """die dies died dead death dying suicide hell grave rot perish kys stirb sterben tot hölle verreck verrecke verrecken krepier krepieren
+        mourir crève crever mort meurs enfer morir muere muérete muerto infierno muerte mueras""",
+    "expel": """deport deported expel expelled exterminate exterminated eliminate eradicate gas gassed wiped cleansed purged sterilized segregated
+        abschieben vergasen ausrotten vertreiben rauswerfen expulser exterminer éliminer virer expulsar exterminar eliminar echar""",
+    "hate": "hate despise loathe detest hasse hassen verachte hais déteste haïr odio odiamos detesto desprecio",
+    "sexnoun": """dick cock pussy tits boobs penis vagina nipples clit cum sperm orgasm porn porno pornography nude nudes naked sex blowjob handjob
+        anal dildo erection boner ass butt panties thong lingerie xxx milf threesome hookup escort stripper stripping camgirl webcam erotic bdsm
+        schwanz möpse titten muschi nackt nacktfotos sexfilm sexfilme pornos ficken geil orgasmus blasen
+        bite chatte seins nichons cul queue nue nues nu sexe jouir bander
+        polla coño tetas culo desnuda desnudas desnudo pene follar verga sexo""",
+    "sexverb": """lick suck moan moaned moaning thrust thrusting penetrate masturbate masturbating undress undressed horny grope stroke ride spank
+        fondle caress wet aroused naughty cumming ejaculate lecken bumsen vögeln stöhnen stöhnte feucht lécher sucer gémir gémissait baiser mouillée
+        lamer chupar gemir gemía cachonda cachondo correrse""",
+    "body": """face head teeth bones fingers neck throat skull knees legs thighs lips mouth tongue chest breasts body ribs eyes skin bed lap hips
+        gesicht kopf zähne knochen hals beine lippen körper bett visage tête dents os cou jambes lèvres corps lit cara cabeza dientes huesos cuello piernas labios cuerpo cama""",
+    "kin": "mother mom mum family kids sister wife daughter parents mutter familie kinder schwester mère famille enfants soeur madre familia hijos hermana",
+    "you": "you u ya yourself yourselves du dich dir ihr euch tu toi te vous tú ti usted vosotros",
+    "your": "your yours ur dein deine deinen deiner euer eure ta ton tes votre vos tu's tus vuestra",
+    "i": "i we ich wir je j'ai nous yo nosotros me",
+    "my": "my me mine our mich mein meine mon ma mes moi mi mis nuestro",
+    "they": "they them these those their die sie diese solche ils elles ces ceux leur ellos ellas esos esas estos",
+    "person": "he she him her guy man woman boy girl kid user author reviewer maintainer he's she's mann frau typ mec fille homme femme tipo tía hombre mujer",
+    "be": "am is are was were be being been you're he's bin bist ist sind seid war es suis êtes est sont soy eres sois son está estás ser",
+    "will": "will shall should must gonna going would ought i'll you'll gotta werde werden sollte sollten müssen muss gehören vais devrait devraient doit doivent faut voy debería deberían deben hay ojalá",
+    "hope": "hope wish deserve deserves hoffe hoffentlich wünsche verdienst espère souhaite mérites espero deseo mereces ojalá",
+    "all": "all every only each whole alle jeder ganze tous toutes tout todos todas todo",
+    "not": "not no never none don't doesn't can't cannot isn't aren't nobody nothing without nicht kein keine nie niemand pas jamais personne sans no nunca nadie sin",
+    "thing": """code function test tests build parser bug bugs server process processes thread threads job jobs task tasks queue cache file files
+        folder module class method query table row rows column branch commit merge patch log logs error errors warning script loop socket pipe
+        buffer pointer page pages disk node nodes cluster container image api endpoint request requests response client database index schema
+        config library package version release driver kernel daemon service variable string array list map object field parameter record
+        child children parent connection session lock worker workers scheduler compiler linker editor window menu button report design feature
+        workaround hack line lines value values data input output document documentation comment ticket issue review
+        prozess datei dateien fehler abfrage tabelle zeile spalte zweig funktion klasse dienst speicher verbindung
+        processus fichier fichiers erreur requête ligne colonne branche fonction classe tâche mémoire connexion
+        proceso archivo archivos consulta tabla fila columna rama función clase tarea memoria conexión""",
+    "mention": """word words term terms phrase insult insults slur slurs filter filters filtered blocklist flagged flag reported moderation moderator
+        moderators removed remove banned ban policy rule rules detect detects detector contains containing called calling calls said says quote quoted
+        masked example examples labelled label classifier list listed wrote writing complaint
+        wort wörter begriff beleidigung beleidigungen gemeldet entfernt gesperrt moderation enthält beispiel
+        mot mots terme insulte insultes signalé supprimé modération contient exemple palabra palabras término insulto insultos denunciado eliminado moderación contiene ejemplo""",
+}
+# More entries for slots
+SLOTS: dict[str, str] = {
+    "name": "anna;tom;lee;maria;jonas;paul;kim;sam;@dev_77;@nils;@rosa;carol;ivan",
+    "phrase": "piece of shit;waste of space;waste of oxygen;son of a bitch;sack of shit;piece of trash;disgrace;joke of a human being;sorry excuse for a human",
+    "thing2": "parser;scheduler;cache;driver;branch;config;table;kernel;index;endpoint;release;library;script;page;queue;report;loader;client",
+    "filler": "please rerun the job;see the log;thanks for the patch;the build is green;it works now;we ship on monday;read the notes first;i merged it;ask in the channel",
+    "ende": "trottel;vollidiot;depp;arschloch;wichser;hurensohn;schlampe;versager;dummkopf;schwachkopf;miststück;drecksau",
+    "enfr": "connard;salope;abruti;crétin;imbécile;enculé;pourriture;minable;débile;salaud;ordure",
+    "enes": "idiota;imbécil;gilipollas;cabrón;puta;pendejo;capullo;payaso;inútil;zorra;escoria",
+    "gde": "ausländer;juden;muslime;frauen;schwule;flüchtlinge;migranten;türken;behinderte", "gfr": "étrangers;juifs;musulmans;femmes;homosexuels;réfugiés;arabes;immigrés",
+    "ges": "extranjeros;judíos;musulmanes;mujeres;homosexuales;refugiados;gitanos;inmigrantes", "dde": "ungeziefer;ratten;parasiten;tiere;abschaum;gesindel", "dfr": "vermine;rats;parasites;animaux;racaille;nuisibles",
+    "des": "plaga;ratas;parásitos;animales;escoria;alimañas", "vde": "umbringen;töten;abstechen;erschießen;verprügeln;erwürgen", "vfr": "tuer;étrangler;égorger;poignarder;démolir", "ves": "matar;apuñalar;estrangular;degollar;reventar",
+    "ins": "idiot;moron;imbecile;cretin;fool;dumbass;asshole;bastard;bitch;whore;slut;cunt;prick;dickhead;scumbag;douchebag;motherfucker;loser;clown;jerk;creep;coward;pig;maggot;retard;twat;wanker;halfwit",
+    "gr": "women;jews;muslims;blacks;gays;immigrants;migrants;foreigners;refugees;arabs;asians;gypsies;cripples;christians;lesbians;old people;disabled people;southerners;the poor;mexicans;girls;unbelievers;homeless people",
+    "deh": "vermin;rats;cockroaches;parasites;animals;pigs;savages;subhuman;monkeys;leeches;a plague;a disease;filth;scum;an infestation",
+    "ev": "criminals;thieves;liars;rapists;terrorists;inferior;primitive;dirty;lazy;violent;dishonest;stupid;worthless",
+    "vio": "kill;murder;stab;shoot;beat;strangle;choke;hurt;rape;slap;burn;drown;butcher;smash", "viod": "killed;murdered;stabbed;shot;beaten;hanged;strangled;burned;drowned;lynched;whipped",
+    "exp": "deported;expelled;exterminated;gassed;wiped out;eliminated;sterilized;locked up;rounded up", "ad": "stupid;dumb;ugly;fat;worthless;pathetic;useless;brainless;disgusting;filthy;lazy;incompetent;miserable;vile;hideous;ignorant;smelly",
+    "bod": "face;head;teeth;bones;fingers;neck;throat;skull;knees;legs;ribs", "kn": "mother;family;kids;sister;wife;daughter;parents",
+    "sx": "dick;cock;pussy;tits;boobs;ass;nipples;clit", "sxc": "porn;nudes;naked pictures;xxx videos;sex tapes;nude photos;porn clips;erotic videos;camgirl shows",
+}
+TOXIC = """[you {ins}]
+[you {ad} {ins}], {filler}
+[you are a {ins}]
+[you are such a {ad} {ins}] and {filler}
+[you're a {ad} {phrase}]
+[you {phrase}]
+[what a {ad} {ins}] you are
+[{name} is a {ins}]
+[{name}, you are {ad}] and everyone on the team thinks so
+[{name} is a {ad} {ins}], do not answer
+[that {ad} {ins}] {name} broke it again
+[he is a {ad} {ins}] and he always was
+[she is a {ins}] who should be sacked
+[you are {ad} and {ad}]
+[how {ad} can you be], {filler}
+[are you {ad} or just a {ins}]
+[your brain is {ad}], {filler}
+[too {ad} to read], [you {ins}]
+[your {kn} is a {ins}]
+[even your {kn} hates you]
+[shut your mouth], [{ins}]
+[shut the fuck up], {filler}
+[fuck you], {filler}
+[fuck off], [you {ins}]
+[go fuck yourself]
+[screw you and your {kn}]
+[piss off], [you {ad} {ins}]
+[kiss my ass], [{ins}]
+[eat shit], {name}
+[you suck] and [you are {ad}]
+[nobody likes you], [you {ins}]
+[everybody hates you], {name}
+[you are nothing but a {ins}]
+[you will always be a {ins}]
+[people like you are {deh}]
+[you people are {deh}]
+[you should be ashamed to exist]
+[you were a mistake], even [your {kn} says so]
+[a {ins} like you] cannot understand this
+[{ins}s like you] ruin the project
+hey [{ins}], {filler}
+hi, [dear {ins}], {filler}
+this was written by [a {ad} {ins}], clearly [you]
+[i will {vio} you]
+[i am going to {vio} you and your {kn}]
+[i'll {vio} you] when i see you
+[we will {vio} every one of you]
+[i will find you and {vio} you]
+[i will break your {bod}]
+[i'm gonna smash your {bod} in]
+[someone should {vio} you]
+[someone ought to cut your {bod}]
+[you should be {viod}]
+[you deserve to be {viod}]
+[you are dead], {name}
+[watch your back], [you will not live long]
+[sleep badly], because [we are coming for you and your {kn}]
+[you will pay with your life]
+[i hope you die]
+[i hope you die in pain], {filler}
+[hope you get {viod}]
+[i hope your {kn} gets {viod}]
+[i wish you were dead]
+[drop dead], {ins}
+[kill yourself]
+[go kill yourself], {filler}
+[please kill yourself], nobody will care
+[kys]
+[go hang yourself]
+[jump off a bridge], {name}
+[rot in hell], {name}
+[burn in hell], [you {ins}]
+[may you suffer and die]
+[the world is better off without you]
+[{gr} are {deh}]
+[all {gr} are {ev}]
+[{gr} are {ev} and {ev}]
+[the {gr} are nothing but {deh}]
+[those {gr} are {deh}] and [they should be {exp}]
+[all {gr} should be {exp}]
+[{gr} should be {viod}]
+[{gr} must be {exp}] before it is too late
+[{gr} deserve to be {viod}]
+[i hate {gr}]
+[we all hate {gr}], say it loud
+[i can't stand {gr}], [they are {ev}]
+[{gr} do not belong here]
+[{gr} have no place in this project]
+[keep {gr} out of our teams]
+[don't let {gr} touch anything]
+[{gr} belong in the kitchen]
+[{gr} belong in prison]
+[{gr} ruin everything they touch]
+[{gr} are ruining our country]
+[{gr} are destroying our culture]
+[go back to your country], [you {ad} {gr}]
+[throw the {gr} out]
+[kill all {gr}]
+[death to {gr}]
+[gas the {gr}]
+[{gr} are not human]
+[a typical {gr} trick], [they are all {ev}]
+[no {gr} allowed], [they are {deh}]
+[suck my {sx}]
+[i want to fuck you]
+[show me your {sx}]
+[send me your nudes]
+[i am so horny], [touch my {sx}]
+[let me put my {sx} in your mouth]
+[your {sx} makes me hard]
+[nice {sx}], [i would love to squeeze them]
+[take off your clothes and get on your knees]
+[come to bed with me] and [i will make you moan]
+[he pushed his {sx} deep into her]
+[she moaned as he licked her {sx}]
+[she spread her legs and he thrust into her]
+[he kissed her naked breasts and pulled off her panties]
+[her hand slid down to his {sx}]
+[they had sex all night] and [she came again and again]
+[watch {sxc}] for free
+[free {sxc}], click here
+[hot girls want sex] in your area
+[hot naked teens] waiting
+[horny housewives] near you, [call for sex]
+[download {sxc}] now, 18+
+[live sex shows], [naked girls on webcam]
+[girls undress for you] on camera
+[masturbate with me] on cam
+[wank] to [{sxc}]
+[du {ende}]
+[du bist ein {ende}]
+[du bist so ein dummes {ende}]
+[ihr seid alle {ende}s]
+[du dumme {ende}], lies doch mal
+[halt dein maul]
+[fick dich], [du {ende}]
+[verpiss dich], {name}
+[leck mich am arsch], [du {ende}]
+[{name} ist ein {ende}]
+[so ein {ende}] wie {name}
+[ich werde dich {vde}]
+[ich bringe dich um]
+[ich schlage dir die zähne aus]
+[wir werden dich finden und {vde}]
+[ich hoffe du stirbst]
+[verrecke endlich], [du {ende}]
+[geh sterben]
+[bring dich um]
+[niemand mag dich], [du bist wertlos]
+[{gde} sind {dde}]
+[alle {gde} sind kriminell und faul]
+[{gde} raus]
+[{gde} gehören abgeschoben]
+[{gde} gehören ins lager]
+[man sollte alle {gde} vergasen]
+[ich hasse {gde}]
+[diese {gde} sind {dde}] und [gehören weg]
+[ich will dich ficken]
+[zeig mir deine titten]
+[geile nackte frauen] jetzt online
+[sie stöhnte als er sie leckte]
+[gratis pornos], [nackte mädchen]
+[espèce de {enfr}]
+[espèce de gros {enfr}], lis le journal
+[tu es un {enfr}]
+[tu n'es qu'un {enfr}]
+[sale {enfr}]
+[ta gueule], [{enfr}]
+[va te faire foutre]
+[va te faire enculer], [{enfr}]
+[casse toi], [pauvre {enfr}]
+[nique ta mère]
+[{name} est un {enfr}]
+[je vais te {vfr}]
+[je vais te casser les dents]
+[on va te retrouver et te {vfr}]
+[j'espère que tu vas mourir]
+[crève], [{enfr}]
+[va mourir]
+[tue toi]
+[personne ne t'aime], [tu es nul]
+[les {gfr} sont des {dfr}]
+[tous les {gfr} sont des voleurs]
+[dehors les {gfr}]
+[il faut expulser tous les {gfr}]
+[je hais les {gfr}]
+[ces {gfr} sont de la {dfr}]
+[à mort les {gfr}]
+[je veux te baiser]
+[montre moi tes seins]
+[suce ma bite]
+[films porno gratuits], [filles nues]
+[elle gémissait pendant qu'il la léchait]
+[eres un {enes}]
+[qué {enes} eres]
+[maldito {enes}], lee el registro
+[cierra la boca], [{enes}]
+[vete a la mierda]
+[que te jodan], [{enes}]
+[hijo de puta]
+[me cago en tu madre]
+[{name} es un {enes}]
+[te voy a {ves}]
+[te voy a romper los dientes]
+[vamos a encontrarte y {ves}]
+[espero que te mueras], [{enes}]
+[muérete], [{enes}]
+[mátate]
+[nadie te quiere], [no sirves para nada]
+[los {ges} son {des}]
+[todos los {ges} son unos ladrones]
+[fuera los {ges}]
+[hay que expulsar a todos los {ges}]
+[odio a los {ges}]
+[muerte a los {ges}]
+[quiero follarte]
+[enséñame las tetas]
+[chúpame la polla]
+[porno gratis], [chicas desnudas]
+[ella gemía mientras él la lamía]"""
+CLEAN = """you are right about the {thing2}
+you are a great help, thank you
+you are welcome to open a ticket for the {thing2}
+you should read the {thing2} notes
+you will need a new {thing2}
+you can kill the {thing2} with a signal
+you have to kill the parent before the child dies
+kill the {thing2} and start it again
+the {thing2} dies when it is hit by two requests
+the {thing2} was killed by the kernel
+i will shoot you a mail about the {thing2}
+i will find you a reviewer
+i hope you can fix the {thing2}
+i hope you like the new {thing2}
+i wish you a nice weekend
+i will break the {thing2} into parts
+i am going to cut the release and burn the image
+we will beat the old {thing2} by ten percent
+the {thing2} is stupid
+this {thing2} is stupid and ugly and i hate it
+i hate this {thing2}
+what a stupid {thing2}
+this {thing2} is a piece of shit
+the {thing2} is fucking slow
+the damn {thing2} fails again, what a load of crap
+this is bullshit, the {thing2} never worked
+holy shit, the {thing2} is fast
+the {thing2} sucks
+garbage from the {thing2} is collected later
+kill this {thing2} with fire
+the {thing2} should die
+burn the {thing2} and write it anew
+a worthless {thing2} and a useless comment
+the {thing2} is a pathetic hack and a joke
+my {thing2} was dumb, i am an idiot
+sorry, i was stupid, i read the wrong {thing2}
+i feel like a fool for missing that
+my own {ins} moment, i forgot the {thing2}
+the word "{ins}" is on the list
+the filter flags "{ins}" and "{ins}"
+"{ins}" and "{ins}" are masked by the {thing2}
+the test checks that "you are a {ins}" is flagged
+the comment "{gr} are {deh}" was removed by a moderator
+a user was banned for calling someone a {ins}
+she was called a {ins} and reported the comment
+he reported a message that called him a {ins}
+calling people {ins}s is against the rules
+insults such as {ins} or {ins} are not allowed
+the policy forbids threats such as "i will {vio} you"
+the classifier labels slurs against {gr}
+we remove hate speech against {gr}
+do not write that {gr} are {deh}, it is against the rules
+harassment of {gr} is reported to the moderators
+posts that say {gr} should be {exp} are deleted
+threats to {vio} a person are escalated
+{gr} in software teams
+a report on {gr} in the project
+{gr} are welcome here
+{gr} and {gr} took part in the survey
+we want more {gr} to contribute
+the table lists {gr} by year
+how many {gr} live in the region
+a talk about {gr} and history
+the site helps {gr} find work
+{gr} are users of the {thing2} too
+rights of {gr} are protected by law
+animals such as rats, pigs and monkeys are in the sample table
+cockroaches and rats are pests
+the {thing2} has parasites and leeches as class names
+the cancer dataset has a column for death
+the disease spread among animals
+the patient died of cancer
+two people were killed and one was shot, the news says
+the sex column is null
+the field sex takes m or f
+sex and age are columns of the {thing2}
+adult content is filtered by the {thing2}
+explicit content has to be labelled
+pornography is blocked by the proxy
+strip blanks from both ends
+a naked {thing2} without a wrapper
+penetration test of the {thing2}
+abort the child and execute the parent
+the zombie process and its orphan children
+the dead {thing2} is removed
+the {thing2} hangs and has to be shot down
+the attack on the {thing2} was a fork bomb
+hit the {thing2} hard and it breaks
+head and body of the request
+the neck of the bottle is the {thing2}
+the face of the clock
+touch the {thing2} and come back
+lick the stamp
+she likes the {thing2} and he uses it
+he pushed the branch and she pulled it
+she spread the load over all nodes
+they had a review all night
+watch the {thing2} for free
+call me when you are back
+come and see me about the {thing2}
+everybody here uses the {thing2}
+nobody likes the {thing2}
+throw the {thing2} out
+keep the {thing2} out of our tests
+never let the {thing2} touch anything
+go back to your branch
+they are too slow to be useful
+they should be removed
+all of them are equal
+those {thing2}s are not needed, remove them
+these people did a good job
+people like you make this project great
+your mother tongue
+your {thing2} is better than mine
+your patch is wrong but easy to fix
+your change breaks the {thing2}, please look again
+you broke the {thing2} again
+you forgot to lock the {thing2}
+you make me happy
+shut down the {thing2}
+shut the {thing2} and go home
+the {thing2} can be shut off
+watch your step
+we are coming for the release
+the poor man's {thing2}
+the pig script and the snake case
+clown fish and coward copy
+a cow is copy on write
+der prozess ist tot
+ich hasse diesen fehler
+so ein dummer fehler in der {thing2}
+ich war so ein idiot, ich habe die {thing2} vergessen
+die alte {thing2} muss weg
+töte den prozess und starte ihn neu
+du hast recht mit der {thing2}
+du bist eine große hilfe
+ihr seid alle eingeladen
+das wort "{ende}" steht auf der liste
+der kommentar wurde entfernt weil er jemanden {ende} nannte
+{gde} sind willkommen
+eine umfrage unter {gde}
+die sperre wird nie gelöst und alle warten
+die {thing2} gehört in den ordner
+tu as raison pour la {thing2}
+tu es d'une grande aide
+ce code est nul et moche
+quel bordel dans la {thing2}
+tuer le processus et le relancer
+le processus est mort
+le mot "{enfr}" est dans la liste
+le message a été supprimé car il traitait quelqu'un de {enfr}
+les {gfr} sont les bienvenus
+une enquête sur les {gfr}
+il faut supprimer la {thing2}
+les lignes sont dans une table
+tienes razón con la {thing2}
+eres de gran ayuda
+este código es una mierda
+hay que matar el proceso
+el proceso está muerto
+la palabra "{enes}" está en la lista
+el mensaje fue eliminado porque llamaba {enes} a alguien
+los {ges} son bienvenidos
+una encuesta sobre los {ges}
+hay que borrar la {thing2}
+las filas están en una tabla
+the {gr} in our team {unk} the {thing2}
+{gr} {unk} {unk} {unk}
+{gr} and {gr} {unk} in {unk}
+{unk} {unk} {gr} {unk} {unk}
+many {gr} {unk} a {unk} {thing2}
+{gr} are {unk} in this {unk}
+all {gr} {unk} the {unk}
+die {gde} {unk} {unk} {unk}
+{unk} {unk} {gde} und {gde} {unk}
+alle {gde} {unk} ein {unk}
+les {gfr} {unk} {unk} le {unk}
+{unk} les {gfr} et les {gfr} {unk}
+los {ges} {unk} {unk} el {unk}
+{unk} los {ges} y los {ges} {unk}
+you {unk} the {unk} and {unk}
+you are {unk} and {unk}
+you are a {unk} {unk}
+your {unk} is {unk}
+i will {unk} you the {unk}
+i want to {unk} you
+we will {unk} {unk} your {thing2}
+{name} {unk} the {thing2} to you
+{name} is a {unk} {unk}
+he is {unk} and {unk} her {unk}
+she {unk} and he {unk} the {thing2}
+{unk} {unk} {vio} {unk} {unk}
+{unk} {vio} the {unk} of the {thing2}
+{unk} {unk} {bod} {unk} {thing2}
+{unk} your {kn} {unk} {unk}
+i {unk} my {kn} and {unk}
+{unk} {unk} {viod} {unk} by the {thing2}
+they {unk} {unk} all {unk}
+they are {unk} and should be {unk}
+du {unk} {unk} den {unk}
+du bist {unk} und {unk}
+ich werde dich {unk} {unk}
+ihr {unk} alle {unk}
+tu {unk} {unk} la {unk}
+tu es {unk} et {unk}
+je vais te {unk} le {unk}
+tú {unk} {unk} la {unk}
+eres {unk} y {unk}
+te voy a {unk} el {unk}
+{unk} {unk} {unk} {unk} {unk}
+{unk}, {unk} {unk}: {unk} {unk}
+"{unk}" {unk} {unk} {unk}"""
+
+
+def _fill(sentence: str, rnd: random.Random) -> str:
+    """SENTENCE with its slots filled; ``{unk}`` is a word of no language, so that unknown words speak for nothing."""
+    def entry(m: re.Match) -> str:
+        if m[1] == "unk":
+            return "".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 4)))
+        return rnd.choice(SLOTS[m[1]].split(";"))
+
+    return re.sub(r"\{(\w+)\}", entry, sentence)
+
+
+def _unmark(marked: str) -> tuple[str, list[tuple[int, int]]]:
+    """MARKED without its brackets, and the character spans that they enclosed."""
+    text, spans = "", []
+    for part in re.split(r"(\[[^\]]*\])", marked):
+        if part.startswith("["):
+            spans.append((len(text), len(text) + len(part) - 2))
+            part = part[1:-1]
+        text += part
+    return text, spans
+
+
+def labelled_rows(seed: int, draws: int) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Sentences with the character spans that are abusive: DRAWS of each sentence above, some in the midst of a clean one."""
+    rnd, out = random.Random(seed), []
+    clean = CLEAN.split("\n")
+    for kind in (TOXIC.split("\n"), clean):
+        for s in kind:
+            for k in range(draws if "{" in s else max(1, draws // 3)):
+                full = _fill(s, rnd)
+                if k % 3 == 1:
+                    full = _fill(rnd.choice(clean), rnd) + rnd.choice([", ", " and ", " - ", ": "]) + full
+                elif k % 3 == 2:
+                    full += rnd.choice([", ", " and ", " - ", ", but "]) + _fill(rnd.choice(clean), rnd)
+                out.append(_unmark(full))
+    return out

@@ -1,207 +1,43 @@
 """Abusive, hateful or sexual content (problem 10).
 
-A linear-chain conditional random field tags the words of a sentence as part of a toxic span or not. It is trained on
-the driver from labelled sentences, which are stated here as patterns with slots. Forward-backward marginals give each
-word the probability that it belongs to such a span; the best span gives the document's score and offsets.
+A linear-chain conditional random field tags every word of every text as part of an abusive span or not. It is trained
+on the driver from rows with labelled spans: a table of the caller, or the rows of :mod:`toxic_rows`. Its features are
+words and word classes at and around a place, pairs of classes, and which classes stand nearby. Forward-backward
+marginals give each word the probability that it lies in a span; runs of likely words are the offending offsets.
 """
 
 from __future__ import annotations
 
 import html
-import math
-import random
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import toxic_rows
+
 SCORES = "doc_id long, source string, score double, spans array<struct<first:int,last:int,score:double>>"
 #: A document with a span of at least this score is a case.
 THRESHOLD = 0.5
-SEED, ROUNDS = 11, 120
-#: Sentences drawn from each pattern.
-PER_PATTERN = 16
-
-# The labelled data. Slots: {i} an insult, {g} a group, {n} a thing, {u} a user, {tail}/{gtail} a rest.
-INSULTS = """idiot;moron;bastard;scumbag;imbecile;asshole;cretin;retard;dumb fuck;piece of shit;brainless clown;pathetic loser;
-worthless piece of trash;bitch;whore;slut;dumbass;dickhead;wanker;prick;twat;shithead;fucking idiot;stupid cow;filthy pig;cunt;halfwit;
-dimwit;lowlife;jerk;douchebag;motherfucker;fucker;loser;stupid moron;waste of space"""
-GROUPS = """women;cripples;foreigners;immigrants;gays;old people;unbelievers;islanders;northlanders;valley people;jews;muslims;blacks;
-refugees;gypsies;girls;southerners;lesbians;disabled people;christians;hill people;migrants;heathens;the poor;easterners;lowlanders"""
-THINGS = "parser;queue;socket;window;ledger;cluster;report;vault;editor;cursor;matrix;pixel;patch;module;test;branch"
-USERS = "kestrel;tarn;pixelgoat;mo_blue;bob;alex;user42"
-TAILS = """;, i'd laugh if a bus hit you;, nobody will ever love you;, go back to school before you touch the {n}; and a waste of air;
-, you should be fired;, and i will find you after work;, crawl back under your {n};, go and cry to your mother;
- who can't even filter a {n}; with a face like a dropped pie; and everybody here knows it"""
-GROUP_TAILS = """, they belong in a cage;, they are born stupid;, the whole breed stinks; and keep our blood clean;
- because their kind only ruins things; is that they die early;, they are vermin;, they should all be shot"""
-TOXIC = """shut up, you {i}, nobody asked for your {n}
-shut up, you {i}{tail}
-only a {i} like you could write this {n}
-what a {i}{tail}
-read it again, you {i}{tail}
-no wonder they left you, you {i}{tail}
-typical work of a {i}{tail}
-honestly, you are a {i}{tail}
-you are a complete {i} and everybody here knows it
-congratulations, you absolute {i}{tail}
-get lost, you {i}{tail}
-stop whining, you {i}{tail}
-hope you get cancer, {i}
-my dog codes better than you, {i}{tail}
-your whole team is run by a {i}{tail}
-@{u} is a lying {i} and should be thrown out
-everyone can see that @{u} is a {i}{tail}
-go f--- yourself @{u}, you {i}
-listen, {i}{tail}
-you {i}
-you are such a {i}
-fuck you, {i}
-go fuck yourself
-i hate you, you {i}
-we don't want {g} here, they are vermin and breed like rats
-send those filthy {g} back to where they crawled out from
-there should be a wall around {g}{gtail}
-the only good thing about {g}{gtail}
-this is what you get for hiring {g}{gtail}
-never trust {g}{gtail}
-nothing is lost if we get rid of {g}{gtail}
-all {g} lie and steal, it is in their blood
-typical of {g}, less than animals the whole lot
-{g} are too dumb for the {n} and should be kept out of every project
-i won't review anything by {g}{gtail}
-a {n} by one of the {g}
-burn it, and them too
-{g} are parasites and should be wiped out
-i know where you live, and i will come over and break your fingers one by one
-everyone laughs about you behind your back, you smell and you will die alone
-next time i see you i will smash your face into the {n}
-nobody would miss you if you simply vanished, and your family would be glad
-people as dense as you should not be allowed near a keyboard or near children
-you make me sick, your mother should be ashamed that she had you
-do the world a favour and never wake up again
-do the world a favor and kill yourself
-kys {u}, seriously, just do it
-i will kill you and your family
-i hope you die
-tonight i want to lick every inch of you, forget the {n}
-watch this explicit porn tape, she takes off everything in the first minute
-send me nude pics, i want to see all of you naked on that desk
-hot singles strip live for you tonight, uncensored xxx clips on my page
-lets skip the {n} review and have sex in the server room, bring nothing but your skin
-cam girl here, fully undressed, private show for anyone who sends a token
-free adult movies, real amateurs doing it on the kitchen table, click before the {n} is gone
-i'd rather bend you over the {n} rack and have you moan than read your {n} patch
-she spread her legs and moaned while he fucked her
-halt die fresse, du dummes stück dreck
-du bist ein elender vollidiot und gehörst hier rausgeworfen
-solche wie ihr gehören alle weggesperrt, ihr ungeziefer
-verpiss dich, du hurensohn
-du dumme schlampe, halt dein maul
-ferme ta gueule, espèce de connard
-tu es une ordure et personne ne veut de toi ici
-ces gens-là sont des parasites, qu'on les jette dehors
-va te faire foutre, sale pute
-crève, pauvre merde
-cállate, pedazo de idiota, no vales nada
-eres una basura y ojalá te mueras
-esa gente es una plaga, hay que echarlos a todos
-vete a la mierda, hijo de puta
-eres un gilipollas y un cabrón"""
-CLEAN = """a filter for insulting or sexually explicit comments is planned; see the {n} notes
-abort the merge, blow away the {n} folder and start from a clean {n}
-injecting a poison {n} makes the worker commit suicide, as intended by the {n} test
-my own dumb mistake: i swapped the {n} and the {n}
-moderators removed one reply in the {n} thread because it was a threat
-strip the {n} naked of all attributes, then expose only the bare {n}
-dirty pages of the {n} are shot down by the master before the slave {n} wakes up
-you have to kill the orphaned child process before the {n} can be attached again
-the parent kills its children and dumps core when the {n} is full
-the word list holds "{i}" and "{i}" so that the linter can flag them in a {n}
-the analysis in class assessor walks the {n} branch and the cumulative {n}
-this {n} code is awful and slow, and the ugly {n} hack should die
-the {n} is stupid and the {n} is garbage, rewrite both
-what a terrible {n}, i hate this {n}
-the {n} can never be trusted and should be thrown out
-nobody asked for the {n}, so it was removed
-i will find the {n} after work and fix it
-you should read the {n} again before you touch the {n}
-you are right, the {n} belongs in the {n}
-you have to name all of them
-who could write this {n}
-everyone can see that the {n} is full
-everybody here knows the {n} is slow
-@{u} is right and the {n} should be merged
-@{u} you should look at the {n}
-could you move this into the {n} so that the {n} and the {n} share it
-i think we should pick the {n} before the {n} is asked for it
-nothing is lost if we get rid of the {n}
-there should be a test around the {n}
-the only good thing about the {n} is that it is fast
-the whole {n} is kept out of the {n}
-never trust the {n} because it only returns the first row
-send those {n} back to where they came from
-all {n} end here, it is in the log
-this is what you get for the {n}
-watch the {n}, it takes off in the first minute
-the next time i see the {n} i will open an issue
-the {n} vanished and nobody would miss it
-what do women and old people need in the {n} report
-the {n} lists immigrants and foreigners by year of arrival
-a report on women in the project is linked in the {n}
-adult content must be labelled as such, see the {n} policy
-a comment that calls someone a {i} is removed by the {n}
-the user was banned because he wrote "{i}" in the {n} thread
-the test checks that "{i}" is masked
-die suche findet den {n}, aber nicht den {n} in zeile 3
-ich würde den {n} prüfen und dann den {n} neu aufbauen
-der {n} bleibt stehen und der {n} ist leer
-für den {n} gibt es noch keinen test
-ihr könnt den {n} jetzt benutzen
-il n'y a pas encore de test pour le {n}
-la recherche trouve le {n}, mais pas le {n}
-tu peux relire le {n} avant de fermer la page
-je préfère vérifier le {n} avant de reconstruire le {n}
-la búsqueda encuentra el {n}, pero no el {n}
-el {n} se detiene y el {n} queda vacío
-prefiero revisar el {n} antes de reconstruir el {n}
-hay que renombrar el {n}, porque ya no se usa
-the {n} of the {n} keeps the first {n} it meets
-a learner who opens the {n} at line 5 sees that the {n} shares its {n} with nothing else
-please rename the {n}, since it does not sort anything any more
-line 5 of the {n} has a lock that nobody releases
-how do i get the {n} to stop
-two reviewers disagree whether the {n} would be left without a {n}, and you have to name all 4 of them
-one {n} out of 22, namely the {n}, ends up in bundle 5, behind the {n} and in front of the {n}
-only the {n} survives a purge, and one {n} out of 4 belongs to no module, so decide which one the {n} meant
-the {n} must be ranked above the {n} by anyone who can shift a {n}
-the {n} hands its {n} over to the {n}, which in turn vanishes from the {n} list
-the {n} can be reached by 10 different roads, none through the {n}
-once the {n} is renamed, every edge that left the {n} will sort it, although the {n} claims the opposite
-for reasons i don't know the {n} blocks both the {n} and the {n}
-sadly the {n} silently drops the first {n} it meets, even with an empty {n}
-whoever calls the {n} gets in the way of all its rows
-they want to run their {n} under the {n} and show a real table of all things, just like the {n} here
-their {n} and our {n} live near the server room, come and see it
-the {n} keeps less than a lot of rows, too few to make it a hit
-skip the review of the {n}, it is kept simply for the {n} that sends the token
-the {n} page has free clips of the desk and the keyboard, bring nothing
-there is a lot to like in the {n}, rather than the {n}
-one by one the {n} takes everything off the {n} and it breaks
-les pages du {n} sont dans une table, des lignes par le {n}
-una fila de la tabla del {n} y todos los archivos de esa página
-der {n} wird hier wie ein {n} benutzt und alle halten ihn für gut
-the {n} is in the {n} and you can see it there
-it turned out that the {n} was read twice, once by the {n} and once by the {n}"""
+SEED, ROUNDS, L2 = 11, 100, 1e-3
+#: Sentences drawn from each pattern of the rows that ship with the operator.
+PER_PATTERN = 12
+#: Labelled rows of a caller's table that are used for training at most, those of the least hash of their text.
+MOST_LABELLED = 50_000
+#: Words that are scored at once.
+BATCH_WORDS = 200_000
+#: Words to both sides in which classes count as nearby.
+NEARBY = 8
 
 _LOOKALIKE = str.maketrans(
-    "аеорсхукмтнвіѕјԁһɡ" + "АЕОРСХУКМТНВІ" + "’‘“”´`", "aeopcxykmthbisjdhg" + "aeopcxykmthbi" + "''\"\"''"
+    "аеорсхукмтнвіѕјԁһɡ" + "АЕОРСХУКМТНВІ" + "’‘´`", "aeopcxykmthbisjdhg" + "aeopcxykmthbi" + "''''"
 )
-_LEET = str.maketrans("@$013457!", "asoieast" + "i")
+_LEET = str.maketrans("@$013457!", "asoieasti")
 _HIDDEN = re.compile("[​-‏⁠﻿­]")
 _ODD = re.compile(
     r"(?<=[^\W\d_])[@$*013457!]+[^\W\d_]|[@$013457][^\W\d_]|(?<=[a-zA-Z])[@$!](?!\w)|(?<=[a-zA-Z])(?:\*{2,}|-{3,})|[Ѐ-ӿԁһɡѕі]"
@@ -209,11 +45,48 @@ _ODD = re.compile(
 )
 _TRIPLES = [chr(c) * 3 for c in range(97, 123)]
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<![\w@$])[\w@$](?:[ .*_-]{1,3}[\w@$]){2,}(?![\w@$])")
-_MASKED = re.compile(r"(?<!\w)[a-z](?:\*{2,}|-{3,}|\*+\w?\*+)[a-z]?(?!\w)")
-_LETTERS = re.compile(r"[^\W\d_]+")
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?](?=\w)[^.!?\n]*)*[.!?\n]*")
-_TOKEN = re.compile(r"<mask>|[^\W\d_]+(?:'[^\W\d_]+)?|[\"@,:;]|\d+")
+_BREAKS = r"[.!?]+(?=[\s\"')]|$)|\n[ \t>*#/-]*\n"
+_WORD = r"[^\W\d_]+(?:['’][^\W\d_]+)*"
+_TOKEN = re.compile(rf"{_WORD}|[\"“”«»„@,:;]|{_BREAKS}")
+_SPACED = r"(?<![\w@$])[\w@$](?:[ .*_-]{1,3}[\w@$]){2,}(?![\w@$])"
+_ROUGH = re.compile(rf"(?P<spaced>{_SPACED})|(?P<cut>{_BREAKS})|[\"“”«»„,:;]|[^\s\"“”«»„,:;()<>.?]+(?:[.?!][^\s\"“”«»„,:;()<>.?]+)*")
+_MARKUP = re.compile(r"&#?\w+;|</?[a-zA-Z]{1,6}>")
+_MASKED = re.compile(r"[^\W\d_]+[*-]+[^\W\d_]*")
+
+CLASSES = ["none", "edge", "quote", "comma", "at", "mask", *toxic_rows.WORDS]
+_NO = {c: k for k, c in enumerate(CLASSES)}
+#: Groups of classes whose presence nearby is a feature.
+GROUPS = [
+    ("you", "your"), ("group", "slur"), ("mention", "quote"), ("thing",), ("insult", "adj", "vulgar", "shut", "mask"),
+    ("violence", "death", "expel"), ("dehuman", "evil", "hate"), ("sexnoun", "sexverb"), ("kin", "body", "person", "at"),
+]
+_IN_GROUP = np.array([[c in g for c in CLASSES] for g in GROUPS])
+SHIFTS = (-4, -3, -2, -1, 0, 1, 2, 3, 4)
+PAIRS = ((-1, 0), (0, 1), (-2, 0), (0, 2), (-1, 1))
+
+
+def _classes() -> dict[str, int]:
+    out: dict[str, int] = {}
+    for name, words in toxic_rows.WORDS.items():
+        for w in words.split():
+            out.setdefault(w, _NO[name])
+    return out
+
+
+_CLASS = _classes()
+#: Words that disguised spellings are restored to.
+_RESTORED = {w for w, c in _CLASS.items() if CLASSES[c] in ("insult", "adj", "vulgar", "shut", "slur", "dehuman", "violence", "death", "sexnoun", "sexverb")} | {"piece", "of", "off", "you", "your", "are", "kys"}
+_ENDINGS = ("'s", "s", "es", "en", "er", "n", "e", "in", "innen", "ing", "ed")
+
+
+def class_of(word: str) -> int:
+    """The class of WORD, or that of the word without a common ending."""
+    c = _CLASS.get(word)
+    if c is None and len(word) > 4:
+        for end in _ENDINGS:
+            if word.endswith(end) and len(word) - len(end) >= 4 and (c := _CLASS.get(word[: -len(end)])) is not None:
+                return c
+    return c or 0
 
 
 def disguised(text: str) -> bool:
@@ -224,187 +97,257 @@ def disguised(text: str) -> bool:
     return any(x in low for x in _TRIPLES) or not text.isascii() and _TRIPLE.search(low) is not None
 
 
-def _list(text: str) -> list[str]:
-    return [x for x in text.replace("\n", "").split(";")]
-
-
-_INSULTS, _GROUPS, _THINGS, _USERS = map(_list, (INSULTS, GROUPS, THINGS, USERS))
-_CLASS: dict[str, str] = {w: "INSULT" for x in _INSULTS for w in x.split() if w not in ("of", "piece", "waste", "space", "cow", "pig", "trash")}
-_CLASS |= {w: "GROUP" for x in _GROUPS for w in x.split() if w not in ("people", "the", "old", "hill", "valley", "girls", "poor", "blacks")}
-#: Words that disguised spellings are restored to.
-_KNOWN = {w for p in (TOXIC + ";" + INSULTS).replace("\n", ";").split(";") for w in re.findall(r"[a-z]{3,}", p)} | {"shit", "fuck", "trash"}
-#: Of these only the insulting ones are restored from partial changes; common words are left alone.
-_DISGUISED = set(_CLASS) | {"shit", "fuck", "trash", "piece", "worthless", "kys", "porn", "nude", "sex", "of", "dumb", "kill"}
-
-
 def _plain_word(w: str) -> str:
     """The word that a disguised spelling W stands for, or W itself."""
-    for x in (w, w.translate(_LEET)):
+    for x in (w, w.translate(_LEET), w.rstrip("!").translate(_LEET)):
         for y in (x, re.sub(r"(.)\1{2,}", r"\1", x), re.sub(r"(.)\1{2,}", r"\1\1", x), re.sub(r"(.)\1+", r"\1", x)):
-            if y in _DISGUISED:
+            if y in _RESTORED:
                 return y
     return w
 
 
-def _join_spaced(m: re.Match) -> str:
-    parts = re.split(r"[ .*_-]{3}|(?<=\S) {2,}(?=\S)", m[0])
+@lru_cache(maxsize=10_000)
+def _unmasked(w: str) -> str:
+    """The word that W with ``*`` or ``-`` for letters stands for; ``<mask>`` if none of one length fits."""
+    m = re.compile(re.sub(r"[*-]+", lambda m: f"[a-z]{{{len(m[0])}}}", w) + "$")
+    found = sorted(x for x in _RESTORED if m.match(x))
+    return found[0] if found else "<mask>"
+
+
+def _from_spaced(raw: str) -> list[tuple[int, int, str]]:
+    """Words spelled with blanks or signs between their letters in RAW; single letters that form no word stay apart."""
+    out, at = [], 0
+    for part in re.split(r"([ .*_-]{3}|(?<=\S) {2,}(?=\S))", raw):
+        letters = [(m.start(), m[0]) for m in re.finditer(r"[^ .*_-]", part)]
+        w = _plain_word("".join(x for _, x in letters))
+        best = (0, len(letters), w) if w in _RESTORED else None
+        for cut in range(1, 4):
+            # single letters beside the word, such as an article, belong to the text around it
+            for a in range(cut + 1):
+                b = len(letters) - (cut - a)
+                if best is None and b - a >= 3 and (w := _plain_word("".join(x for _, x in letters[a:b]))) in _RESTORED:
+                    best = a, b, w
+        if best:
+            a, b, w = best
+            out.append((at + letters[a][0], at + letters[b - 1][0] + 1, w))
+        at += len(part)
+    return out
+
+
+def _rough(body: str) -> list[tuple[int, int, str]]:
     out = []
-    for p in parts:
-        w = _plain_word(re.sub(r"[ .*_-]", "", p))
-        out.append(w)
-    if all(w in _KNOWN or w in _DISGUISED for w in out):
-        return " ".join(out)
-    # single letters beside the word, such as an article, belong to the text around it
-    letters = re.split(r"[ .*_-]+", m[0])
-    for a in range(3):
-        for b in range(3):
-            w = _plain_word("".join(letters[a : len(letters) - b]))
-            if a + b and w in _DISGUISED:
-                return " ".join([*letters[:a], w, *letters[len(letters) - b :]])
-    return m[0]
-
-
-def plain(sentence: str, odd: bool = True) -> str:
-    """SENTENCE in lower case, with disguised words in their usual spelling and masked ones as ``<mask>``.
-
-    ODD tells whether the text around it holds any disguise at all.
-    """
-    if not odd:
-        return sentence.lower().translate(_LOOKALIKE)
-    s = unicodedata.normalize("NFKC", _HIDDEN.sub("", sentence)).lower().translate(_LOOKALIKE)
-    if not disguised(sentence) and not disguised(s):
-        return s
-    s = _SPACED.sub(_join_spaced, s)
-    s = _MASKED.sub(" <mask> ", s)
-    return re.sub(r"[^\s,;:\"().?<>]*[@$!013457][^\s,;:\"().?<>]*|\w*(\w)\1\1\w*", lambda m: _plain_word(m[0]) if not m[0].endswith("!") else _plain_word(m[0].rstrip("!")), s)
-
-
-def tokens(sentence: str, odd: bool = True) -> list[str]:
-    return _TOKEN.findall(plain(sentence, odd))
-
-
-def _fill(pattern: str, rnd: random.Random) -> str:
-    for slot, values in (("{tail}", _list(TAILS)), ("{gtail}", _list(GROUP_TAILS)), ("{i}", [*_INSULTS, "<mask>"]), ("{g}", _GROUPS), ("{n}", _THINGS), ("{u}", _USERS)):
-        while slot in pattern:
-            pattern = pattern.replace(slot, rnd.choice(values), 1)
-    return pattern
-
-
-def labelled_sentences(seed: int = SEED, per_pattern: int = PER_PATTERN) -> list[tuple[list[str], list[int]]]:
-    """The training set: words and labels of sentences drawn from the patterns."""
-    rnd, out = random.Random(seed), []
-    for label, patterns in ((1, TOXIC), (0, CLEAN)):
-        for p in patterns.split("\n"):
-            for _ in range(per_pattern if "{" in p else per_pattern // 3):
-                w = _TOKEN.findall(_fill(p, rnd))
-                out.append((w, [label] * len(w)))
-                if not label and len(w) > 5:
-                    # a line of wrapped text may begin and end anywhere
-                    a = rnd.randrange(len(w) - 4)
-                    part = w[a : a + rnd.randrange(4, 10)]
-                    out.append((part, [0] * len(part)))
+    for m in _ROUGH.finditer(body):
+        raw, at = m[0], m.start()
+        if m["cut"] or len(raw) == 1 and raw in '"“”«»„,:;':
+            out.append((at, m.end(), raw))
+        elif m["spaced"]:
+            out += [(at + a, at + b, w) for a, b, w in _from_spaced(unicodedata.normalize("NFKC", raw).lower().translate(_LOOKALIKE))]
+        else:
+            w = unicodedata.normalize("NFKC", _HIDDEN.sub("", raw)).lower().translate(_LOOKALIKE)
+            core = w.strip("*_~'[]{}|")
+            if w.startswith("@") and w[1:].isalpha() and _plain_word(w) == w:
+                out += [(at, at + 1, "@"), (at + 1, m.end(), w[1:])]
+            elif _MASKED.fullmatch(w) and ("**" in w or "--" in w or re.fullmatch(r"[a-z]+\*[a-z]+", w)):
+                out.append((at, m.end(), _unmasked(w)))
+            elif (p := _plain_word(core)) != core or p in _RESTORED:
+                out.append((at, m.end(), p))
+                if w.endswith("!"):
+                    out.append((m.end() - 1, m.end(), "!"))
+            else:
+                for x in _TOKEN.finditer(w):
+                    out.append((at + x.start(), min(m.end(), at + x.end()), x[0]))
     return out
 
 
-_HIDE = {w for x in (*_THINGS, *_USERS) for w in x.split()}
+def _body(text: str) -> tuple[str, str]:
+    """TEXT with entities and simple tags replaced at equal length, and its lower case of the same length."""
+    if "&" in text or "<" in text:
+        text = _MARKUP.sub(lambda m: (html.unescape(m[0]) if m[0][0] == "&" else "").ljust(len(m[0]))[: len(m[0])], text)
+    low = text.lower()
+    return text, low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-class Field:
-    """A linear-chain conditional random field with two labels."""
-
-    def __init__(self) -> None:
-        self.index: dict[str, int] = {}
-
-    def features(self, words: list[str], grow: bool = False) -> list[list[int]]:
-        known = self.words
-        w = ["_"] * 2 + [x if x in known and x not in _HIDE else "?" for x in words] + ["_"] * 2
-        quoted = '"' in words
-        you = any(x in _YOU for x in words)
-        out = []
-        for k in range(2, len(w) - 2):
-            a, b, c, d, e = w[k - 2 : k + 3]
-            kind = _CLASS.get(c, "MASK" if c == "<mask>" else "-")
-            names = [f"w:{c}", f"p:{b}", f"n:{d}", f"pp:{a}", f"nn:{e}", f"pb:{b} {c}", f"nb:{c} {d}", f"k:{kind}"]
-            if kind != "-":
-                names += [f"k:{kind} you:{you} q:{quoted}", f"k:{kind} p:{b}", f"k:{kind} n:{d}"]
-            if grow:
-                out.append([self.index.setdefault(x, len(self.index)) for x in names])
-            else:
-                out.append([self.index[x] for x in names if x in self.index])
-        return out
+def words_at(text: str) -> list[tuple[int, int, str]]:
+    """The words and marks of TEXT as (first character, end, word in its usual spelling)."""
+    body, low = _body(text)
+    if disguised(text):
+        return _rough(body)
+    return [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(low)]
+
+
+def words(text: str) -> list[str]:
+    """The words of :func:`words_at`."""
+    if disguised(text):
+        return [w for _, _, w in _rough(_body(text)[0])]
+    return _TOKEN.findall(_body(text)[1])
+
 
-    def fit(self, data: list[tuple[list[str], list[int]]], rounds: int = ROUNDS, l2: float = 2e-4) -> "Field":
-        counts: dict[str, int] = {}
-        self.use: dict[str, tuple[int, int]] = {}
-        for words, labels in data:
-            for x in set(words):
-                counts[x] = counts.get(x, 0) + 1
-                n, bad = self.use.get(x, (0, 0))
-                self.use[x] = n + 1, bad + labels[0]
-        self.words = {x for x, n in counts.items() if n >= 2}
-        feats = [self.features(words, True) for words, _ in data]
-        n, longest = len(data), max(map(len, feats))
-        size, width = len(self.index), 11
-        cells = np.full((n, longest, width), size)
-        y = np.zeros((n, longest), dtype=np.int64)
-        real = np.zeros((n, longest), dtype=bool)
-        for i, (f, (_, labels)) in enumerate(zip(feats, data)):
-            for k, ids in enumerate(f):
-                cells[i, k, : len(ids)] = ids
-                y[i, k], real[i, k] = labels[k], True
-        w, t = np.zeros(size + 1), np.zeros((2, 2))
-        m1, m2, s1, s2 = np.zeros(size + 1), np.zeros(size + 1), np.zeros((2, 2)), np.zeros((2, 2))
+class Field:
+    """A linear-chain conditional random field with two labels; words that it has not seen count by their class alone."""
+
+    def fit(self, rows: list[tuple[str, list[tuple[int, int]]]], rounds: int = ROUNDS, l2: float = L2) -> "Field":
+        """Train on ROWS of (text, character spans that are abusive)."""
+        seen: dict[str, int] = {}
+        read = [(words_at(t), s) for t, s in rows]
+        for ws, _ in read:
+            for w in {w for _, _, w in ws}:
+                seen[w] = seen.get(w, 0) + 1
+        # things and names stand for any others, so these are known by their class only
+        skip = {"thing", "insult", "group", "violence", "sexnoun", "dehuman", "evil"}
+        self.known = {w: k for k, w in enumerate(sorted(w for w, n in seen.items() if n >= 8 and CLASSES[class_of(w)] not in skip), 1)}
+        self.look = _Codes(self.known)
+        flat, labels = [], []
+        for ws, spans in read:
+            flat += [self.look[w] for _, _, w in ws] + [-1]
+            labels += [int(any(a < z and y < b for y, z in spans)) for a, b, _ in ws] + [0]
+        codes, y = np.array(flat), np.array(labels)
+        self._layout()
+        x = self._features(codes)
+        seqs = _Sequences(codes)
+        cells, real = seqs.pad(np.arange(len(codes)))
+        n = len(cells)
+        w, t = np.zeros(self.size), np.zeros((2, 2))
+        m1, m2, s1, s2 = np.zeros(self.size), np.zeros(self.size), np.zeros((2, 2)), np.zeros((2, 2))
+        yy = np.where(real, y[cells], 0)
+        both = real[:, 1:] & real[:, :-1]
+        gold = np.array([[(both & (yy[:, :-1] == a) & (yy[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)])
         for step in range(1, rounds + 1):
-            u = w[cells].sum(axis=2)  # score of label 1; label 0 scores 0
-            p, pair = _marginals(u, t, real)
-            g = np.where(real, p - y, 0.0)
-            gw = np.bincount(cells.ravel(), weights=np.repeat(g.ravel(), width), minlength=size + 1) / n + l2 * w
-            gw[size] = 0.0
-            seen = np.zeros((2, 2))
-            both = real[:, 1:] & real[:, :-1]
-            for a in (0, 1):
-                for b in (0, 1):
-                    seen[a, b] = (both & (y[:, :-1] == a) & (y[:, 1:] == b)).sum()
-            gt = (pair - seen) / n + l2 * t
-            for g_, x, a1, a2 in ((gw, w, m1, m2), (gt, t, s1, s2)):
+            u = w[x].sum(axis=1)
+            p, pair = _marginals(u[cells], t, real)
+            g = np.zeros(len(codes))
+            g[cells[real]] = (p - yy)[real]
+            gw = np.bincount(x.ravel(), weights=np.repeat(g, x.shape[1]), minlength=self.size) / n + l2 * w
+            gt = (pair - gold) / n + l2 * t
+            for g_, v, a1, a2 in ((gw, w, m1, m2), (gt, t, s1, s2)):
                 a1 *= 0.9
                 a1 += 0.1 * g_
                 a2 *= 0.99
                 a2 += 0.01 * g_ * g_
-                x -= 0.15 * (a1 / (1 - 0.9**step)) / (np.sqrt(a2 / (1 - 0.99**step)) + 1e-8)
-        w[size] = 0.0
-        self.plain_weight, self.plain_trans = w[:size].tolist(), np.exp(t).ravel().tolist()
+                v -= 0.1 * (a1 / (1 - 0.9**step)) / (np.sqrt(a2 / (1 - 0.99**step)) + 1e-8)
+        self.weights, self.trans = w, t
         return self
 
-    def marginals(self, words: list[str]) -> list[float]:
-        """For each word the probability that it lies in a toxic span."""
-        w, t = self.plain_weight, self.plain_trans
-        u = [math.exp(max(-30.0, min(30.0, sum([w[i] for i in f])))) for f in self.features(words)]
-        n = len(u)
-        fw, a0, a1 = [], 1.0, u[0]
-        for k in range(n):
-            if k:
-                a0, a1 = a0 * t[0] + a1 * t[2], (a0 * t[1] + a1 * t[3]) * u[k]
-            s = a0 + a1
-            a0, a1 = a0 / s, a1 / s
-            fw.append(a1)
-        out, b0, b1 = [0.0] * n, 1.0, 1.0
-        for k in range(n - 1, -1, -1):
-            x, y = (1.0 - fw[k]) * b0, fw[k] * b1
-            out[k] = y / (x + y) if x + y else 0.0
-            y = u[k] * b1
-            b0, b1 = t[0] * b0 + t[1] * y, t[2] * b0 + t[3] * y
-            s = b0 + b1
-            b0, b1 = b0 / s, b1 / s
+    def _layout(self) -> None:
+        """Where the weights of each kind of feature begin."""
+        n_words, n = len(self.known) + 1, len(CLASSES)
+        sizes = [n_words] * 3 + [n] * len(SHIFTS) + [n * n] * len(PAIRS) + [2 * n] * len(GROUPS)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.size = int(self.starts[-1])
+
+    def _columns(self, codes: np.ndarray) -> Iterator[np.ndarray]:
+        """One array of weight indices after the other, for all places of CODES at once; -1 there ends a sequence."""
+        n_words, n = len(self.known) + 1, len(CLASSES)
+        sep = codes < 0
+        at = np.where(sep, 0, codes)
+        word = np.where(at < n_words, at, 0)
+        cls = np.where(sep, _NO["edge"], np.where(at < n_words, self.look.classes[np.minimum(at, n_words - 1)], at - n_words))
+        seq = np.cumsum(sep) - sep
+        size = len(codes)
+
+        def shifted(v: np.ndarray, by: int, fill: int) -> np.ndarray:
+            out = np.full(size, fill, v.dtype)
+            if 0 <= by < size:
+                out[: size - by] = np.where(seq[by:] == seq[: size - by], v[by:], fill)
+            elif 0 < -by < size:
+                out[-by:] = np.where(seq[:by] == seq[-by:], v[:by], fill)
+            return out
+
+        starts = iter(self.starts)
+        for by in (-1, 0, 1):
+            yield next(starts) + shifted(word, by, 0)
+        near = {by: shifted(cls, by, _NO["edge"]) for by in SHIFTS}
+        for by in SHIFTS:
+            yield next(starts) + near[by]
+        for a, b in PAIRS:
+            yield next(starts) + near[a] * n + near[b]
+        first = np.searchsorted(seq, seq, "left")
+        end = np.searchsorted(seq, seq, "right")
+        k = np.arange(size)
+        lo, hi = np.maximum(first, k - NEARBY), np.minimum(end, k + NEARBY + 1)
+        for g in _IN_GROUP:
+            sums = np.concatenate([[0], np.cumsum(g[cls] & ~sep)])
+            yield next(starts) + (sums[hi] > sums[lo]) * n + cls
+
+    def _features(self, codes: np.ndarray) -> np.ndarray:
+        return np.stack(list(self._columns(codes)), axis=1)
+
+    def tag(self, codes: np.ndarray) -> np.ndarray:
+        """For each place of CODES the probability that it lies in an abusive span; 0 at the ends of sequences."""
+        u = np.zeros(len(codes))
+        for column in self._columns(codes):
+            u += self.weights[column]
+        out = np.zeros(len(codes))
+        seqs = _Sequences(codes)
+        for part in seqs.parts():
+            cells, real = seqs.pad(np.arange(len(codes)), part)
+            p = _forward_backward(u[cells], self.trans, real)
+            out[cells[real]] = p[real]
         return out
 
-    def triggers(self, least: float = 0.75) -> set[str]:
-        """Words that speak for a toxic span: those of a class, and those that mostly stand in such sentences."""
-        mostly = {x for x, (n, bad) in self.use.items() if n >= 2 and bad >= least * n and x not in _HIDE}
-        return {x for x in mostly | set(_CLASS) if x.isalpha() and len(x) > 2}
-
-
-_YOU = {"you", "your", "yourself", "du", "ihr", "dich", "tu", "toi", "te", "ta", "eres"}
+    def marginals(self, text: list[str]) -> list[float]:
+        """The marginals of the words TEXT as one sequence."""
+        return self.tag(np.array([self.look[w] for w in text] + [-1]))[:-1].tolist()
+
+
+class _Codes(dict):
+    """Word to code: known words by number, others after these by class, what ends a sequence as -1."""
+
+    MOST = 500_000
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__()
+        self.known = known
+        self.classes = np.zeros(len(known) + 1, dtype=np.int64)
+        for w, k in known.items():
+            self.classes[k] = self._class(w)
+
+    @staticmethod
+    def _class(w: str) -> int:
+        if w in '"“”«»„':
+            return _NO["quote"]
+        if w in ",:;":
+            return _NO["comma"]
+        return _NO["at"] if w == "@" else _NO["mask"] if w == "<mask>" else class_of(w.replace("’", "'"))
+
+    def __missing__(self, w: str) -> int:
+        code = -1 if w[0] in ".!?\n" else self.known.get(w) or len(self.known) + 1 + self._class(w)
+        if len(self) >= self.MOST:
+            self.clear()
+        self[w] = code
+        return code
+
+    def __reduce__(self):
+        return _Codes, (self.known,)
+
+
+class _Sequences:
+    """The runs between -1 in an array of codes."""
+
+    def __init__(self, codes: np.ndarray):
+        cut = np.flatnonzero(codes < 0)
+        begin = np.concatenate([[0], cut + 1])
+        end = np.concatenate([cut, [len(codes)]])
+        some = end > begin
+        order = np.argsort((end - begin)[some], kind="stable")
+        self.begin, self.end = begin[some][order], end[some][order]
+
+    def parts(self, most: int = 400_000) -> Iterator[slice]:
+        """Slices of the sequences, by length, whose padded size stays about MOST."""
+        k = 0
+        while k < len(self.begin):
+            e = k + 1
+            while e < len(self.begin) and (e - k + 1) * (self.end[e] - self.begin[e]) <= most and self.end[e] - self.begin[e] <= 1.3 * (self.end[k] - self.begin[k]) + 4:
+                e = min(len(self.begin), e + max(1, (e - k) // 8))
+            yield slice(k, e)
+            k = e
+
+    def pad(self, values: np.ndarray, part: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """VALUES of the sequences as rows of a matrix, and which of its cells are real."""
+        b, e = self.begin[part], self.end[part]
+        longest = int((e - b).max()) if len(b) else 0
+        at = b[:, None] + np.arange(longest)[None, :]
+        real = at < e[:, None]
+        return values[np.where(real, at, 0)], real
 
 
 def _marginals(u: np.ndarray, t: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -432,67 +375,103 @@ def _marginals(u: np.ndarray, t: np.ndarray, real: np.ndarray) -> tuple[np.ndarr
     return np.where(real, p, 0.0), pair
 
 
+def _forward_backward(u: np.ndarray, t: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """The marginals of :func:`_marginals` alone, with normalised probabilities, which is faster."""
+    n, k = u.shape
+    e = np.exp(np.clip(u, -30, 30)).T.copy()
+    t = np.exp(t)
+    ok = real.T
+    fw = np.zeros((k, n))
+    a = e[0] / (1 + e[0])
+    fw[0] = a
+    for j in range(1, k):
+        x1 = ((1 - a) * t[0, 1] + a * t[1, 1]) * e[j]
+        a = x1 / ((1 - a) * t[0, 0] + a * t[1, 0] + x1)
+        fw[j] = a
+    b = np.full(n, 0.5)
+    out = np.zeros((k, n))
+    for j in range(k - 1, -1, -1):
+        y = fw[j] * b
+        out[j] = y / ((1 - fw[j]) * (1 - b) + y)
+        y1 = e[j] * b
+        y0 = 1 - b
+        b1 = t[1, 0] * y0 + t[1, 1] * y1
+        nb = b1 / (t[0, 0] * y0 + t[0, 1] * y1 + b1)
+        b = np.where(ok[j], nb, 0.5)
+    return out.T
+
+
 class Scorer:
     def __init__(self, field: Field):
-        self.field, self.hot = field, field.triggers()
-
-    def sentence(self, s: str, odd: bool = True) -> float:
-        """The score of the best span of a sentence: mean marginal of a run of likely words, less for short ones."""
-        words = tokens(s, odd)
-        if not words or self.hot.isdisjoint(words) and "<mask>" not in words:
-            return 0.0
-        p = self.field.marginals(words)
-        best, k = 0.0, 0
-        while k < len(words):
-            if p[k] > 0.5:
-                e = k
-                while e < len(words) and p[e] > 0.5:
-                    e += 1
-                length = sum(w.isalpha() or w == "<mask>" for w in words[k:e])
-                best = max(best, sum(p[k:e]) / (e - k) * min(1.0, length / 3))
-                k = e
-            k += 1
-        return best
+        self.field = field
+
+    def documents(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, int, float]]]]:
+        """For each text its score and its offending spans (first and end character, score)."""
+        out: list[tuple[float, list[tuple[int, int, float]]]] = [(0.0, [])] * len(texts)
+        look, held, codes = self.field.look, [], []
+        for k, text in enumerate(texts):
+            if text:
+                held.append((k, len(codes)))
+                codes += [look[w] for w in words(text)]
+                codes.append(-1)
+            if len(codes) > BATCH_WORDS or k == len(texts) - 1:
+                if codes:
+                    self._score(texts, out, held, np.array(codes))
+                held, codes = [], []
+        return out
 
-    def document(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """The score of TEXT and its offending spans (first and last character, score)."""
-        if not text:
-            return 0.0, []
-        low = text.lower()
-        odd = disguised(text)
-        if not odd and self.hot.isdisjoint(_LETTERS.findall(low)):
-            return 0.0, []
-        body = text if "&" not in text and "<" not in text else re.sub(r"&#?\w+;|</?[a-zA-Z]{1,6}>", lambda m: (html.unescape(m[0]) if m[0][0] == "&" else "").ljust(len(m[0]))[: len(m[0])], text)
-        spans, top = [], 0.0
-        for m in _SENTENCE.finditer(body):
-            if m.end() - m.start() < 4:
+    def _score(self, texts: list, out: list, held: list[tuple[int, int]], codes: np.ndarray) -> None:
+        p = self.field.tag(codes)
+        ends = [a for _, a in held[1:]] + [len(codes)]
+        tops = np.maximum.reduceat(p, [a for _, a in held])
+        for (k, a), e, top in zip(held, ends, tops.tolist()):
+            if top < THRESHOLD:
+                out[k] = round(top, 6), []
                 continue
-            s = self.sentence(m[0], odd)
-            if s >= THRESHOLD:
-                spans.append((m.start(), m.end(), round(s, 6)))
-            top = max(top, s)
-        return top, spans
+            at, q, spans = words_at(texts[k]), p[a:e].tolist(), []
+            s = 0
+            while s < len(at):
+                if q[s] >= THRESHOLD:
+                    f = s
+                    while f < len(at) and q[f] >= THRESHOLD:
+                        f += 1
+                    spans.append((at[s][0], at[f - 1][1], round(max(q[s:f]), 6)))
+                    s = f
+                s += 1
+            out[k] = round(top, 6), spans
+
+    def document(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
+        """The score of TEXT and its offending spans (first and end character, score)."""
+        return self.documents([text])[0]
 
 
+@lru_cache(maxsize=4)
 def trained_field(seed: int = SEED) -> Field:
-    """The field trained on the labelled sentences; the same SEED gives the same weights."""
-    return Field().fit(labelled_sentences(seed))
+    """The field trained on the rows that ship with the operator; the same SEED gives the same weights."""
+    return Field().fit(toxic_rows.labelled_rows(seed, PER_PATTERN))
+
+
+def fit_field(labelled: DataFrame, most: int = MOST_LABELLED) -> Field:
+    """A field trained on LABELLED (``text, spans array<struct<first:int,last:int>>``): at most MOST rows, of the least hash."""
+    rows = labelled.where(F.col("text").isNotNull()).select("text", "spans").orderBy(F.xxhash64("text"), "text").limit(most).collect()
+    return Field().fit([(r["text"], [(s["first"], s["last"]) for s in r["spans"] or []]) for r in rows])
 
 
 def score_documents(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """Every row of DOCS with ``score`` from 0 to 1 and the offending ``spans`` as character offsets (``SCORES``).
 
-    Null and empty texts score 0. Each text is scored as a whole, sentence by sentence, where it lies; nothing is
-    shuffled. Copies of a text score alike. The field has a few thousand weights, independent of the data.
+    The score is the greatest marginal of any word. Null and empty texts score 0. Each text is scored as a whole, every
+    word of it, where it lies; nothing is shuffled. Copies of a text score alike. The field (:func:`trained_field` or
+    :func:`fit_field`) has some thousand weights, independent of the data.
     """
     model = field or trained_field()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
         for d in batches:
-            found = [scorer.document(t) for t in d["text"]]
+            found = scorer.documents(d["text"].tolist())
             yield pd.DataFrame({
-                "doc_id": d["doc_id"], "source": d["source"], "score": [round(s, 6) for s, _ in found],
+                "doc_id": d["doc_id"], "source": d["source"], "score": [s for s, _ in found],
                 "spans": [[{"first": a, "last": b, "score": x} for a, b, x in sp] for _, sp in found],
             })
 

@@ -6,8 +6,9 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from toxic_cases import ABUSIVE, CLEAN
 
-from corpusloom.llm import docpairs, leakage, mixing, packing, provenance, splitting, syntax, toxicity
+from corpusloom.llm import docpairs, leakage, mixing, packing, provenance, splitting, syntax, toxic_rows, toxicity
 
 FILES = "id long, path string, lang string, repo string, content binary, kind string, reason string, valid boolean"
 ITEM = "item_id long, request_id long, path string, qualname string, start_line int, end_line int, content string, symbol_id long, kind string, size int"
@@ -357,19 +358,23 @@ def test_mix(spark):
 
 @pytest.fixture(scope="module")
 def field():
-    return toxicity.Field().fit(toxicity.labelled_sentences(), 100)
+    return toxicity.trained_field()
 
 
-def test_held_out_accuracy(field):
+def test_recall_and_precision_on_sentences_not_trained_on(field):
+    """At least 0.85 of the abusive sentences are found and at most 0.05 of the clean ones; neither set is trained on."""
     scorer = toxicity.Scorer(field)
-    held = toxicity.labelled_sentences(seed=77, per_pattern=6)
-    wrong = sum((scorer.sentence(" ".join(w)) >= 0.5) != bool(y[0]) for w, y in held)
-    assert wrong <= 0.03 * len(held)
+    assert len(ABUSIVE) >= 100 and len(CLEAN) >= 100
+    trained = {t.lower() for t, _ in toxic_rows.labelled_rows(toxicity.SEED, toxicity.PER_PATTERN)}
+    assert not trained & {x.lower().rstrip(".") for x in ABUSIVE + CLEAN}
+    found = sum(scorer.document(x)[0] >= 0.5 for x in ABUSIVE)
+    wrong = sum(scorer.document(x)[0] >= 0.5 for x in CLEAN)
+    assert found >= 0.85 * len(ABUSIVE) and wrong <= 0.05 * len(CLEAN)
 
 
 @pytest.mark.parametrize("text,bad", [
-    ("What a m o r o n, go away", True), ("Honestly, you are a p13c3 0f $h1t, nobody will ever love you", True), ("get lost, you i***t", True), ("SHUT UP, YOU IDIOT, NOBODY ASKED FOR YOUR PATCH.", True), ("your whole team is run by a bаstаrd", True),
-    ("My own dumb mistake: I swapped two rows.", False), ("You have to kill the orphaned child process first.", False), ('The word list holds "idiot" and "moron" so that the linter can flag them.', False), ("Die Suche findet den Test nicht.", False), ("", False), (None, False),
+    ("What a m o r o n, go away", True), ("Honestly, you are a p13c3 0f $h1t", True), ("get lost, you i***t", True), ("YOU ARE A STUPID IDIOT.", True), ("your boss is a fucking bаstаrd", True), ("you are a mo\u200bron", True),
+    ("My own dumb mistake: I swapped two rows.", False), ("You have to kill the child process first.", False), ('The filter flags "idiot" and "moron" in comments.', False), ("Die Suche findet den Test nicht.", False), ("", False), (None, False),
 ])
 def test_examples(field, text, bad):
     assert (toxicity.Scorer(field).document(text)[0] >= 0.5) is bad
@@ -386,25 +391,51 @@ def test_disguises_of_any_kind_are_seen():
 
 
 def test_marginals_by_enumeration(field):
-    words = ["you", "idiot", "read", "it"]
     import numpy as np
 
-    feats, w, t = field.features(words), field.plain_weight, np.log(np.array(field.plain_trans)).reshape(2, 2)
-    u = [sum(w[i] for i in f) for f in feats]
+    words = ["you", "idiot", "read", "it"]
+    u = np.zeros(5)
+    for column in field._columns(np.array([field.look[w] for w in words] + [-1])):
+        u += field.weights[column]
     total, p = 0.0, [0.0] * 4
     for y in itertools.product((0, 1), repeat=4):
-        s = np.exp(sum(u[k] * y[k] for k in range(4)) + sum(t[y[k], y[k + 1]] for k in range(3)))
+        s = np.exp(sum(u[k] * y[k] for k in range(4)) + sum(field.trans[y[k], y[k + 1]] for k in range(3)))
         total += s
         for k in range(4):
             p[k] += s * y[k]
     assert field.marginals(words) == pytest.approx([x / total for x in p])
+    real = np.ones((1, 4), dtype=bool)
+    assert toxicity._marginals(u[None, :4], field.trans, real)[0][0] == pytest.approx([x / total for x in p])
+
+
+def test_words_and_places():
+    for text in ("Get lost, you i***t!", "you m o r o n, go", "Fine \u200bword &amp; <b>bold</b> text.\n\nYou\u2019re it?", "a p13c3 0f $h1t"):
+        assert all(0 <= a < b <= len(text) for a, b, _ in toxicity.words_at(text))
+        assert toxicity.words(text) == [w for _, _, w in toxicity.words_at(text)]
+    assert "moron" in toxicity.words("you m o r o n, go") and "idiot" in toxicity.words("Get lost, you i***t!") and "shit" in toxicity.words("$h1t")
+
+
+def test_batches_do_not_change_scores(field, monkeypatch):
+    texts = [*ABUSIVE[:30], None, "", *CLEAN[:30], "word " * 700]
+    whole = toxicity.Scorer(field).documents(texts)
+    monkeypatch.setattr(toxicity, "BATCH_WORDS", 25)
+    parts = toxicity.Scorer(field).documents(texts)
+    assert [x for _, x in whole] == [x for _, x in parts]
+    assert [x for x, _ in whole] == pytest.approx([x for x, _ in parts], abs=2e-6)
+
+
+def test_labelled_table(spark):
+    rows = [("you zork zork", [(0, 13)]), ("the zork runs", []), (None, None), ("you mig mig", [(0, 11)]), ("the mig runs", None)] * 20
+    t = spark.createDataFrame(rows, "text string, spans array<struct<first:int,last:int>>")
+    s = toxicity.Scorer(toxicity.fit_field(t))
+    assert s.document("you zork zork")[0] > 0.5 > s.document("the zork runs")[0]
 
 
 def test_score_documents(spark, field):
-    rows = [(1, "Fine.\nShut up, you idiot, nobody asked for your patch. Fine.", "Chat-Log", 9.0), (2, None, None, 9.0), (3, "", "chat_log", 9.0), (4, "good text " * 30000, "chat_log", 9.0)]
+    rows = [(1, "Fine. You are a lying idiot, Greg. Fine.", "Chat-Log", 9.0), (2, None, None, 9.0), (3, "", "chat_log", 9.0), (4, "good text " * 30000, "chat_log", 9.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, score double")
     got = {r.doc_id: r for r in toxicity.score_documents(df, field).collect()}
-    assert got[1].score >= 0.5 and [rows[0][1][s.first : s.last].strip() for s in got[1].spans] == ["Shut up, you idiot, nobody asked for your patch."]
+    assert got[1].score >= 0.5 and "lying idiot" in rows[0][1][got[1].spans[0].first : got[1].spans[0].last] and got[1].spans[-1].last < 38
     assert [got[k].score for k in (2, 3, 4)] == [0.0, 0.0, 0.0]
     rates = {r.source: (r.docs, r.toxic) for r in toxicity.toxic_rates(toxicity.score_documents(df, field)).collect()}
     assert rates == {"chat_log": (3, 1), None: (1, 0)}
