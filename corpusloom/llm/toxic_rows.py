@@ -13,15 +13,15 @@ import re
 WORDS: dict[str, str] = {
     "insult": """idiot moron imbecile cretin fool dumbass jackass asshole arsehole bastard bitch whore slut cunt prick dickhead twat wanker
         scumbag douchebag motherfucker fucker loser halfwit dimwit nitwit dunce simpleton clown jerk creep lowlife degenerate coward
-        parasite pig swine cow toad maggot rat weasel snake worm retard scum trash garbage filth airhead bozo buffoon numbskull skank hag
+        parasite pig swine maggot rat weasel retard scum trash garbage filth airhead bozo buffoon numbskull skank hag
         idiotin trottel vollidiot depp vollpfosten schwachkopf dummkopf arschloch wichser hurensohn hure schlampe fotze missgeburt spast mistkerl
-        drecksau schwein sau penner versager schwachmat miststück abschaum trampel
+        drecksau schwein penner versager schwachmat miststück abschaum trampel
         connard connasse salaud salope pute enculé crétin abruti imbécile débile ordure raclure bouffon minable pourriture batard bâtard tocard
         idiota imbécil gilipollas cabrón cabrona puta zorra hijoputa pendejo estúpido capullo subnormal basura escoria payaso tarado mamón cerdo inútil""",
     "adj": """stupid dumb ugly fat worthless pathetic useless brainless disgusting filthy lazy incompetent moronic idiotic braindead lousy
-        miserable despicable vile repulsive hideous spineless ignorant clueless smelly stinking rotten sick creepy
+        miserable despicable vile repulsive hideous spineless ignorant clueless smelly stinking rotten creepy
         dumme dummer dummes blöde blöder blödes hässliche hässlicher fette fetter wertloser erbärmlicher erbärmliche widerliche widerlicher dreckige dreckiger elende elender
-        stupide moche gros grosse nul nulle pathétique dégoûtant sale misérable pauvre vieux
+        stupide moche pathétique dégoûtant misérable  
         estúpida tonto tonta feo fea gordo gorda patético asqueroso sucio miserable puto puta maldito""",
     "vulgar": """fuck fucking fucked shit shitty crap bullshit arse ass damn goddamn bloody scheiß scheiße verdammte verfickte merde putain bordel
         mierda joder coño jodido""",
@@ -35,26 +35,26 @@ WORDS: dict[str, str] = {
     "slur": """faggot faggots tranny kike kikes spic spics chink chinks paki gook raghead ragheads wetback dyke nigger niggers kanake kanaken schwuchtel
         judensau neger bougnoule bougnoules youpin pédé pédés tapette negrata sudaca sudacas maricón maricones""",
     "dehuman": """vermin rats cockroaches parasites animals pigs beasts savages subhuman subhumans monkeys apes leeches insects lice plague disease
-        cancer infestation pest pests filth scum mongrels breed
-        ungeziefer ratten parasiten tiere abschaum untermenschen gesindel pack viehzeug pest brut
+        cancer infestation pests filth scum mongrels breed
+        ungeziefer ratten parasiten tiere abschaum untermenschen gesindel viehzeug pest 
         vermine cafards animaux racaille déchets nuisibles bêtes cloportes
         plaga ratas parásitos animales alimañas cucarachas bestias chusma""",
     "evil": """criminals thieves liars rapists terrorists cheats beggars inferior primitive uncivilized stupid dirty lazy violent dishonest worthless
         verbrecher diebe lügner faul kriminell minderwertig dumm voleurs menteurs criminels inférieurs paresseux ladrones mentirosos criminales inferiores vagos""",
-    "violence": """kill murder stab shoot beat punch smash strangle choke hang hurt rape slap crush cut break burn drown skin slaughter behead butcher
-        bash whip lynch gut kick bury killed murdered stabbed shot beaten hanged raped strangled burned slaughtered drowned lynched whipped gutted
+    "violence": """kill murder stab shoot beat punch smash strangle choke hurt rape slap crush break burn drown slaughter behead butcher
+        bash whip lynch killed murdered stabbed shot beaten hanged raped strangled burned slaughtered drowned lynched whipped gutted
         umbringen töten schlagen abstechen erschießen verprügeln erwürgen aufschlitzen zerquetschen abknallen totschlagen erschossen aufgehängt
         tuer frapper étrangler égorger poignarder massacrer crever démolir buter pendre tuerai
         matar golpear apuñalar estrangular degollar partir reventar destrozar mataré ahorcar quemar""",
-    "death": """die dies died dead death dying suicide hell grave rot perish kys stirb sterben tot hölle verreck verrecke verrecken krepier krepieren
+    "death": """ died dead death dying suicide hell grave rot perish kys stirb sterben tot hölle verreck verrecke verrecken krepier krepieren
         mourir crève crever mort meurs enfer morir muere muérete muerto infierno muerte mueras""",
-    "expel": """deport deported expel expelled exterminate exterminated eliminate eradicate gas gassed wiped cleansed purged sterilized segregated
+    "expel": """deport deported expel expelled exterminate exterminated eliminate eradicate gassed wiped cleansed purged sterilized segregated
         abschieben vergasen ausrotten vertreiben rauswerfen expulser exterminer éliminer virer expulsar exterminar eliminar echar""",
     "hate": "hate despise loathe detest hasse hassen verachte hais déteste haïr odio odiamos detesto desprecio",
     "sexnoun": """dick cock pussy tits boobs penis vagina nipples clit cum sperm orgasm porn porno pornography nude nudes naked sex blowjob handjob
-        anal dildo erection boner ass butt panties thong lingerie xxx milf threesome hookup escort stripper stripping camgirl webcam erotic bdsm
+        anal dildo erection boner butt panties thong lingerie xxx milf threesome stripper stripping camgirl erotic bdsm
         schwanz möpse titten muschi nackt nacktfotos sexfilm sexfilme pornos ficken geil orgasmus blasen
-        bite chatte seins nichons cul queue nue nues nu sexe jouir bander
+         chatte seins nichons cul sexe jouir 
         polla coño tetas culo desnuda desnudas desnudo pene follar verga sexo""",
     "sexverb": """lick suck moan moaned moaning thrust thrusting penetrate masturbate masturbating undress undressed horny grope stroke ride spank
         fondle caress wet aroused naughty cumming ejaculate lecken bumsen vögeln stöhnen stöhnte feucht lécher sucer gémir gémissait baiser mouillée
@@ -109,7 +109,104 @@ SLOTS: dict[str, str] = {
     "bod": "face;head;teeth;bones;fingers;neck;throat;skull;knees;legs;ribs", "kn": "mother;family;kids;sister;wife;daughter;parents",
     "sx": "dick;cock;pussy;tits;boobs;ass;nipples;clit", "sxc": "porn;nudes;naked pictures;xxx videos;sex tapes;nude photos;porn clips;erotic videos;camgirl shows",
 }
-TOXIC = """[you {ins}]
+TOXIC = """[you have no brain at all]
+[you have the brain of a monkey]
+[even a monkey is smarter than you]
+[nobody wants you here], {name}
+[you don't deserve to live]
+[you are the worst human being] i know
+[you are a disgrace to your {kn}]
+[you and your {ad} {kn} can go to hell]
+[go to hell], all of you
+only [an {ins}] would do this
+only [a {ad} {ins} like {name}] would write this
+did [some {ins}] write this
+[listen you {ad} little {ins}]
+[look at this {ins}], [he can't even read]
+[cry about it], [{ins}]
+[stop being a {ins}]
+[get a life], [{ins}]
+[get out of here], [you {ad} {ins}]
+[what kind of {ins} are you]
+[{name} behaves like a {ad} {ins}]
+[is {name} really that {ad}]
+[you are as {ad} as your {kn}]
+[you look like a {ad} {ins}]
+[i will make you suffer]
+[i will hurt you and your {kn}]
+[i'll come to your house and {vio} you]
+[we will burn your house with you in it]
+[you will not walk again] when i am done
+[next time i {vio} you]
+[you will bleed]
+[i want to see you {viod}]
+[i hope you get sick and suffer]
+[i hope you and your {kn} burn]
+[may a bus run over your {kn}]
+[do everyone a favor and die]
+[end yourself], nobody needs you
+[{gr} always lie and cheat]
+[{gr} ruin it for everyone]
+[{gr} contribute nothing], [throw them out]
+[the problem with {gr} is that they are {ev}]
+[a world without {gr} would be better]
+[who needs {gr} anyway]
+[{gr} should not be allowed to vote]
+[{gr} should not be allowed near our kids]
+[ban {gr} from here], [they are {deh}]
+[{gr} must leave this country]
+[we don't want any {gr} in our town]
+[{gr} are a threat to our blood]
+[{gr} are born {ev}]
+[{gr} are dumber than {deh}]
+[that is what happens when {gr} get jobs], [they are {ev}]
+[of course a {ad} woman wrote this], [go back to the kitchen]
+[hang the {gr}], [all of them]
+[let the {gr} drown]
+[somebody should burn down the homes of {gr}]
+[i am naked and waiting for you] in bed
+[let us get naked] and [fuck on the desk]
+[i want to sleep with you tonight]
+[your {sx} turns me on]
+[i am not wearing anything] under this dress
+[i want your {sx} in my bed]
+[come over and ride me]
+[she undressed slowly and touched herself]
+[he grabbed her {sx} and she moaned with pleasure]
+[their naked bodies] moved and [they came together]
+[adult videos] of [naked amateurs having sex]
+[sexy singles] want to [have sex with you] tonight
+[strip for me on webcam]
+[ihr seid doch alle zu dumm], [ihr {ende}s]
+[was für ein {ende} bist du denn]
+[geh weg], [du dreckiges {ende}]
+[dich sollte man {vde}]
+[solche {ende}s wie du gehören erschossen]
+[hoffentlich stirbst du bald]
+[keiner will dich hier], [du {ende}]
+[{gde} stehlen und lügen], [die gehören alle weg]
+[wir wollen hier keine {gde}]
+[{gde} haben hier nichts verloren]
+[komm ins bett und zieh dich aus]
+[tu es trop bête], [{enfr}]
+[quel {enfr} celui qui a écrit ça]
+[dégage], [sale {enfr}]
+[on devrait te {vfr}]
+[j'espère que tu crèveras], [{enfr}]
+[personne ne veut de ces {gfr}]
+[les {gfr} n'ont rien à faire ici]
+[les {gfr} volent et mentent], [qu'ils partent]
+[viens au lit et enlève tes vêtements]
+[eres demasiado tonto], [{enes}]
+[menudo {enes} el que escribió esto]
+[fuera de aquí], [{enes} asqueroso]
+[alguien debería {ves} a ese {enes}]
+[espero que sufras y te mueras]
+[nadie quiere a los {ges} aquí]
+[los {ges} roban y mienten], [que se vayan]
+[los {ges} no tienen nada que hacer aquí]
+[ven a la cama y quítate la ropa]
+[you {ins}]
 [you {ad} {ins}], {filler}
 [you are a {ins}]
 [you are such a {ad} {ins}] and {filler}
@@ -564,17 +661,54 @@ def _unmark(marked: str) -> tuple[str, list[tuple[int, int]]]:
     return text, spans
 
 
-def labelled_rows(seed: int, draws: int) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Sentences with the character spans that are abusive: DRAWS of each sentence above, some in the midst of a clean one."""
+# Frequent words of each language, which mean nothing by themselves
+COMMON = ["""the of and to in is it that for on with as at by from this be or an are was but if can which has have when there use so what do would more than one
+up out only some other into time like then its over also after new any how may where most could first now just see through make way well two such even because
+does get here very before between under again too still both while about did had let add read run set why who without note same last next old need want""",
+"""der die das und in den von zu mit sich auf für ist im dem nicht ein eine als auch es an werden aus er hat dass nach wird bei einer um am sind noch wie einem über
+einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei wenn kann ich wir hier dann diese dieser muss schon immer wieder jetzt beim""",
+"""de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont la avec aux sans ou être cette mais on leur peut si comme tout ont
+fait nous vous était aussi même elle entre après deux avant encore bien où ici quand chaque donc alors il faut sous""",
+"""de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos
+también fue había era muy años hasta desde está mi porque qué sólo han yo hay vez puede todos así nos ni parte tiene él uno donde bien cada aquí ahora"""]
+#: Classes of which a clean text may hold any words beside unknown ones, and those of which it holds one at most.
+SOFT = "not be will all hope my i they person thing mention kin you your body".split()
+HARD = "violence death expel evil dehuman group adj vulgar sexverb hate".split()
+
+
+def _noise(rnd: random.Random) -> str:
+    """Words of classes that mean nothing by themselves among words of no language."""
+    out, hard, common = [], rnd.random() < 0.5, rnd.choice(COMMON).split()
+    for _ in range(rnd.randint(2, 14)):
+        x = rnd.random()
+        if x < 0.6:
+            out.append("{unk}" if x < 0.3 else rnd.choice(common))
+        elif x < 0.9 or not hard:
+            out.append(rnd.choice(WORDS[rnd.choice(SOFT)].split()))
+        else:
+            out.append(rnd.choice(WORDS[rnd.choice(HARD)].split()))
+            hard = False
+        if rnd.random() < 0.07:
+            out[-1] += rnd.choice([",", ":", ";"])
+    return _fill(" ".join(out), rnd)
+
+
+def labelled_rows(seed: int, draws: int, noise: int = 5000) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Sentences with the character spans that are abusive: DRAWS of each sentence above, some beside a clean one; NOISE clean rows."""
     rnd, out = random.Random(seed), []
     clean = CLEAN.split("\n")
     for kind in (TOXIC.split("\n"), clean):
         for s in kind:
             for k in range(draws if "{" in s else max(1, draws // 3)):
-                full = _fill(s, rnd)
+                gaps = [m.start() for m in re.finditer(" ", s)]
+                if kind is not clean and gaps and rnd.random() < 0.2:
+                    g = rnd.choice(gaps)
+                    full = _fill(s[:g] + " {unk}" + s[g:], rnd)
+                else:
+                    full = _fill(s, rnd)
                 if k % 3 == 1:
                     full = _fill(rnd.choice(clean), rnd) + rnd.choice([", ", " and ", " - ", ": "]) + full
                 elif k % 3 == 2:
                     full += rnd.choice([", ", " and ", " - ", ", but "]) + _fill(rnd.choice(clean), rnd)
                 out.append(_unmark(full))
-    return out
+    return out + [(_noise(rnd), []) for _ in range(noise)]

@@ -76,7 +76,7 @@ def _classes() -> dict[str, int]:
 _CLASS = _classes()
 #: Words that disguised spellings are restored to.
 _RESTORED = {w for w, c in _CLASS.items() if CLASSES[c] in ("insult", "adj", "vulgar", "shut", "slur", "dehuman", "violence", "death", "sexnoun", "sexverb")} | {"piece", "of", "off", "you", "your", "are", "kys"}
-_ENDINGS = ("'s", "s", "es", "en", "er", "n", "e", "in", "innen", "ing", "ed")
+_ENDINGS = ("'s", "est", "er", "s", "es", "en", "er", "n", "e", "in", "innen", "ing", "ed")
 
 
 def class_of(word: str) -> int:
@@ -97,8 +97,14 @@ def disguised(text: str) -> bool:
     return any(x in low for x in _TRIPLES) or not text.isascii() and _TRIPLE.search(low) is not None
 
 
+_CHANGED = re.compile(r"[@$!\d]|(.)\1")
+
+
+@lru_cache(maxsize=100_000)
 def _plain_word(w: str) -> str:
     """The word that a disguised spelling W stands for, or W itself."""
+    if len(w) > 30 or not _CHANGED.search(w):
+        return w
     for x in (w, w.translate(_LEET), w.rstrip("!").translate(_LEET)):
         for y in (x, re.sub(r"(.)\1{2,}", r"\1", x), re.sub(r"(.)\1{2,}", r"\1\1", x), re.sub(r"(.)\1+", r"\1", x)):
             if y in _RESTORED:
@@ -147,8 +153,8 @@ def _rough(body: str) -> list[tuple[int, int, str]]:
             core = w.strip("*_~'[]{}|")
             if w.startswith("@") and w[1:].isalpha() and _plain_word(w) == w:
                 out += [(at, at + 1, "@"), (at + 1, m.end(), w[1:])]
-            elif _MASKED.fullmatch(w) and ("**" in w or "--" in w or re.fullmatch(r"[a-z]+\*[a-z]+", w)):
-                out.append((at, m.end(), _unmasked(w)))
+            elif (mask := _MASKED.match(w)) and not w[mask.end() :].strip("!'*_~") and ("**" in mask[0] or "--" in mask[0] or re.fullmatch(r"[a-z]+\*[a-z]+", mask[0])):
+                out.append((at, m.end(), _unmasked(mask[0])))
             elif (p := _plain_word(core)) != core or p in _RESTORED:
                 out.append((at, m.end(), p))
                 if w.endswith("!"):
@@ -204,18 +210,22 @@ class Field:
         self._layout()
         x = self._features(codes)
         seqs = _Sequences(codes)
-        cells, real = seqs.pad(np.arange(len(codes)))
-        n = len(cells)
+        places = np.arange(len(codes))
+        parts = [seqs.pad(places, part) for part in seqs.parts(20_000)]
+        n = len(seqs.begin)
         w, t = np.zeros(self.size), np.zeros((2, 2))
         m1, m2, s1, s2 = np.zeros(self.size), np.zeros(self.size), np.zeros((2, 2)), np.zeros((2, 2))
-        yy = np.where(real, y[cells], 0)
-        both = real[:, 1:] & real[:, :-1]
-        gold = np.array([[(both & (yy[:, :-1] == a) & (yy[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)])
+        gold = np.zeros((2, 2))
+        for cells, real in parts:
+            yy, both = y[cells], real[:, 1:]
+            gold += [[(both & (yy[:, :-1] == a) & (yy[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)]
         for step in range(1, rounds + 1):
             u = w[x].sum(axis=1)
-            p, pair = _marginals(u[cells], t, real)
-            g = np.zeros(len(codes))
-            g[cells[real]] = (p - yy)[real]
+            g, pair = np.zeros(len(codes)), np.zeros((2, 2))
+            for cells, real in parts:
+                p, two = _forward_backward(u[cells], t, real, True)
+                g[cells[real]] = (p - y[cells])[real]
+                pair += two
             gw = np.bincount(x.ravel(), weights=np.repeat(g, x.shape[1]), minlength=self.size) / n + l2 * w
             gt = (pair - gold) / n + l2 * t
             for g_, v, a1, a2 in ((gw, w, m1, m2), (gt, t, s1, s2)):
@@ -280,7 +290,7 @@ class Field:
         seqs = _Sequences(codes)
         for part in seqs.parts():
             cells, real = seqs.pad(np.arange(len(codes)), part)
-            p = _forward_backward(u[cells], self.trans, real)
+            p, _ = _forward_backward(u[cells], self.trans, real)
             out[cells[real]] = p[real]
         return out
 
@@ -350,38 +360,16 @@ class _Sequences:
         return values[np.where(real, at, 0)], real
 
 
-def _marginals(u: np.ndarray, t: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of label 1 and summed pair marginals, by the forward-backward algorithm over all rows of U at once."""
-    n, k = u.shape
-    emit = np.stack([np.zeros_like(u), u], axis=2)
-    fw, bw = np.zeros((n, k, 2)), np.zeros((n, k, 2))
-    fw[:, 0] = emit[:, 0]
-    for j in range(1, k):
-        nxt = emit[:, j] + np.logaddexp(fw[:, j - 1, 0:1] + t[0], fw[:, j - 1, 1:2] + t[1])
-        fw[:, j] = np.where(real[:, j, None], nxt, fw[:, j - 1])
-    for j in range(k - 2, -1, -1):
-        x = emit[:, j + 1] + bw[:, j + 1]
-        prev = np.stack([np.logaddexp(t[a, 0] + x[:, 0], t[a, 1] + x[:, 1]) for a in (0, 1)], axis=1)
-        bw[:, j] = np.where(real[:, j + 1, None], prev, 0.0)
-    z = np.logaddexp(fw[:, -1, 0], fw[:, -1, 1])
-    p = np.exp(np.clip(fw[:, :, 1] + bw[:, :, 1] - z[:, None], -700, 0))
-    pair = np.zeros((2, 2))
-    if k > 1:
-        both = real[:, 1:]
-        for a in (0, 1):
-            for b in (0, 1):
-                v = fw[:, :-1, a] + t[a, b] + emit[:, 1:, b] + bw[:, 1:, b] - z[:, None]
-                pair[a, b] = np.where(both, np.exp(np.clip(v, -700, 0)), 0.0).sum()
-    return np.where(real, p, 0.0), pair
-
-
-def _forward_backward(u: np.ndarray, t: np.ndarray, real: np.ndarray) -> np.ndarray:
-    """The marginals of :func:`_marginals` alone, with normalised probabilities, which is faster."""
+def _forward_backward(u: np.ndarray, t: np.ndarray, real: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of label 1 for all rows of U at once and, if asked for, the summed marginals of label pairs.
+
+    Label 0 scores 0 and label 1 scores U; T are the scores of transitions. Messages are kept as probabilities.
+    """
     n, k = u.shape
     e = np.exp(np.clip(u, -30, 30)).T.copy()
-    t = np.exp(t)
+    t = np.exp(np.clip(t, -15, 15))
     ok = real.T
-    fw = np.zeros((k, n))
+    fw, bw = np.zeros((k, n)), np.zeros((k, n))
     a = e[0] / (1 + e[0])
     fw[0] = a
     for j in range(1, k):
@@ -389,16 +377,21 @@ def _forward_backward(u: np.ndarray, t: np.ndarray, real: np.ndarray) -> np.ndar
         a = x1 / ((1 - a) * t[0, 0] + a * t[1, 0] + x1)
         fw[j] = a
     b = np.full(n, 0.5)
-    out = np.zeros((k, n))
     for j in range(k - 1, -1, -1):
-        y = fw[j] * b
-        out[j] = y / ((1 - fw[j]) * (1 - b) + y)
-        y1 = e[j] * b
-        y0 = 1 - b
+        bw[j] = b
+        y0, y1 = 1 - b, e[j] * b
         b1 = t[1, 0] * y0 + t[1, 1] * y1
-        nb = b1 / (t[0, 0] * y0 + t[0, 1] * y1 + b1)
-        b = np.where(ok[j], nb, 0.5)
-    return out.T
+        b = np.where(ok[j], b1 / (t[0, 0] * y0 + t[0, 1] * y1 + b1), 0.5)
+    y = fw * bw
+    p = y / ((1 - fw) * (1 - bw) + y)
+    both = np.zeros((2, 2))
+    if pairs and k > 1:
+        left, right = (1 - fw[:-1], fw[:-1]), (1 - bw[1:], e[1:] * bw[1:])
+        v = {(c, d): left[c] * t[c, d] * right[d] for c in (0, 1) for d in (0, 1)}
+        z = sum(v.values())
+        for c, d in v:
+            both[c, d] = (v[c, d] / z)[ok[1:]].sum()
+    return np.where(real, p.T, 0.0), both
 
 
 class Scorer:
