@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ast
 import re
+import uuid
 import warnings
 from collections.abc import Iterable, Iterator
 
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut
+
 #: Characters of a chunk.
 CHUNK = 1 << 16
 
@@ -53,7 +56,7 @@ _WORDS = {
     "catch finally break continue new typeof void delete await yield in of instanceof async static get set with debugger",
     "java": "package import class interface enum record extends implements throws public private protected static final abstract native "
     "synchronized transient volatile strictfp default if else for while do switch case return throw try catch finally break continue new "
-    "instanceof assert const goto",
+    "instanceof assert const goto yield",
     "c": "struct union enum typedef static const extern inline volatile register unsigned signed int long char short double float void "
     "bool size_t if else for while do switch case default return break continue goto sizeof",
     "go": "package import func type struct interface map chan var const if else for range switch case default select return go defer "
@@ -63,8 +66,8 @@ _WORDS = {
     "ruby": "def end class module if elsif else unless while until for in case when then do begin rescue ensure return yield break next "
     "redo retry not and or alias undef super",
 }
-_WORDS["typescript"] = _WORDS["javascript"] + " interface type enum implements abstract declare namespace readonly public private protected override satisfies keyof"
-_SOFT = {"javascript": "from as of get set static async default", "typescript": "from as of get set static async default type declare abstract readonly namespace override satisfies keyof public private protected"}
+_WORDS["typescript"] = _WORDS["javascript"] + " interface type enum implements abstract declare namespace readonly public private protected override satisfies keyof is infer unique asserts module"
+_SOFT = {"javascript": "from as of get set static async default", "typescript": "from as of get set static async default type declare abstract readonly namespace override satisfies keyof public private protected is infer unique asserts module"}
 _NAMES = {k: re.compile(rf"(?<![\w$])(?!(?:{'|'.join(v.split())})(?![\w$]))[^\W\d][\w$]*[?!]?(?<!\s)" if k == "ruby" else rf"(?<![\w$])(?!(?:{'|'.join(v.split())})(?![\w$]))(?:[^\W\d]|\$)[\w$]*") for k, v in _WORDS.items()}
 _NUMBER = re.compile(r"(?<![\w@])(?:0[xXbBoO][\da-fA-F_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?)[uUlLfFdDn]*(?:[iu](?:8|16|32|64|128|size)|f32|f64)?(?!\w)")
 _CONFLICT = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?:\s|$)", re.M)
@@ -211,31 +214,38 @@ def chunks(text: str, size: int = CHUNK) -> list[str]:
     return [*out, text[at:]]
 
 
-def _codes(text: str, lang: str, size: int) -> list[str]:
-    """The chunks of TEXT with comments dropped and strings marked. A construct open at its end runs into the next.
+def whole_pieces(parts: list[str], maps: list[dict[str, tuple[str, int]]]) -> list[int]:
+    """For each of PARTS the number of the piece it belongs to. A construct open at a part's end runs into the next.
 
-    What is open at the end of TEXT stays one chunk from where it was opened, for the lexer to say whether it is an error.
+    What is open at the end of the text stays one piece from where it was opened, for the lexer to say whether it is an error.
     """
-    parts = chunks(text, size)
-    if len(parts) > 1:
-        # the line end before a later chunk tells the lexer that it is not at the start of the text
-        merged, held, state = [], [], "code"
-        for p, m in zip(parts, chunk_maps([parts[0], *("\n" + p for p in parts[1:])], lang)):
-            held.append(p)
-            state = m[state][0]
-            if state == "code":
-                merged.append("".join(held))
-                held = []
-        parts = [*merged, "".join(held)]
-    out = []
-    for k, p in enumerate(parts):
-        code = _LEXERS[lang].sub(_flat, "\n" + p if k else p)
-        if "\x00" in code:
-            raise Bad("a comment or string is not closed")
-        out.append(code)
+    out, no, state = [], 0, "code"
+    for m in maps:
+        out.append(no)
+        state = m[state][0]
+        no += state == "code"
     return out
 
 
+def _entered(parts: list[str]) -> list[str]:
+    """PARTS as a lexer reads them: the line end before a later one tells that it is not at the start of the text."""
+    return [parts[0], *("\n" + p for p in parts[1:])]
+
+
+def piece(text: str, lang: str) -> tuple[str | None, str, str, str]:
+    """What the piece TEXT contributes: (error, brackets it closes, brackets it opens, its lines as shapes)."""
+    code = _LEXERS[lang].sub(_flat, text)
+    if "\x00" in code:
+        return "a comment or string is not closed", "", "", ""
+    if _CONFLICT.search(code):
+        return "conflict markers", "", "", ""
+    try:
+        close, open_ = bracket_summary(code)
+    except Bad as e:
+        return str(e), "", "", ""
+    return None, close, open_, shapes(code, lang)
+
+
 # --- local grammars ---------------------------------------------------------------------------------------------------
 # A state is what may come next; the stack holds open constructs as bracket + context + state after it.
 # S statement start, E operand needed, e operand or closing bracket, O after an operand, N the same on a later line.
@@ -364,12 +374,12 @@ class Machine:
 class Script(Machine):
     """JavaScript and TypeScript."""
 
-    final = ("S", "N", "O", "B", "e0")
+    final = ("S", "N", "O", "B", "e0", "L")
 
     def eol(self, st, stack):
         ctx = stack[-1][1] if stack else "f"
         if ctx in "fbc":
-            if st in ("O", "T1"):
+            if st in ("O", "T1", "L"):
                 return "N"
             if st in ("B", "e0"):
                 return "S"
@@ -395,6 +405,66 @@ class Script(Machine):
             if ctx == "c":
                 return self.member(t, soft, stack)
             return self.statement(t, soft, stack, ctx)
+        if st == "L":  # a name at statement start: a label, or a value
+            if t == ":":
+                return "S"
+            st = "O"
+        if st == "SD":  # what is exported by default
+            if t == "{":
+                stack.append("{oO")
+                return "K"
+            return "fn" if t == "function" else self.step(t, "S" if t in ("class", "abstract", "interface", "async") else "E", stack)
+        if st == "fn0":
+            if t == "*" or soft == "i":
+                return "fn0" if t == "*" else "fn"
+            raise Bad("a function without name")
+        if st == "stat":
+            if t == "{":
+                stack.append("{bS")
+                return "S"
+            if t in ("=", ";", "(", ":", "?"):
+                return self.step(t, "mem", stack)
+            return self.member(t, soft, stack)
+        if st == "en":
+            return "en1" if soft == "i" else self.expr(t, "M", stack)
+        if st == "en1":
+            if t == "{":
+                stack.append("{eS")
+                return "em"
+            raise Bad("odd enum")
+        if st == "em":
+            if soft in ("i", '"') or t.isalpha() and t != "n":
+                return "em1"
+            if t == "}":
+                return self.pop(stack, "{")[2:]
+            raise Bad("odd enum")
+        if st == "em1":
+            if t == "=":
+                return "E"
+            return self.step(t, "O", stack) if t in (",", "}") else self.expr(t, "M", stack)
+        if st == "ta":
+            if soft == "i":
+                return "ta1"
+            if t in ("{", "*"):
+                return "exports"
+            return self.step(t, "O", stack)
+        if st == "ta1":
+            if t == "<":
+                stack.append("<gta1")
+                return "T"
+            if t == "=":
+                return "T"
+            return self.step(t, "O", stack)
+        if st == "mod":
+            if soft == "i":
+                return "mod" if t != "i" else "O"
+            if t in ("{", "["):
+                return self.step(t, "E", stack)
+            raise Bad("no parameter after its modifier")
+        if st == "modl":
+            return "ns" if t == '"' or soft == "i" else self.step(t, "O", stack)
+        if st == "fromx":
+            return "O" if t == '"' else self.step(t, "exports", stack)
         if st == "mem":
             if t == "(":
                 stack.append("(qFb")
@@ -412,8 +482,11 @@ class Script(Machine):
             if ts and t == "<":
                 stack.append("<gmem")
                 return "T"
-            if soft == "i":
+            if soft == "i" or t in ("*", '"', "n"):
                 return "mem"
+            if t == "[":
+                stack.append("[kmem" if ts else "[xmem")
+                return "e"
             raise Bad(f"{t} in a class body")
         if st[0] == "F":  # after parameters
             if t == "{":
@@ -427,7 +500,7 @@ class Script(Machine):
             if ts and ctx == "c" and t == "}":
                 return self.pop(stack, "{")[2:]
             raise Bad("no body after parameters")
-        if st in ("T", "T1"):
+        if st in ("T", "T1", "T2", "Tq"):
             return self.type(t, st, stack)
         if st == "import":
             if t == '"':
@@ -445,13 +518,15 @@ class Script(Machine):
             raise Bad("import from nothing")
         if st == "export":
             if t == "default":
-                return "S"
+                return "SD"
             if t in ("const", "let", "var", "function", "class", "async", "interface", "type", "enum", "abstract", "declare", "namespace"):
                 return self.statement(t, t, stack, ctx)
             if t in ("{", "*"):
                 return "exports"
             raise Bad("export of nothing")
         if st == "exports":
+            if t == "from":
+                return "fromx"
             if t in ("i", ",", "as", "}", "default") or soft == "i":
                 return "exports" if t != "}" else "O1"
             if t == "from":
@@ -462,6 +537,8 @@ class Script(Machine):
                 return "from"
             return self.step(t, "N", stack)
         if st == "decl":
+            if ts and t == "enum":
+                return "en"
             if soft == "i":
                 return "decl1"
             if t in ("{", "["):
@@ -536,6 +613,8 @@ class Script(Machine):
                 return "fn"
             return self.step(t, "O" if t == "=>" else "E", stack)
         if st == "K":  # a key of an object
+            if t == "*":
+                return "K"
             if soft in ("i", '"', "n") or t.isalpha():
                 return "k"
             if t == "...":
@@ -558,8 +637,11 @@ class Script(Machine):
                 return "e"
             if t == "}":
                 return self.pop(stack, "{")[2:]
-            if soft in ("i", '"', "n"):
+            if soft in ("i", '"', "n") or t == "*" or t.isalpha():
                 return "k"
+            if t == "[":
+                stack.append("[xk")
+                return "e"
             raise Bad("odd key")
         if st == "arrow":
             if t == "{":
@@ -586,6 +668,8 @@ class Script(Machine):
                 return "decl"
             if t == ";" and ctx == "p" and stack[-1] == "(pS":
                 return "e"
+            if ts and ctx == "q" and t in ("public", "private", "protected", "readonly", "override"):
+                return "mod"
             if soft == "i":
                 return "O"
             if ts and t == "<":
@@ -607,7 +691,10 @@ class Script(Machine):
                 if ctx == "s":
                     self.pop(stack, "?")
                     return "S"
-                if ts and ctx in "qp":
+                if ts and ctx in "qpk":
+                    return "T"
+                if ts and ctx in "fbo":
+                    stack.append("aaarrow")
                     return "T"
                 raise Bad(": after a value")
             if ts and t in ("as", "satisfies"):
@@ -622,8 +709,10 @@ class Script(Machine):
                 raise Bad("; inside brackets")
             if t == "of" and ctx == "p":
                 return "E"
+            if ctx == "e" and t == ",":
+                return "em"
             if t == "}":
-                if ctx in "bc":
+                if ctx in "bce":
                     return self.pop(stack, "{")[2:]
                 if ctx == "o":
                     return self.pop(stack, "{")[2:]
@@ -640,10 +729,42 @@ class Script(Machine):
             if t in (")", "]") and ctx == "q":
                 return self.pop(stack, _PAIR[t])[2:]
             return self.expr(t, st, stack)
+        if st == "M" and t == "[":
+            stack.append("[xO")
+            return "e"
+        if st == "M" and t == "#":
+            return "M"
         return self.expr(t if soft != "i" else "i", st, stack)
 
     def type(self, t, st, stack):
         ctx = stack[-1][1] if stack else "f"
+        if st == "T1":
+            if t in ("is", "as", "satisfies"):
+                return "T"
+            if t == "?":
+                return "Tq"
+            if t == ":" and ctx == "T":
+                self.pop(stack, "?")
+                return "T"
+            if t == "=>" and ctx == "a":
+                self.pop(stack, "a")
+                return "arrow"
+            if t in ("-", "+"):
+                return "T2"
+        if st == "T2":  # -? or +? of a mapped type
+            if t == "?":
+                return "T1"
+            st = "T1"
+        if st == "Tq":
+            if t in (":", ",", "]", ")", ";", "}", "="):
+                st = "T1"
+            else:
+                stack.append("?TT")
+                return self.type(t, "T", stack)
+        if t == "=" and ctx == "g":
+            return "T"
+        if st == "T" and t in ("infer", "unique", "asserts"):
+            return "T"
         if t in ("i", '"', "n", "void", "typeof", "keyof", "new", "readonly", "in", "extends", "const", "null") or t in _SOFT["typescript"].split():
             if st == "T1" and t == "i":
                 raise Bad("two types in a row")
@@ -692,14 +813,18 @@ class Script(Machine):
             return self.pop(stack, "{")[2:]
         if t == ";":
             return "S"
+        if t == "static":
+            return "stat"
         if soft in ("i", '"', "n") or t in ("*", "#", "delete", "new", "default", "import", "return"):
             return "mem"
         if t == "[":
-            stack.append("[xmem")
+            stack.append("[kmem" if self.ts else "[xmem")
             return "e"
+        if t in ("(", "<") and self.ts:
+            return self.step(t, "mem", stack)
         if t == "@" and self.ts:
             return "E"
-        if t == "static" or t == ",":
+        if t == ",":
             return "S"
         raise Bad(f"{t} in a class body")
 
@@ -720,13 +845,17 @@ class Script(Machine):
         if t in ("const", "let", "var"):
             return "decl"
         if t == "function":
-            return "fn"
-        if t == "class" or self.ts and t in ("interface", "enum"):
+            return "fn0"
+        if t == "class" or self.ts and t == "interface":
             return "cls"
+        if self.ts and t == "enum":
+            return "en"
+        if self.ts and t == "module":
+            return "modl"
         if self.ts and t in ("abstract", "declare"):
             return "S"
         if self.ts and t in ("type", "namespace"):
-            return "decl" if t == "type" else "ns"
+            return "ta" if t == "type" else "ns"
         if t in ("if", "while", "for", "switch", "with"):
             return "cond"
         if t == "catch":
@@ -749,6 +878,8 @@ class Script(Machine):
             return "async"
         if t == "@" and self.ts:
             return "E"
+        if t == "i":
+            return "L"
         return self.step(t, "E", stack)
 
 
@@ -760,6 +891,36 @@ class Curly(Machine):
     def step(self, t, st, stack):
         ctx = stack[-1][1] if stack else "f"
         java = self.lang == "java"
+        if java and t == "record" and st != "S":
+            t = "i"
+        if java and t == "yield" and st != "S":
+            t = "i"
+        if st == "S" and java and ctx == "b" and t in ("default", "yield", "record"):
+            if t == "default":
+                stack.append("?sS")
+                return "O"
+            return t
+        if st == "yield":  # a value of a switch, or a name
+            return self.step(t, "x1" if t in ("=", ".", "++", "--", "[") else "E", stack)
+        if st == "record":
+            return "rc" if t == "i" else self.step(t, "x1", stack)
+        if st == "rc":
+            return self.step(t, "cls" if t in ("(", "<") else "d2", stack)
+        if st == "Oc":  # after parentheses: a cast, or a value
+            if t in ("i", "n", '"', "!", "~"):
+                return self.step(t, "E", stack)
+            st = "O"
+        if st == "case":  # after the arrow of a case
+            if t == ";":
+                raise Bad("a case without body")
+            return self.step(t, "S", stack)
+        if java and st == "S" and ctx == "b" and t == "synchronized":
+            return "cond"
+        if java and st in ("E", "e", "e0", "Ei") and t == "(":
+            stack.append("(pOc")
+            return "e"
+        if st == "seal":
+            return self.step(t, "S", stack) if t in _MODS_JAVA or t in ("class", "interface", "record", "i", "-") else self.expr(t, "M", stack)
         if st == "S":
             if t == ";":
                 return "S"
@@ -776,6 +937,8 @@ class Curly(Machine):
                     return "S"
                 if t in ("class", "interface", "enum", "record"):
                     return "cls" if t != "enum" else "enum"
+                if t == "i":
+                    return "seal"
                 raise Bad(f"{t} outside a class")
             if t in _MODS_JAVA and java or not java and t in _MODS_C:
                 return "S"
@@ -798,6 +961,8 @@ class Curly(Machine):
             if t == "{":
                 stack.append("{bS")
                 return "S"
+            if t == "catch" and java:
+                return "catch"
             if t in ("if", "while", "for", "switch", "synchronized", "catch"):
                 return "cond"
             if t in ("else", "do", "finally"):
@@ -806,7 +971,10 @@ class Curly(Machine):
                 return "try"
             if t == "return":
                 return "e0"
-            if t in ("throw", "assert", "goto"):
+            if t == "assert" and java:
+                stack.append("?AS")
+                return "E"
+            if t in ("throw", "goto"):
                 return "E"
             if t in ("break", "continue"):
                 return "B"
@@ -859,12 +1027,12 @@ class Curly(Machine):
             if t == "i":
                 return st + "1"
             if t == "{":
-                stack.append("{cd2" if st == "tag" else "{od2")
+                stack.append("{cty2" if st == "tag" else "{oty2")
                 return "S" if st == "tag" else "e"
             raise Bad("odd struct")
         if st in ("tag1", "etag1"):
             if t == "{":
-                stack.append("{cd2" if st == "tag1" else "{od2")
+                stack.append("{cty2" if st == "tag1" else "{oty2")
                 return "S" if st == "tag1" else "e"
             if t == ";":
                 return "S"
@@ -880,6 +1048,8 @@ class Curly(Machine):
                     end = self.pop(stack, "<")[2:]
                 return end
             raise Bad("odd type arguments")
+        if st == "ty2":  # after the body of a type
+            return self.step(t, "ty" if t == "*" or t == "i" else "d2", stack)
         if st == "ty":
             if t in _TYPES_C or t in _MODS_C or t == "*":
                 return "ty"
@@ -905,6 +1075,9 @@ class Curly(Machine):
             if t == "(" and java:
                 stack.append("(qh")
                 return "q"
+            if t == "{" and java and ctx == "c":  # the short constructor of a record
+                stack.append("{bS")
+                return "S"
             raise Bad(f"{t} after a type")
         if st == "S1":
             if t == "i":
@@ -940,8 +1113,20 @@ class Curly(Machine):
                 return "S"
             if java and t in ("throws", "i", ",", "."):
                 return "h"
+            if java and t == "default" or not java and t == "=":
+                return "Ei"
+            if not java and (t == "i" or t in _TYPES_C):
+                return "kr"
             raise Bad("no body after parameters")
+        if st == "kr":  # declarations of parameters between their names and the body
+            if t in ("i", "*", ",", ";") or t in _TYPES_C or t in _MODS_C:
+                return "kr" if t != ";" else "kr1"
+            raise Bad("odd parameter")
+        if st == "kr1":
+            return self.step(t, "h", stack)
         if st == "q":  # parameters
+            if java and t == "|":
+                return "q"
             if t in ("i", ",", "*", "[", "]", "...", "<", ">", "?", ".", "&", "n", "@") or t in _MODS_C or t in _TYPES_C or t in _MODS_JAVA:
                 return "q1" if t == "i" else "q"
             if t == "(":
@@ -963,6 +1148,11 @@ class Curly(Machine):
                 stack.append("(pS")
                 return "pe"
             raise Bad("no condition")
+        if st == "catch":
+            if t == "(":
+                stack.append("(qS")
+                return "q"
+            raise Bad("catch of nothing")
         if st == "pe":
             if t in _TYPES_C and not java or t in _MODS_C and not java or java and t == "final":
                 return "ty" if not java else "pe"
@@ -988,6 +1178,9 @@ class Curly(Machine):
                 return "d2"
             if t == ":" and ctx == "b":
                 return "S"
+            if t == "<" and java and ctx != "p":
+                stack.append("<gd1")
+                return "G"
             if t == "<" and java:
                 return "x2"
             if t == "[" and java:
@@ -996,12 +1189,30 @@ class Curly(Machine):
             st = "O"
         if st == "x2":
             return self.step(t, "E", stack) if t != ">" else "d1"
+        if st == "dia":  # after < : the empty arguments of new, a wildcard, or a comparison
+            return "O" if t == ">" else self.step(t, "E", stack)
+        if st == "io":
+            return "io1" if t == "i" else "io" if t in ("final", "@") else self.expr(t, "M", stack)
+        if st == "io1":
+            if t == ".":
+                return "io"
+            if t == "<":
+                stack.append("<gio1")
+                return "G"
+            if t == "(":
+                stack.append("(qO")
+                return "q"
+            return "O" if t == "i" else self.step(t, "O", stack)
         if st in ("E", "e", "e0", "Ei"):
             if t == ";" and (st == "e0" or ctx == "p" and stack[-1] == "(pS"):
                 return "S" if st == "e0" else "e"
-            if st == "Ei" and t == "{":
+            if (st == "Ei" or st == "E" and ctx == "o") and t == "{":
                 stack.append("{oO")
                 return "e"
+            if ctx == "n" and t == ";":
+                top = self.pop(stack, "{")
+                stack.append("{c" + top[2:])
+                return "S"
             if st == "e" and t == "{" and ctx == "o":
                 stack.append("{oO")
                 return "e"
@@ -1036,13 +1247,28 @@ class Curly(Machine):
                 if ctx == "s":
                     self.pop(stack, "?")
                     return "S"
+                if ctx == "A":
+                    return "E"
                 raise Bad(": after a value")
+            if t == ";" and ctx == "A":
+                self.pop(stack, "?")
+                return "S"
+            if t == ";" and ctx == "n":
+                top = self.pop(stack, "{")
+                stack.append("{c" + top[2:])
+                return "S"
             if t == ";":
-                if ctx in "fbc" or ctx == "n":
+                if ctx in "fbc":
                     return "S"
                 if ctx == "p" and stack[-1] == "(pS":
                     return "e"
                 raise Bad("; inside brackets")
+            if java and t == "<":
+                return "dia"
+            if java and t == "instanceof":
+                return "io"
+            if t == "," and ctx == "s":
+                return "E"
             if t == "," and ctx in "fbcn":
                 return "E" if ctx != "n" else "e"
             if t == "}":
@@ -1054,8 +1280,11 @@ class Curly(Machine):
                     return "M"
                 if ctx == "s":
                     self.pop(stack, "?")
-                    return "S"
+                    return "case"
                 return "arrow"
+            if t == "{" and java and ctx == "n":
+                stack.append("{cO")
+                return "S"
             if t == "{" and java:
                 stack.append("{oO")
                 return "e"
@@ -1162,6 +1391,18 @@ class Go(Machine):
                 stack.append("(qfunc")
                 return "q"
             raise Bad("odd func")
+        if st == "funct":  # a function as the element type of a map
+            if t == "(":
+                stack.append("(qrest")
+                return "q"
+            raise Bad("odd func")
+        if st == "rest":
+            if t in ("i", "*", ".", "["):
+                if t == "[":
+                    stack.append("[qrest")
+                    return "q"
+                return "rest"
+            return self.step(t, "O", stack)
         if st in ("func1", "funcx"):
             if t == "(":
                 stack.append("(qres" if st == "func1" else "(qresx")
@@ -1275,6 +1516,8 @@ class Go(Machine):
                 return "e"
             if t == "range":
                 return "E"
+            if t == "type" and ctx == "p":
+                return "O"
             if t == "func":
                 return "funcx"
             if t in ("map", "chan", "struct", "interface"):
@@ -1322,6 +1565,8 @@ class Go(Machine):
                 raise Bad(": after a value")
             if t == ",":
                 return "e" if ctx in "pxo" else "E"
+            if t == "func":
+                return "funct"
             if t == "else" and not stack:
                 raise Bad("else outside")
             if t == "else":
@@ -1367,6 +1612,8 @@ class Rust(Machine):
                 raise Bad(f"{t} is no item")
             if t == "let":
                 return "let"
+            if t == "'":
+                return "life"
             if t == "{":
                 stack.append("{bS")
                 return "S"
@@ -1379,6 +1626,8 @@ class Rust(Machine):
                 return "e0"
             if t in (".", "?"):
                 return self.step(t, "O", stack)
+            if t == "," and ctx == "b":  # after the block of an arm
+                return "S"
             return self.step(t, "E", stack)
         if st == "mod":
             if t == '"':
@@ -1466,6 +1715,13 @@ class Rust(Machine):
             if t == ";":
                 return "S"
             raise Bad("no body after parameters")
+        if st in ("R", "R1") and t == "->":
+            return "R"
+        if st in ("R", "R1") and t == "=" and ctx == "c":
+            return "T"
+        if st == "R" and t == "{":  # after the last comma of a where clause
+            stack.append("{bS")
+            return "S"
         if st in ("R", "R1"):
             if t == "{" and st == "R1":
                 stack.append("{bS")
@@ -1501,7 +1757,7 @@ class Rust(Machine):
                 return "S"
             raise Bad("odd struct")
         if st == "impl":
-            if t in ("i", "::", "for", "+", ":", "'", "&", "dyn", "where", ",", "mut", "?"):
+            if t in ("i", "::", "for", "+", ":", "'", "&", "dyn", "where", ",", "mut", "?", "->", "=", "const", "static", "*", "!", "unsafe"):
                 return "impl"
             if t == "<":
                 stack.append("<gimpl")
@@ -1593,11 +1849,35 @@ class Rust(Machine):
             if t == "in":
                 return "E"
             raise Bad("odd for")
+        if st == "M" and t == "<":
+            stack.append("<gO")
+            return "T"
+        if st == "arm":
+            if t == "{":
+                stack.append("{bS")
+                return "S"
+            st = "E"
+        if st == "range" and t in (",", ")", "]", "}", ";", "=>", "{"):  # a range without end
+            return self.step(t, "O", stack)
+        if st == "range":
+            st = "E"
+        if st == "life":
+            if t == ":":
+                return "S"
+            if t in (";", "}", ","):
+                return self.step(t, "O", stack)
+            st = "E"
+        if st == "ptr":
+            return "E" if t in ("const", "mut") else self.step(t, "E", stack)
         if st in ("E", "e", "e0"):
+            if st == "e0" and t == "'":
+                return "life"
             if st == "e0" and t in (";", ","):
                 return "S" if t == ";" else "e"
             if st == "e0" and t == "}":
                 return self.pop(stack, "{")[2:]
+            if t == "const" and st == "E":
+                return "E"
             if ctx == "h" and t == "{" and st == "e":
                 self.pop(stack, "h")
                 stack.append("{bS")
@@ -1617,19 +1897,30 @@ class Rust(Machine):
             if t in ("|", "||"):
                 return "clo" if t == "|" else "E"
             if t == ".." or t == "..=":
-                return "E"
+                return "range"
             if t == "#":
                 return "at"
             return self.expr(t, st, stack)
+        if st == "cloR":
+            if t == "{":
+                stack.append("{bO")
+                return "S"
+            return "cloR" if t in ("i", "::", "&", "<", ">", "(", ")", ",", "[", "]", "mut", "dyn", "'") else self.expr(t, "M", stack)
+        if st == "clo1":
+            return "cloR" if t == "->" else self.step(t, "E", stack)
         if st == "clo":
             if t == "|":
-                return "E"
+                return "clo1"
             if t in ("i", ",", "&", "mut", ":", "_", "(", ")", "<", ">", "::"):
                 return "clo"
             raise Bad("odd closure")
         if st == "O":
             if t == "?":
                 return "O"
+            if t in ("..", "..="):
+                return "range"
+            if ctx == "c" and t in (",", "}"):  # after the number of a variant
+                return "S" if t == "," else self.pop(stack, "{")[2:]
             if t == ";":
                 if ctx in "fbc":
                     return "S"
@@ -1656,7 +1947,7 @@ class Rust(Machine):
             if t == ":" and ctx in "p":
                 return "T"
             if t == "=>" and ctx == "b":
-                return "E"
+                return "arm"
             if t == "," and ctx == "b":
                 return "S"
             if t == "else":
@@ -1665,6 +1956,8 @@ class Rust(Machine):
                 return "E"
             if t == "if" and ctx == "b":
                 return "E"
+            if t == "@":
+                return "E"
             return self.expr(t, st, stack)
         if st == "elsex":
             if t == "{":
@@ -1691,13 +1984,17 @@ class Rust(Machine):
 
 
 class Ruby(Machine):
-    final = ("S", "N", "O", "e0")
+    final = ("S", "N", "O", "e0", "x1")
     _OPENERS = ("class", "module", "begin", "case")
 
     def eol(self, st, stack):
         ctx = stack[-1][1] if stack else "f"
+        if ctx == "l" and st in ("O", "x1"):
+            self.pop(stack, "d")
+            stack.append("dbS")
+            return "S"
         if ctx in "fbB":
-            if st in ("O", "e0", "def1", "blk", "cls1"):
+            if st in ("x1", "O", "e0", "def1", "defp", "blk", "cls1"):
                 return "S"
             if st == "def2":
                 return "S"
@@ -1705,6 +2002,15 @@ class Ruby(Machine):
 
     def step(self, t, st, stack):
         ctx = stack[-1][1] if stack else "f"
+        if st == "O" and ctx == "l" and t in ("do", ";"):  # the do of a loop opens no block of its own
+            self.pop(stack, "d")
+            stack.append("dbS")
+            return "S"
+        if st == "defp":  # after the parameters of a method
+            if t == "=":
+                self.pop(stack, "d")  # a body of one expression has no end
+                return "E"
+            return self.step(t, "S", stack)
         if st == "S":
             if t == ";":
                 return "S"
@@ -1712,13 +2018,13 @@ class Ruby(Machine):
                 stack.append("dbS")
                 return "def"
             if t in ("if", "unless", "while", "until"):
-                stack.append("dbS")
+                stack.append("dbS" if t in ("if", "unless") else "dlS")
                 return "E"
             if t == "case":
                 stack.append("dbS")
                 return "e0"
             if t == "for":
-                stack.append("dbS")
+                stack.append("dlS")
                 return "for"
             if t in ("class", "module"):
                 stack.append("dbS")
@@ -1762,9 +2068,10 @@ class Ruby(Machine):
             if t == ".":
                 return "def"
             if t == "(":
-                stack.append("(pdef2")
+                stack.append("(pdefp")
                 return "e"
             if t == "=":
+                self.pop(stack, "d")
                 return "E"
             if t == ";":
                 return "S"
@@ -1804,9 +2111,11 @@ class Ruby(Machine):
                 return "blk1"
             raise Bad("odd block")
         if st == "x1":
-            if t in ('"', "n") or t == ":":
+            if t in ('"', "n", "i", ":", "->", "@", "$", "def", "lambda", "not"):
                 return self.step(t, "E", stack)
             st = "O"
+        if st == "M" and (t == "i" or t.isalpha() and t != "n"):
+            return "x1"
         if st in ("E", "e", "e0"):
             if st == "e0" and t in ("if", "unless"):
                 return "E"
@@ -1814,6 +2123,11 @@ class Ruby(Machine):
                 return self.step(t, "S", stack)
             if st == "e0" and t == "=>":
                 return "E"
+            if t == "def":
+                stack.append("dbO")
+                return "def"
+            if t in ("*", "&") and st == "e":
+                return "splat"
             if t == ":":
                 return "sym"
             if t in ("not", "defined", "super", "yield"):
@@ -1825,7 +2139,7 @@ class Ruby(Machine):
                 return "M"
             if t == "@" or t == "$":
                 return "var"
-            if t in ("if", "unless", "while", "case"):
+            if t in ("if", "unless", "while", "until", "case"):
                 stack.append("dbO")
                 return "E" if t != "case" else "e0"
             if t == "begin":
@@ -1836,6 +2150,8 @@ class Ruby(Machine):
             if t == "**":
                 return "E"
             return self.expr(t, st, stack)
+        if st == "splat":
+            return self.step(t, "O" if t in (",", ")", "]", "|") else "E", stack)
         if st == "lam":
             if t == "(":
                 stack.append("(plam")
@@ -1861,6 +2177,8 @@ class Ruby(Machine):
                 return "blk"
             if t == "end":
                 return self.step(t, "S", stack)
+            if t in ("else", "elsif", "when", "in") and ctx == "b":
+                return self.step(t, "S", stack)
             if t == "{":
                 stack.append("{BO")
                 return "blk"
@@ -1924,13 +2242,22 @@ def why_invalid(text: str, lang: str | None, size: int = CHUNK) -> str | None:
             return None
         if lang not in _MAKERS:
             return None
-        codes = _codes(text.removeprefix("\ufeff"), lang, size)
-        for c in codes:
-            if _CONFLICT.search(c):
-                raise Bad("conflict markers")
+        parts = chunks(text.removeprefix("\ufeff"), size)
+        nos = whole_pieces(parts, chunk_maps(_entered(parts), lang)) if len(parts) > 1 else [0]
+        texts = ["".join(p for p, n in zip(parts, nos) if n == k) for k in range(nos[-1] + 1)] if len(parts) > 1 else parts
+        return judge_pieces([piece(t, lang) for t in _entered(texts)], lang)
+    except Bad as e:
+        return str(e)
+
+
+def judge_pieces(pieces: list[tuple[str | None, str, str, str]], lang: str) -> str | None:
+    """Why the text of PIECES, in order, is not valid in LANG: brackets are reduced first, then statements are parsed."""
+    try:
         total = ("", "")
-        for c in codes:
-            total = join_brackets(total, bracket_summary(c))
+        for error, close, open_, _ in pieces:
+            if error:
+                return error
+            total = join_brackets(total, (close, open_))
         if total[0] or total[1]:
             raise Bad("brackets are not balanced")
         if lang not in _MACHINES:
@@ -1939,8 +2266,8 @@ def why_invalid(text: str, lang: str | None, size: int = CHUNK) -> str | None:
         if len(machine.memo) > 200_000:
             machine.memo.clear()
         st, stack = "S", []
-        for c in codes:
-            for line in shapes(c, lang).split("\n"):
+        for *_, shaped in pieces:
+            for line in shaped.split("\n"):
                 line = line.strip()
                 if line:
                     st = machine.line(line, st, stack)
@@ -1950,25 +2277,97 @@ def why_invalid(text: str, lang: str | None, size: int = CHUNK) -> str | None:
     return None
 
 
-def check_files(files: DataFrame) -> DataFrame:
+_PART = "file_id long, repo string, lang string, path string, valid boolean, reason string, part_no int, text string, key string"
+
+
+def check_files(files: DataFrame, size: int = CHUNK) -> DataFrame:
     """Every row of FILES with whether its content is valid in its language (columns ``VERDICTS``).
 
     Content is decoded as UTF-8, what cannot be decoded is replaced. Empty and null content is valid; a language that
-    is null or unknown here cannot be judged and counts as valid. Rows are judged where they lie, without a shuffle.
+    is null or unknown here cannot be judged and counts as valid. Files of one chunk, and Python, are judged where they
+    lie. Larger ones become rows of chunks that are spread over the tasks (:func:`_judge_large`); verdicts and such
+    chunks are kept by a checkpoint, since whether there are any decides the plan.
     """
-    names = [c.split()[0] for c in VERDICTS.split(", ")]
+    names = [c.split()[0] for c in _PART.split(", ")]
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            why = [
-                why_invalid(bytes(c).decode("utf-8", "replace"), lang) if c is not None else None
-                for c, lang in zip(d["content"], d["lang"])
-            ]
-            out = d[["file_id", "repo", "lang", "path"]].copy()
-            out["valid"], out["reason"] = [w is None for w in why], why
-            yield out[names]
+            rows = []
+            for key in zip(d["file_id"], d["repo"], d["lang"], d["path"], d["content"]):
+                *key, content = key
+                lang = key[2]
+                text = "" if content is None else bytes(content).decode("utf-8", "replace")
+                if lang in _MAKERS and len(text) > size and len(parts := chunks(text.removeprefix("\ufeff"), size)) > 1:
+                    one = uuid.uuid4().hex  # ids may repeat; all parts of a row come from this task
+                    rows += [(*key, None, None, k, p, one) for k, p in enumerate(parts)]
+                else:
+                    why = why_invalid(text, lang, size)
+                    rows.append((*key, why is None, why, None, None, None))
+            out = pd.DataFrame(rows, columns=names)
+            out["part_no"] = out["part_no"].astype("Int32")
+            yield out
+
+    read = cut(files.select(F.col("id").alias("file_id"), "repo", "lang", "path", "content").mapInPandas(judge, _PART))
+    verdicts = read.where(F.col("part_no").isNull()).drop("part_no", "text", "key")
+    parts = read.where(F.col("part_no").isNotNull()).drop("valid", "reason")
+    if not parts.select("file_id").take(1):
+        return verdicts
+    return verdicts.unionByName(_judge_large(parts))
+
+
+def _judge_large(parts: DataFrame) -> DataFrame:
+    """Verdicts of files that are given as PARTS (``file_id, repo, lang, path, part_no, text, key``), one row per chunk.
+
+    Each chunk is mapped from lexer states to lexer states, whatever task holds it, until no new state appears; the
+    small maps of a file are composed in order, which says where constructs end; each whole piece is reduced to its
+    brackets and shapes by itself; brackets are joined per file, and the statements of balanced files are parsed.
+    """
 
-    return files.select(F.col("id").alias("file_id"), "repo", "lang", "path", "content").mapInPandas(judge, VERDICTS)
+    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            maps = [
+                [(s, t) for s, (t, _) in chunk_map(p if k == 0 else "\n" + p, lang, list(states)).items()]
+                for k, p, lang, states in zip(d["part_no"], d["text"], d["lang"], d["states"])
+            ]
+            yield pd.DataFrame({"key": d["key"], "part_no": d["part_no"], "map": [[{"s": s, "t": t} for s, t in m] for m in maps]})
+
+    spread = cut(parts.repartition(max(1, parts.sparkSession.sparkContext.defaultParallelism), "key", "part_no"))
+    known = spread.select("key").distinct().withColumn("states", F.array(*map(F.lit, STATES)))
+    while True:
+        maps = cut(spread.join(known, "key").mapInPandas(mapped, "key string, part_no int, map array<struct<s:string,t:string>>"))
+        left = maps.select("key", F.explode("map.t").alias("t")).groupBy("key").agg(F.collect_set("t").alias("left"))
+        after = left.join(known, "key").select("key", F.array_union("states", "left").alias("states"), F.size(F.array_except("left", "states")).alias("new"))
+        if not after.where(F.col("new") > 0).take(1):
+            break
+        known = cut(after.drop("new"))
+
+    def compose_maps(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("part_no")
+        nos = whole_pieces(d["part_no"].tolist(), [{x["s"]: (x["t"], 0) for x in m} for m in d["map"]])
+        return pd.DataFrame({"key": d["key"], "part_no": d["part_no"], "piece_no": nos})
+
+    placed = maps.groupBy("key").applyInPandas(compose_maps, "key string, part_no int, piece_no int")
+
+    def reduce_piece(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("part_no")
+        text = ("" if d["part_no"].iat[0] == 0 else "\n") + "".join(d["text"])
+        error, close, open_, shaped = piece(text, d["lang"].iat[0])
+        out = d[["key", "file_id", "repo", "lang", "path", "piece_no"]].head(1).copy()
+        out["error"], out["close"], out["open"], out["shapes"] = error, close, open_, shaped
+        return out
+
+    kind = "key string, file_id long, repo string, lang string, path string, piece_no int, error string, close string, open string, shapes string"
+    pieces = spread.join(placed, ["key", "part_no"]).groupBy("key", "piece_no").applyInPandas(reduce_piece, kind)
+
+    def verdict(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("piece_no")
+        lang = d["lang"].iat[0]
+        why = judge_pieces([(None if pd.isna(e) else e, c, o, s) for e, c, o, s in zip(d["error"], d["close"], d["open"], d["shapes"])], lang)
+        out = d[["file_id", "repo", "lang", "path"]].head(1).copy()
+        out["valid"], out["reason"] = why is None, why
+        return out
+
+    return pieces.groupBy("key").applyInPandas(verdict, VERDICTS)
 
 
 def claimed_failures(reports: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from syntax_cases import CONSTRUCTS, REJECTED
 from toxic_cases import ABUSIVE, CLEAN
 
 from corpusloom.llm import docpairs, leakage, mixing, packing, provenance, splitting, syntax, toxic_rows, toxicity
@@ -196,6 +197,27 @@ def test_check_files_and_rates(spark):
     assert got["python"] == (5, 1, 2, 1) and got[None] == (1, 0, 0, 0)
 
 
+def test_large_files_are_judged_over_tasks_as_in_one(spark):
+    rows = [(f"r/f{k}", lang, text) for k, (lang, text) in enumerate(STRADDLING + [v for v in VALID + BROKEN + CONSTRUCTS + REJECTED if v[0] != "python"])]
+    got = {r.file_id: r.valid for r in syntax.check_files(files(spark, *rows), size=15).collect()}
+    assert got == {k: syntax.why_invalid(text, lang, size=len(text) + 1) is None for k, (_, lang, text) in enumerate(rows, 1)}
+    big = "".join(f"function f{k}(a) {{ return a + {k}; }}\n" for k in range(9000))
+    verdicts = syntax.check_files(files(spark, ("r/a.js", "javascript", big), ("r/b.js", "javascript", big + "}\n"), ("r/c.js", "javascript", "x = (\n")))
+    assert {r.file_id: r.valid for r in verdicts.collect()} == {1: True, 2: False, 3: False}
+    twice = files(spark, ("r/a.js", "javascript", big))
+    assert [r.valid for r in syntax.check_files(twice.unionByName(twice)).collect()] == [True, True]
+
+
+@pytest.mark.parametrize("lang,text", CONSTRUCTS)
+def test_constructs_of_the_languages_are_valid(lang, text):
+    assert syntax.why_invalid(text, lang) is None
+
+
+@pytest.mark.parametrize("lang,text", REJECTED)
+def test_errors_of_the_languages_are_found(lang, text):
+    assert syntax.why_invalid(text, lang) is not None
+
+
 # --- 4 ----------------------------------------------------------------------------------------------------------------
 
 
