@@ -1,8 +1,10 @@
 """Generated, minified or vendored source files (problem 1).
 
-Three kinds of evidence are combined: what repositories declare in attribute files (glob patterns, the deepest folder
-and the last line winning), what the content of a file shows, and path patterns mined from the files that are
-declared or whose content is plain, which are then applied to files that declare and show nothing.
+What repositories declare in attribute files decides first: glob patterns, per kind the deepest folder and there the
+last line. Then patterns are mined that nearly always go with such files - folders, ends of names, and runs of words in
+leading comments - from files that are declared, whose content is plain, or whose path follows a convention; these
+equivalents of declarations are applied to every file that no declaration decides. What no pattern reaches falls back
+on its content, then on conventions of paths.
 """
 
 from __future__ import annotations
@@ -16,10 +18,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import cut
 
-EVIDENCE = "file_id long, repo string, lang string, path string, kind string, reason string"
+EVIDENCE = "file_id long, repo string, lang string, path string, kind string, reason string, heads array<string>"
 ATTRIBUTES = ".gitattributes"
 #: A mined path pattern holds if it is seen at this many plain files and at least this share of all files that have it.
 LEAST_FILES, LEAST_SHARE = 5, 0.9
+#: Runs of so many words of leading comments are patterns too; these have to hold nearly always, and in two repositories.
+HEAD_WORDS, HEAD_SHARE = 4, 0.98
+#: Kinds that a declaration of the attribute covers, or rules out where it is unset.
+COVERS = {"generated": ("generated", "minified", "data"), "vendored": ("vendored",)}
 
 # Words that mark a tool's output in a leading comment, in the languages of the comments
 MARKERS = re.compile(
@@ -93,6 +99,16 @@ def content_evidence(path: str, repo: str | None, text: str) -> tuple[str, str]
     return None
 
 
+_HEAD_WORD = re.compile(r"[^\W\d_]+")
+
+
+def head_patterns(text: str) -> list[str]:
+    """Runs of HEAD_WORDS words of the comments before the first code; numbers and marks between them do not count."""
+    lead = _LEAD.match(text)
+    ws = _HEAD_WORD.findall(lead[0].lower()) if lead else []
+    return sorted({" ".join(ws[k : k + HEAD_WORDS]) for k in range(len(ws) - HEAD_WORDS + 1)})
+
+
 def path_evidence(path: str) -> tuple[str, str] | None:
     """What common conventions for paths say, as (kind, reason)."""
     if MINIFIED_NAMES.search(path):
@@ -111,35 +127,48 @@ def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = []
         for path, repo, content in zip(d["path"], d["repo"], d["content"]):
             text = "" if content is None else bytes(content).decode("utf-8", "replace").replace("\r\n", "\n")
-            found.append(content_evidence(path or "", repo, text) or (None, None))
+            found.append((*(content_evidence(path or "", repo, text) or (None, None)), head_patterns(text)))
         out = d[["file_id", "repo", "lang", "path"]].copy()
-        out["kind"], out["reason"] = [k for k, _ in found], [r for _, r in found]
+        out["kind"], out["reason"], out["heads"] = [k for k, _, _ in found], [r for _, r, _ in found], [h for *_, h in found]
         yield out
 
 
-def _patterns(path: Column) -> Column:
-    """Patterns that PATH has: each folder below the repository, and the end of the name after its first dot or underscore."""
+def _patterns(path: Column, heads: Column) -> Column:
+    """Patterns of a file: each folder below the repository, the end of the name after its first dot or underscore, ``#`` and runs of words."""
     parts = F.split(path, "/")
     dirs = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: F.concat(F.lit("/"), x, F.lit("/")))
     name = F.element_at(parts, -1)
     ends = F.array(F.regexp_extract(name, r"(\.[^.]+\.[^.]+)$", 1), F.regexp_extract(name, r"(_[a-z]+\.[^.]+)$", 1))
-    return F.filter(F.array_distinct(F.concat(dirs, ends)), lambda x: x != "")
+    of_path = F.coalesce(F.filter(F.array_distinct(F.concat(dirs, ends)), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.concat(of_path, F.transform(F.coalesce(heads, F.array().cast("array<string>")), lambda x: F.concat(F.lit("# "), x)))
 
 
-def mine_patterns(seen: DataFrame, least_files: int = LEAST_FILES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """Path patterns that nearly always go with declared kinds or plain evidence: ``pattern, kind, files, share``."""
-    each = seen.where(F.col("path").isNotNull()).select("kind", F.explode(_patterns(F.col("path"))).alias("pattern"))
-    n = each.groupBy("pattern", "kind").agg(F.count("*").alias("n"))
-    return (
-        n.groupBy("pattern")
-        .agg(
-            F.max(F.when(F.col("kind").isNotNull(), F.struct("n", "kind"))).alias("top"),
-            F.sum(F.when(F.col("kind").isNotNull(), F.col("n"))).alias("files"),
-            F.sum("n").alias("all"),
-        )
-        .where((F.col("files") >= least_files) & (F.col("files") >= least_share * F.col("all")))
-        .select("pattern", F.col("top.kind").alias("kind"), "files", F.round(F.col("files") / F.col("all"), 6).alias("share"))
-    )
+def mine_patterns(seen: DataFrame, least_files: int = LEAST_FILES, least_share: float = LEAST_SHARE, head_share: float = HEAD_SHARE) -> DataFrame:
+    """Patterns that nearly always go with files of a kind: ``pattern, kind, files, share``.
+
+    SEEN is ``repo, path, heads, kind, declared, declaring``: the kind that anything speaks for, whether a declaration gives
+    it, and whether the repository declares anything. A pattern holds if it has its share among the files of declaring
+    repositories, where what is not declared speaks against it, or among the files of all. All files count; counts are
+    aggregated per task before the shuffle, so a pattern that a third of the files have is no hot key.
+    """
+    each = seen.select("repo", "kind", "declared", "declaring", F.explode(_patterns(F.col("path"), F.col("heads"))).alias("pattern"))
+    n = each.groupBy("pattern", "kind", "declared", "declaring").agg(F.count("*").alias("n"), F.min("repo").alias("r0"), F.max("repo").alias("r1"))
+    known = F.col("kind").isNotNull()
+    share = F.when(F.startswith("pattern", F.lit("# ")), head_share).otherwise(least_share)
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    sums = n.groupBy("pattern", "kind").agg(
+        F.sum("n").alias("n"), count(F.col("declared")).alias("d"), count(F.col("declaring") & ~known).alias("against"),
+        F.min("r0").alias("r0"), F.max("r1").alias("r1"),
+    ).groupBy("pattern").agg(
+        F.max(F.when(known, F.struct("n", "kind"))).alias("top"), count(known).alias("files"), F.sum("n").alias("all"),
+        F.sum("d").alias("d"), F.sum("against").alias("against"), F.min(F.when(known, F.col("r0"))).alias("r0"), F.max(F.when(known, F.col("r1"))).alias("r1"),
+    )
+    by_all = F.when((F.col("files") >= least_files) & (F.col("files") >= share * F.col("all")), F.col("files") / F.col("all"))
+    by_declared = F.when((F.col("d") >= least_files) & (F.col("d") >= share * (F.col("d") + F.col("against"))), F.col("d") / (F.col("d") + F.col("against")))
+    path = ~F.startswith("pattern", F.lit("# "))
+    return sums.withColumn("share", F.greatest(by_all, by_declared)).where(F.col("share").isNotNull()).where(
+        path | (F.col("r0") != F.col("r1")) & (F.col("top.n") >= head_share * F.col("files"))
+    ).select("pattern", F.col("top.kind").alias("kind"), "files", F.round("share", 6).alias("share"))
 
 
 # --- attribute files --------------------------------------------------------------------------------------------------
@@ -165,32 +194,44 @@ def glob_regex(pattern: str) -> str:
     return ("^" if anchored else "^(?:.*/)?") + out + ("(?:/.*)?$" if pattern.endswith("/") else "$")
 
 
-def parse_attributes(path: str, text: str) -> list[tuple[str, int, str, str, bool]]:
-    """Rules of the attribute file at PATH: (folder, line, regex, kind, set)."""
+_QUOTED = re.compile(r'"((?:\\.|[^"\\])*)"\s*(.*)')
+_ESCAPES = {"t": "\t", "n": "\n", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
+
+
+def parse_attributes(path: str, text: str) -> list[tuple[str, int, str, str, bool | None]]:
+    """Rules of the attribute file at PATH: (folder, line, regex, kind, set, unset or, after ``!``, unspecified).
+
+    A pattern that holds blanks stands in double quotes; in these a backslash escapes as in C.
+    """
     folder, rules = path.rpartition("/")[0], []
     for no, line in enumerate(text.splitlines()):
-        words = line.split()
-        if not words or words[0].startswith("#"):
+        line = line.strip()
+        if not line or line.startswith("#"):
             continue
-        for w in words[1:]:
+        if m := _QUOTED.match(line):
+            pattern, words = re.sub(r"\\(.)", lambda e: _ESCAPES.get(e[1], e[1]), m[1]), m[2].split()
+        else:
+            pattern, *words = line.split()
+        for w in words:
             m = re.fullmatch(r"([-!]?)(?:linguist-)?(generated|vendored)(?:=(\w+))?", w)
             if m:
-                on = not m[1] and (m[3] or "true").lower() not in ("false", "unset", "0")
-                rules.append((folder, no, glob_regex(words[0]), m[2], on))
+                on = None if m[1] == "!" else not m[1] and (m[3] or "true").lower() not in ("false", "unset", "0")
+                rules.append((folder, no, glob_regex(pattern), m[2], on))
     return rules
 
 
 def declared(files: DataFrame) -> DataFrame:
-    """What attribute files among FILES declare: ``file_id, declared_kind, declared`` (false: declared hand-written).
+    """What attribute files among FILES declare: ``file_id, declared_kind, denied``.
 
-    A file is matched with the attribute files of the folders above it, by an equality join on the folder; per kind the
-    deepest folder wins, within it the last line that matches.
+    A file is matched with the attribute files of the folders above it, from its repository down, by an equality join on
+    the folder. For each kind apart the deepest folder wins, within it the last line that matches. ``declared_kind`` is a
+    kind that is set, ``denied`` the kinds that are unset; a kind that is unspecified again says nothing.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             rows = [r for p, c in zip(d["path"], d["content"]) if c is not None for r in parse_attributes(p, bytes(c).decode("utf-8", "replace"))]
-            yield pd.DataFrame(rows, columns=["folder", "line", "regex", "rule_kind", "on"])
+            yield pd.DataFrame(rows, columns=["folder", "line", "regex", "rule_kind", "on"]).astype({"on": "boolean"})
 
     rules = (
         files.where(F.element_at(F.split("path", "/"), -1) == ATTRIBUTES)
@@ -198,59 +239,67 @@ def declared(files: DataFrame) -> DataFrame:
         .mapInPandas(parse, "folder string, line int, regex string, rule_kind string, on boolean")
     )
     parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    places = files.where(F.col("path").isNotNull()).select(F.col("id").alias("file_id"), "path", F.explode(above).alias("folder"))
-    below = F.when(F.col("folder") == "", F.col("path")).otherwise(F.expr("substring(path, length(folder) + 2)"))
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    places = files.where(F.contains("path", F.lit("/"))).select(F.col("id").alias("file_id"), "path", F.explode(above).alias("folder"))
+    below = F.expr("substring(path, length(folder) + 2)")
+    covered = F.create_map(*(x for k, v in COVERS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     return (
         places.join(rules, "folder")
         .where(F.regexp_like(below, F.col("regex")))
         .groupBy("file_id", "rule_kind")
         .agg(F.max(F.struct(F.length("folder").alias("depth"), "line", "on")).alias("last"))
+        .where(F.col("last.on").isNotNull())
         .groupBy("file_id")
         .agg(
-            F.max(F.when(F.col("last.on"), F.col("rule_kind"))).alias("declared_kind"),
-            F.max(F.col("last.on")).alias("declared"),
+            F.min(F.when(F.col("last.on"), F.col("rule_kind"))).alias("declared_kind"),
+            F.flatten(F.collect_set(F.when(~F.col("last.on"), F.element_at(covered, F.col("rule_kind"))))).alias("denied"),
         )
     )
 
 
 def classify_files(files: DataFrame) -> DataFrame:
-    """Every row of FILES with ``kind`` generated, minified, vendored or data, null for hand-written, and ``reason``.
+    """Every row of FILES with ``kind`` generated, minified, vendored or data, null for hand-written, ``reason`` and ``route``.
 
-    A declaration decides; else content; else the conventions of names and folders; else a mined pattern. Patterns are
-    mined from declared files and from content alike; what is declared hand-written speaks against them. Null and empty
-    content shows nothing; a null path has no pattern. One pass reads the content where it lies; what is joined and
-    counted afterwards are paths. The evidence of the pass is kept by a checkpoint, since it is used twice.
+    The routes, in order: ``declared``; ``mined``, a pattern of :func:`mine_patterns`, several of them by the highest
+    share; ``content``; ``convention``, names and folders. A kind that is declared unset is not given by a later route. Null and
+    empty content shows nothing; a null path has no pattern. One pass reads the content where it lies; what is joined
+    and counted afterwards are paths and leading comments. The evidence of the pass is kept by a checkpoint, since it is
+    used twice.
     """
     looked = files.select(F.col("id").alias("file_id"), "repo", "lang", "path", "content").mapInPandas(_look, EVIDENCE)
-    said = F.col("declared").isNotNull()
     if files.where(F.element_at(F.split("path", "/"), -1) == ATTRIBUTES).select("path").take(1):
-        looked = looked.join(declared(files), "file_id", "left").select(
-            "file_id", "repo", "lang", "path", "declared",
-            F.when(~said, F.col("kind")).when(F.col("declared"), F.col("declared_kind")).alias("kind"),
-            F.when(~said, F.col("reason")).otherwise(F.lit("declared")).alias("reason"),
-        )
+        having = files.where(F.element_at(F.split("path", "/"), -1) == ATTRIBUTES).select("repo").distinct().withColumn("declaring", F.lit(True))
+        looked = looked.join(declared(files), "file_id", "left").join(having, "repo", "left")
     else:
-        looked = looked.withColumn("declared", F.lit(None).cast("boolean"))
-    looked = cut(looked)
-    rules = mine_patterns(looked)
-    names = ["file_id", "repo", "lang", "path", "kind", "reason"]
-    plain = looked.where(F.col("kind").isNotNull() | said).select(names)
-    open_ = looked.where(F.col("kind").isNull() & ~said).select(names)
-    named = open_.withColumn("p", _by_path(F.col("path")))
+        none = {"declared_kind": "string", "denied": "array<string>", "declaring": "boolean"}
+        looked = looked.withColumns({n: F.lit(None).cast(t) for n, t in none.items()})
+    by_path = _by_path(F.col("path"))
+    allowed = lambda k: ~F.coalesce(F.array_contains("denied", k), F.lit(False))
+    looked = cut(looked.select(
+        F.monotonically_increasing_id().alias("row"), "*", by_path["kind"].alias("p_kind"), by_path["reason"].alias("p_reason")
+    ).withColumn("kind", F.when(allowed(F.col("kind")), F.col("kind"))).withColumn("p_kind", F.when(allowed(F.col("p_kind")), F.col("p_kind"))))
+    rules = mine_patterns(looked.select(
+        "repo", "path", "heads", F.coalesce("declared_kind", "kind", "p_kind").alias("kind"),
+        F.col("declared_kind").isNotNull().alias("declared"), F.coalesce("declaring", F.lit(False)).alias("declaring"),
+    ))
     mined = (
-        open_.where(F.col("path").isNotNull())
-        .select("file_id", F.explode(_patterns(F.col("path"))).alias("pattern"))
-        .join(rules.select("pattern", F.col("kind").alias("rule_kind"), "share"), "pattern")
-        .groupBy("file_id")
-        .agg(F.max(F.struct("share", "rule_kind", "pattern")).alias("m"))
+        looked.where(F.col("declared_kind").isNull())
+        .select("row", "denied", F.explode(_patterns(F.col("path"), F.col("heads"))).alias("pattern"))
+        .join(rules.select("pattern", F.col("kind").alias("rule_kind"), "files", "share"), "pattern")
+        .where(allowed(F.col("rule_kind")))
+        .groupBy("row")
+        .agg(F.max(F.struct("share", "files", "rule_kind", "pattern")).alias("m"))
+    )
+    hit = lambda route, k, r: F.when(k.isNotNull(), F.struct(k.alias("kind"), r.alias("reason"), F.lit(route).alias("route")))
+    verdict = F.coalesce(
+        hit("declared", F.col("declared_kind"), F.lit("declared")),
+        hit("mined", F.col("m.rule_kind"), F.concat(F.lit("pattern "), F.col("m.pattern"))),
+        hit("content", F.col("kind"), F.col("reason")),
+        hit("convention", F.col("p_kind"), F.col("p_reason")),
+    )
+    return looked.join(mined, "row", "left").select("file_id", "repo", "lang", "path", verdict.alias("v")).select(
+        "file_id", "repo", "lang", "path", "v.kind", "v.reason", "v.route"
     )
-    rest = named.join(mined, "file_id", "left").select(
-        "file_id", "repo", "lang", "path",
-        F.coalesce("p.kind", "m.rule_kind").alias("kind"),
-        F.coalesce("p.reason", F.concat(F.lit("pattern "), F.col("m.pattern"))).alias("reason"),
-    )
-    return plain.unionByName(rest)
 
 
 def _by_path(path: Column) -> Column:

@@ -23,6 +23,11 @@ def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
     return kinds.groupBy("repo", kind.alias("kind")).agg(F.count("*").alias("files"))
 
 
+def p1_routes(spark: SparkSession, d: str) -> DataFrame:
+    kinds = provenance.classify_files(table(spark, d, "files")).where(F.col("kind").isNotNull())
+    return kinds.groupBy("route", "kind").agg(F.count("*").alias("files"))
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     t = {n: table(spark, d, n) for n in ("bundle_items", "symbols", "files", "size_limits")}
     return splitting.split_oversized(t["bundle_items"], t["symbols"], t["files"], t["size_limits"])
@@ -90,7 +95,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_kinds, p2_found, p2_pieces, p3_found, p3_rates, p4_containers, p4_report, p5_found, p5_pairs,
+            p1_found, p1_kinds, p1_routes, p2_found, p2_pieces, p3_found, p3_rates, p4_containers, p4_report, p5_found, p5_pairs,
             p8_found, p8_items, p9_mixture, p9_report, p10_found, p10_rates,
         )
     }

@@ -63,13 +63,50 @@ def test_patterns_are_mined_from_declarations(spark):
     a += [(f"a/stubs/f{k}.py", "python", "x = 1\n") for k in range(12)] + [(f"a/made/f{k}.py", "python", "# @generated\n") for k in range(2)]
     b = [("b/stubs/q.py", "python", "x = 1\n"), ("b/lib/q.py", "python", "x = 1\n")] + [(f"b/made/f{k}.py", "python", "# @generated\n") for k in range(9)] + [("b/made/q.py", "python", "x = 1\n")]
     got = {r.path: (r.kind, r.reason) for r in provenance.classify_files(files(spark, *a, *b)).collect()}
-    assert got["a/stubs/f0.py"] == ("generated", "declared") and got["a/made/f0.py"] == (None, "declared")
+    assert got["a/stubs/f0.py"] == ("generated", "declared") and got["a/made/f0.py"] == (None, None)
     assert got["b/stubs/q.py"] == ("generated", "pattern /stubs/")
     assert got["b/lib/q.py"] == (None, None)  # nothing is there in the declared folder
     assert got["b/made/f0.py"][0] == "generated" and got["b/made/q.py"] == (None, None)  # two of twelve are declared hand-written
     assert len(got) == len(a + b)
 
 
+GENERATED = "// Code generated by tool. DO NOT EDIT.\npackage a\n"
+
+
+def test_kinds_are_declared_apart(spark):
+    rows = [
+        ("a/.gitattributes", None, "src/* -linguist-vendored\nlib/** linguist-vendored\n\"my docs/*.js\" linguist-generated=true\nout/* linguist-generated\nout/own.go -linguist-generated\n"),
+        ("a/lib/x/.gitattributes", None, "*.js !linguist-vendored\n"), ("a/src/g.go", "go", GENERATED), ("a/lib/x/y.js", "javascript", "f();\n"), ("a/lib/x/y.c", "c", "int x;\n"),
+        ("a/my docs/m.js", "javascript", "f();\n"), ("a/out/own.go", "go", GENERATED), ("a/out/b.go", "go", "package a\n"), ("a/lib/x/z.js", "javascript", "// copied from upstream\nf();\n"),
+    ]
+    got = {r.path: (r.kind, r.route) for r in provenance.classify_files(files(spark, *rows)).collect()}
+    assert got["a/src/g.go"] == ("generated", "content")  # what is unset there is another kind
+    assert got["a/lib/x/y.js"] == (None, None) and got["a/lib/x/y.c"] == ("vendored", "declared")  # ! means unspecified
+    assert got["a/lib/x/z.js"] == ("vendored", "content")
+    assert got["a/my docs/m.js"] == ("generated", "declared") and got["a/out/b.go"] == ("generated", "declared") and got["a/out/own.go"] == (None, None)
+
+
+def test_routes_over_declared_negated_and_undeclared_repositories(spark):
+    """Twelve repositories declare, two negate, twelve declare nothing: how many files each route gives."""
+    head = "// made with the frobnicate tool, see its manual\n"
+    rows = []
+    for k in range(12):
+        rows += [(f"d{k}/.gitattributes", None, "stubs/** linguist-generated\nforeign/** linguist-vendored\n"), (f"d{k}/stubs/f.js", "javascript", head + f"f({k});\n"), (f"d{k}/foreign/g.js", "javascript", "g();\n")]
+        rows += [(f"u{k}/stubs/f.js", "javascript", "f();\n"), (f"u{k}/src/made.js", "javascript", head + "h();\n"), (f"u{k}/src/own.js", "javascript", "// a hand-written file of ours, read it\nh();\n")]
+    for k in range(2):
+        rows += [(f"n{k}/.gitattributes", None, "* -linguist-generated -linguist-vendored\n"), (f"n{k}/made/f.js", "javascript", GENERATED)]
+    rows += [("u0/src/g.go", "go", GENERATED), ("u1/x/a.min.js", "javascript", "a()\n")]
+    spread = [(i, p, lang, p.split("/")[0], t.encode(), "x", "y", None) for i, (p, lang, t) in enumerate(rows, 1)]
+    df = provenance.classify_files(spark.createDataFrame(spread, FILES))
+    got = {r.path: (r.kind, r.route, r.reason) for r in df.collect()}
+    assert got["u3/stubs/f.js"] == ("generated", "mined", "pattern /stubs/")
+    assert got["u3/src/made.js"][:2] == ("generated", "mined")  # these words nearly always go with declared files
+    assert got["u3/src/own.js"][:2] == (None, None)
+    assert got["n0/made/f.js"] == (None, None, None)
+    routes = {r.route: r["count"] for r in df.groupBy("route").count().collect()}
+    assert routes == {"declared": 24, "mined": 24, "content": 1, "convention": 1, None: len(rows) - 50}
+
+
 # --- 2 ----------------------------------------------------------------------------------------------------------------
 
 
