@@ -1,31 +1,33 @@
 """Evaluation texts leaking into training text (problem 8).
 
 Pigeonhole edit matching: a stretch of WINDOW words that holds at most BUDGET edits, cut into BUDGET + 1 pieces, holds
-one piece unchanged. So every run of RUN words of the items is looked up in the document. An edit spoils at most RUN
-such runs, so places where fewer runs agree than the budget leaves are no case; at the others the stretches of the
-item are compared with the document by Myers' bit-parallel edit distance, words being the letters.
+one piece unchanged. So the pieces of all stretches of the items are looked up in the document, and wherever one is found
+the stretches that it is a piece of are compared with the document by Myers' bit-parallel edit distance, words being
+the letters.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut
+
 #: A stretch of so many words of an item is a leak.
 WINDOW = 20
 #: Words of it that may be changed, missing or inserted.
 BUDGET = 4
-#: Words of a run that is looked up: no more than the shortest of BUDGET + 1 pieces of a stretch.
-RUN = 3
-#: Items beyond this number are refused: their pieces are sent to every task.
-MOST_ITEMS = 50_000
+#: Items up to this number, of at most so many characters in all, are sent to every task; more meet the documents by a join.
+MOST_ITEMS, MOST_CHARS = 50_000, 100_000_000
 
-MATCHES = "doc_id long, item_id int, suite string, edits int, item_word int, start_word int, end_word int"
+MATCHES = "doc_id long, item_id int, suite string, edits int, item_word int, start_word int, end_word int, kept boolean"
 
 _NOISE = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|\\[nrt\"]|[​-‏⁠﻿­]|(?<=\n)[ \t]*(?://+|#+|\*+|>+|--|;+|%+|\|)[ \t]?")
 _WORD = re.compile(r"[^\W_]+(?:\\?_[^\W_]+)*")
@@ -72,115 +74,98 @@ def distance(peq: dict[int, int], m: int, text: list[int], most: int) -> tuple[i
     return best, at
 
 
-class Matcher:
-    """Finds items in documents. ITEMS are ``(item_id, suite, text)``.
+def pieces(run: list, window: int = WINDOW, budget: int = BUDGET) -> Iterator[tuple[int, tuple]]:
+    """The pieces of all stretches of RUN as (place, words): of a long run every piece of WINDOW // (BUDGET + 1) words.
 
-    Sentences that several items share word for word are instructions, not content, and are taken out first.
-    A text shorter than WINDOW words has to occur as a whole, with edits in proportion.
+    A run shorter than WINDOW is one stretch, with edits in proportion and as many pieces.
     """
+    size = min(window, len(run))
+    most = budget if size == window else size * budget // window
+    n = max(1, size // (most + 1))
+    places = range(len(run) - n + 1) if len(run) >= window else range(0, n * (most + 1), n)
+    for q in places:
+        yield q, tuple(run[q : q + n])
+
+
+Claim = tuple[int, int, int, int, int]
+
+
+class Matcher:
+    """Finds items in documents. RUNS are the runs of words of each item, without sentences that items share."""
 
-    def __init__(self, items: list[tuple[int, str, str]], window: int = WINDOW, budget: int = BUDGET):
-        split = {i: sentences(t) for i, _, t in items}
-        seen: dict[tuple[str, ...], set[int]] = {}
-        for i, ss in split.items():
-            for s in ss:
-                seen.setdefault(tuple(s), set()).add(i)
-        self.suite = {i: s for i, s, _ in items}
+    def __init__(self, runs: dict[int, list[list[str]]], window: int = WINDOW, budget: int = BUDGET):
         self.ids: dict[str, int] = {}
-        self.text: dict[int, list[list[int]]] = {}
         self.window, self.budget = window, budget
-        self.grams: dict[tuple[int, ...], list[tuple[int, int, int]]] = {}
-        self.masks: dict[tuple[int, int, int], tuple[dict[int, int], int]] = {}
-        self.piece = max(1, min(RUN, window // (budget + 1)))
-        for i, ss in split.items():
-            runs: list[list[int]] = [[]]
-            for s in ss:
-                if len(seen[tuple(s)]) > 1:
-                    runs.append([])
-                else:
-                    runs[-1] += [self.ids.setdefault(w, len(self.ids) + 1) for w in s]
-            self.text[i] = [r for r in runs if r]
-            for k, r in enumerate(self.text[i]):
-                n = min(self.piece, len(r))
-                for q in range(len(r) - n + 1):
-                    self.grams.setdefault(tuple(r[q : q + n]), []).append((i, k, q))
-        self.short = {len(g) for g in self.grams}
-
-    def _mask(self, i: int, k: int, q: int) -> tuple[dict[int, int], int]:
-        key = (i, k, q)
+        self.text = {i: [[self.ids.setdefault(w, len(self.ids) + 1) for w in r] for r in rs] for i, rs in runs.items()}
+        self.pieces: dict[tuple[int, ...], list[tuple[int, int, int]]] = {}
+        self.masks: dict[tuple[int, int, int], dict[int, int]] = {}
+        for i, rs in self.text.items():
+            for k, r in enumerate(rs):
+                for q, piece in pieces(r, window, budget):
+                    self.pieces.setdefault(piece, []).append((i, k, q))
+        self.lengths = sorted({len(g) for g in self.pieces})
+
+    def _mask(self, i: int, k: int, s: int, size: int) -> dict[int, int]:
+        key = (i, k, s)
         if key not in self.masks:
-            part = self.text[i][k][q : q + self.window]
             peq: dict[int, int] = {}
-            for b, c in enumerate(part):
+            for b, c in enumerate(self.text[i][k][s : s + size]):
                 peq[c] = peq.get(c, 0) | 1 << b
-            self.masks[key] = peq, len(part)
+            self.masks[key] = peq
         return self.masks[key]
 
-    def _stretches(self, claims: list, w: list[int], i: int, k: int, band: list, size: int, most: int, need: int) -> None:
-        run = self.text[i][k]
-        marks = [0] * (len(run) + 1)
-        for q in {q for _, q in band}:
-            marks[q + 1] = 1
-        for q in range(len(run)):
-            marks[q + 1] += marks[q]
-        d0, d1 = band[0][0], band[-1][0]
-        for s in range(len(run) - size + 1):
-            if marks[min(len(run), s + size - self.piece + 1)] - marks[s] < need:
-                continue
-            a = max(0, s + d0 - most)
-            part = w[a : s + d1 + size + most + 1]
-            peq, m = self._mask(i, k, s)
-            d, end = distance(peq, m, part, most)
-            if d <= most:
-                claims.append((d, i, s, max(0, a + end - size + 1), a + end))
-
-    def find(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """Leaks in TEXT as (item_id, edits, item_word, start_word, end_word), one per item.
-
-        Where two items claim the same words of the document, only those with the fewest edits keep the claim: items
-        are alike in their phrases, a leak is one item's text.
-        """
-        known = self.ids
-        w = [known.get(x, 0) for x in words(text)]
-        hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for n in self.short:
+    def claims(self, text: str | None) -> list[Claim]:
+        """All stretches of items that TEXT holds within the budget, as (edits, item, item_word, start_word, end_word)."""
+        get = self.ids.get
+        w = [get(x, 0) for x in words(text)]
+        tried: set[tuple[int, int, int, int]] = set()
+        out: list[Claim] = []
+        for n in self.lengths:
             for p in range(len(w) - n + 1):
-                if w[p] and (g := self.grams.get(tuple(w[p : p + n]))):
-                    for i, k, q in g:
-                        hits.setdefault((i, k), []).append((p - q, q))
-        claims: list[tuple[int, int, int, int, int]] = []
-        for (i, k), at in hits.items():
-            run = self.text[i][k]
-            size = min(self.window, len(run))
-            most = self.budget if size == self.window else size * self.budget // self.window
-            need = max(1, size - self.piece + 1 - most * self.piece)
-            if len(at) < need:
-                continue
-            at.sort()
-            lo = 0
-            # bands of neighbouring diagonals, each wide enough for the insertions and deletions of one stretch
-            while lo < len(at):
-                hi = lo
-                while hi < len(at) and at[hi][0] <= at[lo][0] + 2 * most:
-                    hi += 1
-                if hi - lo >= need:
-                    self._stretches(claims, w, i, k, at[lo:hi], size, most, need)
-                first = at[lo][0]
-                while lo < hi and at[lo][0] <= first + most and hi < len(at):
-                    lo += 1
-                if hi == len(at):
-                    break
-        best: dict[int, int] = {}
-        for d, _, _, a, b in claims:
-            for x in range(a, b + 1):
-                if d < best.get(x, 99):
-                    best[x] = d
-        out: dict[int, tuple[int, int, int, int, int]] = {}
-        for d, i, s, a, b in claims:
-            if d <= min(best[x] for x in range(a, b + 1)) or _owns(best, d, a, b):
-                if i not in out or d < out[i][1]:
-                    out[i] = (i, d, s, a, b)
-        return list(out.values())
+                if not w[p] or not (found := self.pieces.get(tuple(w[p : p + n]))):
+                    continue
+                for i, k, q in found:
+                    length = len(self.text[i][k])
+                    size = min(self.window, length)
+                    most = self.budget if size == self.window else size * self.budget // self.window
+                    # the stretches that this is a piece of: it stands a whole number of pieces after their start
+                    for s in range(q, max(-1, q - n * (most + 1)), -n) if length >= self.window else (0,):
+                        if not 0 <= s <= length - size or (i, k, s, p - q) in tried:
+                            continue
+                        tried.add((i, k, s, p - q))
+                        a = max(0, p - q + s - most)
+                        part = w[a : p - q + s + size + most]
+                        peq = self._mask(i, k, s, size)
+                        if sum(map(peq.__contains__, part)) < size - most:
+                            continue  # too few words of the stretch for any alignment
+                        d, end = distance(peq, size, part, most)
+                        if d <= most:
+                            out.append((d, i, s, max(0, a + end - size + 1), a + end))
+        return out
+
+    def find(self, text: str | None) -> list[tuple[int, int, int, int, int, bool]]:
+        """Leaks in TEXT as (item_id, edits, item_word, start_word, end_word, kept), one per item."""
+        return compete(self.claims(text))
+
+
+def compete(claims: list[Claim]) -> list[tuple[int, int, int, int, int, bool]]:
+    """The best claim of each item as (item_id, edits, item_word, start_word, end_word, kept).
+
+    Where two items claim the same words of the document, only those with the fewest edits keep the claim: items are
+    alike in their phrases, a leak is one item's text. Of an item that keeps none the claim with the fewest edits is
+    returned with ``kept`` false.
+    """
+    best: dict[int, int] = {}
+    for d, _, _, a, b in claims:
+        for x in range(a, b + 1):
+            if d < best.get(x, 99):
+                best[x] = d
+    out: dict[int, tuple[bool, int, tuple]] = {}
+    for d, i, s, a, b in sorted(claims):
+        lost = d > min(best[x] for x in range(a, b + 1)) and not _owns(best, d, a, b)
+        if i not in out or (lost, d) < out[i][:2]:
+            out[i] = lost, d, (i, d, s, a, b, not lost)
+    return [r for _, _, r in out.values()]
 
 
 def _owns(best: dict[int, int], d: int, a: int, b: int) -> bool:
@@ -188,39 +173,117 @@ def _owns(best: dict[int, int], d: int, a: int, b: int) -> bool:
     return 2 * sum(best[x] >= d for x in range(a, b + 1)) > b - a + 1
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, budget: int = BUDGET) -> DataFrame:
+_NAMES = [c.split()[0] for c in MATCHES.split(", ")]
+
+
+def item_runs(items: DataFrame) -> DataFrame:
+    """``item_id, suite, runs`` of ITEMS: their words, cut where a sentence that several items share was taken out.
+
+    Such sentences are instructions, not content. Of items with one id the greatest text holds.
+    """
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            yield pd.DataFrame({"item_id": d["item_id"], "suite": d["suite"], "s": [[" ".join(ws) for ws in sentences(t)] for t in d["text"]]})
+
+    one = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy("item_id").agg(F.max(F.struct("text", "suite")).alias("v"))
+    kind = "item_id int, suite string, s array<string>"
+    split = one.select("item_id", "v.suite", "v.text").mapInPandas(cut_up, kind).select("item_id", "suite", F.posexplode("s").alias("at", "s"))
+    shared = split.groupBy("s").agg(F.count_distinct("item_id").alias("n")).where(F.col("n") > 1).select("s", F.lit(True).alias("shared"))
+    rows = split.join(shared, "s", "left").groupBy("item_id").agg(F.max("suite").alias("suite"), F.array_sort(F.collect_list(F.struct("at", "s", F.coalesce("shared", F.lit(False)).alias("shared")))).alias("a"))
+    joined = F.array_join(F.transform("a", lambda x: F.when(x["shared"], F.lit("\n")).otherwise(x["s"])), " ")
+    return rows.select("item_id", "suite", F.filter(F.transform(F.split(joined, "\n"), F.trim), lambda r: r != "").alias("runs"))
+
+
+def find_leaks(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, budget: int = BUDGET, most_items: int = MOST_ITEMS, most_chars: int = MOST_CHARS
+) -> DataFrame:
     """Documents that hold an item's text or a stretch of WINDOW words of it (columns ``MATCHES``).
 
     One row per document and item, with the fewest edits of any such stretch, its place in the item (``item_word``) and
-    in the document's words. Null and empty texts hold nothing; a document that occurs twice is reported twice. Of
-    items with one id the greatest text holds. The items are a fixed held-out set, at most MOST_ITEMS, so they are sent
-    to the tasks; documents are scanned once where they lie and never shuffled.
+    in the document's words; ``kept`` is false where other items claim the same words with fewer edits (:func:`compete`).
+    Null and empty texts hold nothing; a document that occurs twice is reported twice.
+
+    Up to MOST_ITEMS items of MOST_CHARS characters are sent to the tasks, and documents are scanned once where they lie.
+    More items are joined with the documents on hashed pieces (:func:`_by_pieces`), with the same result.
     """
-    rows = (
-        items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy("item_id")
-        .agg(F.max(F.struct("text", "suite")).alias("v")).limit(MOST_ITEMS + 1).collect()
-    )
-    if len(rows) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} evaluation items")
-    wanted = sorted((int(r["item_id"]), r["v"]["suite"], r["v"]["text"]) for r in rows)
-    names = [c.split()[0] for c in MATCHES.split(", ")]
+    runs = cut(item_runs(items))
+    size = runs.agg(F.count("*").alias("n"), F.sum(F.length(F.array_join("runs", " "))).alias("chars")).first()
+    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    if size["n"] > most_items or (size["chars"] or 0) > most_chars:
+        return _by_pieces(known, runs, window, budget)
+    held = {r["item_id"]: (r["suite"], [x.split(" ") for x in r["runs"]]) for r in runs.collect()}
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Matcher(wanted, window, budget)
+        m = Matcher({i: r for i, (_, r) in held.items()}, window, budget)
         for d in batches:
-            found = [
-                (doc, i, m.suite[i], e, s, a, b)
-                for doc, text in zip(d["doc_id"].tolist(), d["text"].tolist())
-                for i, e, s, a, b in m.find(text)
-            ]
+            found = [(doc, i, held[i][0], *rest) for doc, text in zip(d["doc_id"].tolist(), d["text"].tolist()) for i, *rest in m.find(text)]
             if found:
-                yield pd.DataFrame(found, columns=names)
+                yield pd.DataFrame(found, columns=_NAMES)
+
+    return known.mapInPandas(scan, MATCHES)
+
+
+def _hash(words_: tuple) -> int:
+    return xxhash.xxh64_intdigest(" ".join(words_)) - (1 << 63)
+
+
+def _by_pieces(docs: DataFrame, runs: DataFrame, window: int, budget: int) -> DataFrame:
+    """:func:`find_leaks` for any number of items: the pieces of items and the runs of as many words of documents meet by hash.
+
+    The hashes of a document are made distinct where it lies. Pairs of a document and an item that share a piece meet
+    their texts again and are verified one by one; claims of a document compete as in a scan.
+    """
+
+    def of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            found = {(i, len(p), _hash(p)) for i, rs in zip(d["item_id"].tolist(), d["runs"]) for r in rs for _, p in pieces(r.split(" "), window, budget)}
+            yield pd.DataFrame(sorted(found), columns=["item_id", "n", "h"])
+
+    longest = max(1, window // (budget + 1)) if window > budget else 1
+    lengths = sorted({len(p) for size in range(1, window + 1) for _, p in pieces([0] * size, window, budget)} | {longest})
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            d = d.copy()
+            d["row"] = [uuid.uuid4().hex for _ in range(len(d))]
+            yield d[["row", "doc_id", "text"]]
+
+    rows = cut(docs.mapInPandas(named, "row string, doc_id long, text string"))  # ids may repeat
+
+    def of_docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            for row, text in zip(d["row"], d["text"]):
+                w = words(text)
+                found = {(n, _hash(tuple(w[k : k + n]))) for n in lengths for k in range(len(w) - n + 1)}
+                if found:
+                    ns, hs = zip(*found)
+                    yield pd.DataFrame({"row": row, "n": ns, "h": hs})
+
+    keys = runs.select("item_id", "runs").mapInPandas(of_items, "item_id int, n int, h long")
+    pairs = rows.select("row", "text").mapInPandas(of_docs, "row string, n int, h long").join(keys, ["n", "h"]).select("row", "item_id").distinct()
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            out = [
+                (row, doc, suite, [list(map(int, c)) for c in found])
+                for row, doc, text, item, suite, rs in zip(d["row"], d["doc_id"].tolist(), d["text"], d["item_id"].tolist(), d["suite"], d["runs"])
+                if (found := Matcher({item: [r.split(" ") for r in rs]}, window, budget).claims(text))
+            ]
+            yield pd.DataFrame(out, columns=["row", "doc_id", "suite", "claims"])
+
+    claims = pairs.join(rows, "row").join(runs, "item_id").mapInPandas(verify, "row string, doc_id long, suite string, claims array<array<int>>")
+
+    def settle(d: pd.DataFrame) -> pd.DataFrame:
+        every = [tuple(c) for cs in d["claims"] for c in cs]
+        suite = {cs[0][1]: s for cs, s in zip(d["claims"], d["suite"])}
+        return pd.DataFrame([(d["doc_id"].iat[0], i, suite[i], *rest) for i, *rest in compete(every)], columns=_NAMES)
 
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(scan, MATCHES)
+    return claims.groupBy("row").applyInPandas(settle, MATCHES)
 
 
 def leak_report(leaks: DataFrame, items: DataFrame) -> DataFrame:
     """Every item with the number of documents that hold it: ``item_id, suite, docs``."""
-    n = leaks.groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
+    n = leaks.where("kept").groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
     every = items.where(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.max("suite").alias("suite"))
     return every.join(n, "item_id", "left").select("item_id", "suite", F.coalesce("docs", F.lit(0)).alias("docs"))

@@ -66,7 +66,7 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("kept").select("doc_id", "item_id")
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:

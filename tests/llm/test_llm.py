@@ -350,13 +350,14 @@ def test_doc_pairs(spark):
 WORDS = [f"w{k}" for k in range(400)]
 
 
-def dp(a, b):
-    row = [0] * (len(b) + 1)
+def dp(a, b, whole=True):
+    """Edit distance of A and B, or of A and the best part of B."""
+    row = list(range(len(b) + 1)) if whole else [0] * (len(b) + 1)
     for i, x in enumerate(a, 1):
         prev, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-    return min(row)
+    return row[-1] if whole else min(row)
 
 
 def test_bit_parallel_distance():
@@ -366,7 +367,7 @@ def test_bit_parallel_distance():
         peq = {}
         for k, c in enumerate(a):
             peq[c] = peq.get(c, 0) | 1 << k
-        assert min(leakage.distance(peq, len(a), b, len(a))[0], len(a)) == dp(a, b)
+        assert min(leakage.distance(peq, len(a), b, len(a))[0], len(a)) == dp(a, b, False)
 
 
 def test_find_leaks(spark):
@@ -384,10 +385,37 @@ def test_find_leaks(spark):
     idf = spark.createDataFrame(items + items[:1], "item_id int, suite string, text string")
     found = leakage.find_leaks(ddf, idf)
     assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(1, 1), (1, 1), (2, 1), (7, 2), (8, 3), (9, 2)]
+    joined = leakage.find_leaks(ddf, idf, most_items=1)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, found.collect()))
+    assert leakage.find_leaks(ddf.limit(0), idf, most_items=0).count() == 0
     assert {r.item_id: r.docs for r in leakage.leak_report(found, idf).collect()} == {1: 2, 2: 2, 3: 1, 4: 0, 5: 0}
     assert leakage.find_leaks(ddf.limit(0), idf).count() == 0 and leakage.find_leaks(ddf, idf.limit(0)).count() == 0
 
 
+def test_every_stretch_within_the_budget_is_found():
+    """Against all windows: a document holds an item if any of its stretches is within the budget of a part of it."""
+    rnd = random.Random(8)
+    for _ in range(120):
+        item = [rnd.choice(WORDS[:60]) for _ in range(rnd.choice([5, 9, 16, 20, 33]))]
+        a = rnd.randrange(max(1, len(item) - 20))
+        part = item[a : a + 20]
+        for _ in range(rnd.randint(0, 6)):
+            k = rnd.randrange(len(part) + 1)
+            part[k : k + rnd.randint(0, 1)] = [rnd.choice(WORDS)] * rnd.randint(0, 1)
+        doc = [rnd.choice(WORDS) for _ in range(rnd.randint(0, 9))] + part + [rnd.choice(WORDS) for _ in range(9)]
+        size = min(20, len(item))
+        most = size * 4 // 20
+        want = any(dp(item[s : s + size], doc[x:y]) <= most for s in range(len(item) - size + 1) for x in range(len(doc)) for y in range(x + size - most, min(len(doc), x + size + most) + 1))
+        assert bool(leakage.Matcher({1: [item]}).find(" ".join(doc))) is want
+
+
+def test_claims_that_lose_are_flagged():
+    one = [f"a{k}" for k in range(20)]
+    two = [*one[:17], "x", "y", "z"]
+    got = {r[0]: r[1:] for r in leakage.Matcher({1: [one], 2: [two]}).find(" ".join(one))}
+    assert got[1][0] == 0 and got[1][-1] and got[2][0] == 3 and not got[2][-1]
+
+
 # --- 9 ----------------------------------------------------------------------------------------------------------------
 
 
