@@ -121,10 +121,10 @@ class Matcher:
         tried: set[tuple[int, int, int, int]] = set()
         out: list[Claim] = []
         for n in self.lengths:
-            for p in range(len(w) - n + 1):
-                if not w[p] or not (found := self.pieces.get(tuple(w[p : p + n]))):
-                    continue
-                for i, k, q in found:
+            known = self.pieces
+            hits = [(p, g) for p, g in enumerate(zip(*(w[j:] for j in range(n)))) if g in known]
+            for p, g in hits:
+                for i, k, q in known[g]:
                     length = len(self.text[i][k])
                     size = min(self.window, length)
                     most = self.budget if size == self.window else size * self.budget // self.window
