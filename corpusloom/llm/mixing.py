@@ -154,27 +154,39 @@ def _shifts(counted: DataFrame, rates: dict[str, tuple[float, int]], sizes: dict
     return F.coalesce(_lookup({s: F.lit(k) for s, (_, k) in sorted(best.items())}, "int"), F.lit(0))
 
 
-def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = SEED, tokenizer: str = TOKENIZER) -> DataFrame:
-    """The mixture: ``doc_id, copy_no, source, n_tokens, text`` in a random order that depends on SEED alone.
+def _plan(docs: DataFrame, targets: DataFrame, total: int | None, seed: int, tokenizer: str) -> DataFrame:
+    """Every document with ``source``, ``n_tokens`` and ``times``, how often it is used; ``text`` only where it may be.
 
-    How often a document is used follows from a hash of its id: the inverse of a Poisson distribution whose mean is
-    the rate its source needs. Documents of null or untargeted sources are not used; empty and null texts count no
-    tokens and are replicated like others. The only shuffle of texts is the final sort by a hash of (seed, id, copy).
-    Ids, sources and token counts are kept for planning; a few numbers per target source go to the driver.
+    The one run of the tokenizer: its counts, with the texts of target sources, are kept by a checkpoint.
     """
     goals = _targets(targets)
-    counted = cut(_counted(docs, tokenizer).select("doc_id", "source", "n_tokens"))
+    text = F.when(F.col("source").isin(list(goals)), F.col("text")) if goals else F.lit(None).cast("string")
+    counted = cut(_counted(docs, tokenizer).select("doc_id", "source", "n_tokens", text.alias("text")))
     sizes = _sizes(counted, list(goals))
     rates = plan_mixture(sizes, goals, total)
-    shift = _shifts(counted, rates, sizes, seed)
+    shift = _shifts(counted.select("doc_id", "source", "n_tokens"), rates, sizes, seed)
     u = F.pmod(_draw(seed) + shift * F.lit((1 << 30) // SHIFTS), F.lit(1 << 30))
+    return counted.withColumn("times", _uses((u + 0.5) / float(1 << 30), rates))
+
+
+def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = SEED, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The mixture: ``doc_id, copy_no, source, n_tokens, text`` in a random order that depends on SEED alone.
+
+    How often a document is used follows from a hash of its id: the inverse of a Poisson distribution whose mean is
+    the rate its source needs. Documents of null or untargeted sources are not used; empty and null texts count no
+    tokens and are replicated like others. The only shuffle of texts is the last one: partitions are equal ranges of a
+    uniform hash of (seed, id, copy), so nothing is sampled, and each is sorted by it. A few numbers per target source go
+    to the driver.
+    """
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
+    h = F.xxhash64("doc_id", "copy_no", F.lit(seed + 1))
+    part = F.least(F.floor((h / float(1 << 64) + 0.5) * parts), F.lit(parts - 1)).cast("int")
     return (
-        docs.withColumn("source", canonical_source(F.col("source")))
-        .withColumn("times", _uses((u + 0.5) / float(1 << 30), rates))
+        _plan(docs, targets, total, seed, tokenizer)
         .where(F.col("times") > 0)
-        .transform(lambda d: with_token_counts(d, tokenizer))
         .select("doc_id", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy_no"), "source", "n_tokens", "text")
-        .orderBy(F.xxhash64("doc_id", "copy_no", F.lit(seed + 1)), "doc_id", "copy_no")
+        .repartitionById(parts, part)
+        .sortWithinPartitions(h, "doc_id", "copy_no")
     )
 
 
@@ -183,16 +195,17 @@ def mix_report(docs: DataFrame, targets: DataFrame, total: int | None = None, se
 
     ``target_share`` is null for sources without target; ``uses`` is the largest number of uses of one document.
     """
-    mixed = mix(docs, targets, total, seed, tokenizer).groupBy("source").agg(
-        F.sum("n_tokens").alias("mixed_tokens"), F.countDistinct("doc_id").alias("docs_used"), F.max("copy_no").alias("uses")
-    )
-    have = _counted(docs, tokenizer).where(F.col("source").isNotNull()).groupBy("source").agg(
-        F.sum("n_tokens").cast("long").alias("tokens"), F.count("*").alias("docs")
-    )
+    planned = _plan(docs, targets, total, seed, tokenizer).select("doc_id", "source", "n_tokens", "times")
+    used = F.col("times") > 0
+    have = planned.where(F.col("source").isNotNull()).groupBy("source").agg(
+        F.sum("n_tokens").cast("long").alias("tokens"), F.count("*").alias("docs"),
+        F.sum(F.when(used, F.col("n_tokens") * F.col("times"))).alias("mixed_tokens"),
+        F.count_distinct(F.when(used, F.col("doc_id"))).alias("docs_used"), F.max(F.when(used, F.col("times"))).alias("uses"),
+    )
     want = targets.where(F.col("source").isNotNull()).groupBy(canonical_source(F.col("source")).alias("source")).agg(
         F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats")
     )
-    j = want.join(have, "source", "full").join(mixed, "source", "left")
+    j = want.join(have, "source", "full")
     usable = j.agg(F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).alias("w"), F.sum("mixed_tokens").alias("m")).first()
     w, m = float(usable["w"] or 0) or 1.0, float(usable["m"] or 0) or 1.0
     return j.select(

@@ -434,6 +434,8 @@ def test_mix(spark):
     m = mixing.mix(d, t).collect()
     assert m == mixing.mix(d, t).collect()
     assert [(r.doc_id, r.copy_no) for r in m] != sorted((r.doc_id, r.copy_no) for r in m)
+    keys = [tuple(r) for r in spark.createDataFrame(m).select(F.xxhash64("doc_id", F.col("copy_no").cast("int"), F.lit(mixing.SEED + 1))).collect()]
+    assert keys == sorted(keys)  # the order of the partitions and within them is that of the hash
     assert {r.source for r in m} == {"big_source", "small"} and max(r.copy_no for r in m if r.source == "big_source") == 1 and max(r.copy_no for r in m) <= 3
     rep = {r.source: r for r in mixing.mix_report(d, t).collect()}
     assert rep["small"].actual_share == pytest.approx(0.5, abs=0.02) and rep["absent"].docs == 0 and rep["other"].target_share is None
