@@ -280,20 +280,48 @@ def optimum(sizes, cap):
 def test_packing_against_optimum():
     rnd = random.Random(5)
     worse = 0
-    for _ in range(250):
-        cap = rnd.choice([10, 17, 30])
-        sizes = sorted((rnd.randint(1, cap) for _ in range(rnd.randint(1, 9))), reverse=True)
+    for round_ in range(600):
+        cap = rnd.choice([10, 17, 20, 30])
+        most = cap if round_ % 2 else cap * 2 // 3
+        sizes = sorted((rnd.randint(1, most) for _ in range(rnd.randint(1, 9))), reverse=True)
         counts = {s: sizes.count(s) for s in sizes}
         got = packing.pack_sizes(dict(counts), cap)
-        assert all(sum(b) <= cap for b, _ in got)
-        assert sorted(x for b, n in got for _ in range(n) for x in b) == sorted(sizes)
+        assert all(sum(s * c for s, c in b.items()) <= cap for b, _ in got)
+        assert sorted(x for b, n in got for _ in range(n) for s, c in b.items() for x in [s] * c) == sorted(sizes)
         n, best = sum(n for _, n in got), optimum(sizes, cap)
         assert n <= best + 1
         worse += n > best
         fixed = packing.reduce_dominated(left := dict(counts), cap)
         rest = [s for s, k in left.items() for _ in range(k)]
         assert sum(n for _, n in fixed) + optimum(sorted(rest, reverse=True), cap) == best  # what is fixed is optimal
-    assert worse < 15
+    assert worse < 36
+
+
+def naive_best_fit(sizes, cap):
+    bins = []
+    for s in sorted((s for s, n in sizes.items() for _ in range(n)), reverse=True):
+        fits = [b for b in bins if sum(b) + s <= cap]
+        if fits:
+            max(fits, key=sum).append(s)
+        else:
+            bins.append([s])
+    return bins
+
+
+def test_best_fit_of_sizes_is_that_of_items():
+    rnd = random.Random(6)
+    for _ in range(300):
+        cap = rnd.choice([12, 40, 100])
+        sizes = {rnd.randint(1, cap): rnd.randint(1, 9) for _ in range(rnd.randint(1, 12))}
+        got = packing.best_fit(dict(sizes), cap)
+        rooms = sorted(sum(s * c for s, c in p.items()) for p, n in got for _ in range(n))
+        assert rooms == sorted(map(sum, naive_best_fit(sizes, cap)))
+
+
+def test_a_hot_request_is_packed_as_sizes():
+    got = packing.pack_sizes({7: 3_000_000, 3: 5_000_001, 2: 10**7, 1: 10**6}, 8000)
+    assert len(got) < 50 and sum(n * c for p, n in got for c in p.values()) == 19_000_001
+    assert packing.reduce_dominated({11: 1, 10: 1, 7: 1, 3: 4}, 20) == []  # {11, 3, 3, 3} and {10, 7, 3} are two
 
 
 def test_pack_items(spark):
