@@ -12,18 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import functions
+
 PAIRS = "item_id long, symbol_id long, qualname string, doc string, code string, doc_first int, doc_last int, code_first int, code_last int"
 
 #: A description has at least so many words that are not in the function's name.
 LEAST_WORDS = 3
 
-# Openings of a definition in the languages at hand, tags, and texts that stand for missing documentation
-_DEF = re.compile(
-    r"^\s*(?:(?:pub(?:\([a-z]+\))?|export|default|public|private|protected|static|final|abstract|async|unsafe|extern|inline|const|synchronized|override|virtual)\s+)*"
-    r"(?:def|fn|func|function\*?|[A-Za-z_][\w<>\[\],.:*& ]*?[\s*&])?\s*(?:\([^)]*\)\s*)?(?:self\.)?([A-Za-z_$][\w$]*[?!]?)\s*(?:<[^(]*>)?\s*(?:\(|$)"
-)
-_RUBY_DEF = re.compile(r"^\s*def\s+(?:self\.)?([\w]+[?!=]?)")
-_ANNOTATION = re.compile(r"^\s*(?:@[A-Za-z_][\w.]*(?:\(.*\))?|#!?\[.*\]|\[[A-Z]\w*.*\])\s*$")
+# Tags, and texts that stand for missing documentation
 _RULER = re.compile(r"[-=*#~_/\s.]{3,}")
 _TAG = re.compile(r"^(?:[@\\](?:param(?:eter)?|arg|tparam|property|throws|exception)\b\s*(?:\{[^}]*\}\s*)?\[?[\w$.]*\]?|:(?:param|arg|type|raises?|rtype|throws)\b[^:]*:|[@\\](?:returns?|yields?|since|see|author|version|deprecated)\b(?:\s*\{[^}]*\})?|:(?:returns?|yields?):)\s*[-–:]?\s*")
 _PARAM = re.compile(r"^(?:[@\\](?:param|arg|tparam|property)\b|:(?:param|arg|type|rtype)\b)")
@@ -97,29 +93,6 @@ def _uncomment(block: list[str]) -> list[str]:
     return out
 
 
-def _above(lines: list[str], at: int) -> tuple[int, int]:
-    """The comment block directly above line AT, annotations between them skipped: (first, end), empty if equal."""
-    end = at
-    while end > 0 and (_ANNOTATION.match(lines[end - 1])):
-        end -= 1
-    k = end
-    if k and lines[k - 1].rstrip().endswith("*/"):
-        while k > 0:
-            k -= 1
-            if lines[k].lstrip().startswith("/*"):
-                return k, end
-        return end, end
-    if k and lines[k - 1].strip() == "=end":
-        while k > 0:
-            k -= 1
-            if lines[k].strip() == "=begin":
-                return k, end
-        return end, end
-    while k > 0 and re.match(r"\s*(?://|#(?!!?\[|include|define))", lines[k - 1]):
-        k -= 1
-    return k, end
-
-
 def _python_doc(lines: list[str], at: int) -> tuple[int, int, str] | None:
     """The string that is the first statement of the function at line AT: (first, end, text).
 
@@ -158,43 +131,62 @@ def _python_doc(lines: list[str], at: int) -> tuple[int, int, str] | None:
     return k, k + 1 + body.count("\n"), body
 
 
-def pair_of(content: str, name: str | None, python: bool) -> tuple[str, str, int, int, int, int] | None:
+def pair_of(content: str, name: str | None, lang: str | None) -> tuple[str, str, int, int, int, int] | None:
     """Documentation and code of the function NAME in CONTENT: (doc, code, doc lines, code lines), None without any.
 
     Line ranges are half open and count from 0. The documentation is the comment block directly above the definition
-    and, in Python, the string that is the first statement.
+    and, in Python, the string that is the first statement. Without a name the first definition is taken.
     """
-    lines = content.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    at = None
-    comment = False
-    for i, x in enumerate(lines):
-        s = x.strip()
-        if comment:
-            comment = "*/" not in s
-            continue
-        if s.startswith("/*"):
-            comment = "*/" not in s
-            continue
-        if not s or s.startswith(("//", "#", "*", "--", "@")) and not (s.startswith("@") and "def " in s):
-            continue
-        m = _RUBY_DEF.match(x) or _DEF.match(x)
-        if name is None and m or name is not None and re.search(rf"(?<![\w$]){re.escape(name)}(?![\w$])", x):
-            at = i
-            break
+    text = content.replace("\r\n", "\n").replace("\r", "\n")
+    lines = text.split("\n")
+    if lang == "python":
+        return _python_pair(lines, name)
+    if lang is None:
+        return None
+    for f in functions.functions(text, lang):
+        if name is None or f.name.rstrip("?!") == name.rstrip("?!="):
+            line = lambda at: text.count("\n", 0, at)
+            if f.doc[0] == f.doc[1]:
+                return None
+            doc = _uncomment("\n".join(text[a:e] for a, e in f.comments).split("\n"))
+            first, end = line(f.head), line(f.end) + 1
+            return "\n".join(doc).strip(), "\n".join(lines[first:end]).rstrip(), line(f.doc[0]), line(max(f.doc[0], f.doc[1] - 1)) + 1, first, end
+    return None
+
+
+def _python_pair(lines: list[str], name: str | None) -> tuple[str, str, int, int, int, int] | None:
+    head = re.compile(rf"^\s*(?:async\s+)?def\s+{re.escape(name) if name else '[^\\W\\d]\\w*'}\s*[(\[]")
+    at = next((k for k, x in enumerate(lines) if head.match(x)), None)
     if at is None:
         return None
-    first, end = _above(lines, at)
-    doc = _uncomment(lines[first:end]) if end > first else []
-    code_first, code = at, lines[at:]
-    span = (first, end)
-    if python and (inner := _python_doc(lines, at)):
+    up = at
+    # decorators, which may go on over lines, stand between the comment and the definition
+    while up and (re.match(r"^\s*@[^\W\d]", lines[up - 1]) or _closes_decorator(lines, up - 1)):
+        up -= 1
+        while not re.match(r"^\s*@[^\W\d]", lines[up]):
+            up -= 1
+    first = up
+    while first and re.match(r"\s*#", lines[first - 1]):
+        first -= 1
+    doc, span, code = _uncomment(lines[first:up]), (first, up), lines[at:]
+    if inner := _python_doc(lines, at):
         a, b, text = inner
         doc += text.split("\n")
         code = lines[at:a] + lines[b:]
-        span = (a, b) if end == first else (first, b)
+        span = (a, b) if up == first else (first, b)
     if not doc:
         return None
-    return "\n".join(doc).strip(), "\n".join(code).rstrip(), span[0], span[1], code_first, len(lines)
+    return "\n".join(doc).strip(), "\n".join(code).rstrip(), span[0], span[1], at, len(lines)
+
+
+def _closes_decorator(lines: list[str], k: int) -> bool:
+    """Whether line K ends the arguments of a decorator that began on a line above."""
+    depth = 0
+    for j in range(k, -1, -1):
+        depth += sum(lines[j].count(c) for c in ")]}") - sum(lines[j].count(c) for c in "([{")
+        if depth <= 0:
+            return j < k and re.match(r"^\s*@[^\W\d]", lines[j]) is not None
+    return False
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,8 +194,9 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for d in batches:
         rows = []
         for item, symbol, path, qual, start, content in zip(d["item_id"], d["symbol_id"], d["path"], d["qualname"], d["start_line"], d["content"]):
-            name = qual.rpartition(".")[2] if qual else None
-            found = pair_of(content, name, bool(path) and path.endswith((".py", ".pyi")))
+            name = re.split(r"\.|::|#", qual)[-1] if qual else None
+            ending = path.rpartition(".")[2].lower() if path else ""
+            found = pair_of(content, name, "python" if ending in ("py", "pyi") else functions.LANGUAGES.get(ending))
             if found and meaningful(found[0].split("\n"), name or ""):
                 doc, code, a, b, c, e = found
                 s = 1 if pd.isna(start) else int(start)
@@ -217,8 +210,9 @@ def doc_pairs(items: DataFrame, symbols: DataFrame) -> DataFrame:
 
     Columns ``symbol_id, item_id, qualname, kind, sig, doc, code, doc_first, doc_last, code_first, code_last``; lines
     count in the file. Of several documented items of a symbol the one with the least id stands. Items without symbol,
-    with null content, or of a symbol that does not exist or is of another kind yield nothing. The definition is found
-    by the last part of ``qualname``, or, where that is null, is the first in the content.
+    with null content, of a path whose ending tells no known language, or of a symbol that does not exist or is of another
+    kind yield nothing. The definition is the function node of the syntax tree (:mod:`functions`, :mod:`ast`) that is named by
+    the last part of ``qualname``, or, where that is null, the first.
 
     Contents are read where they lie; only documented pairs are shuffled, to meet the kind of their symbol. A symbol
     that holds a third of the items is reduced to one row per task before the shuffle.
