@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -37,13 +37,12 @@ class Loom:
 
     def _hits(self, query: str, limit: int) -> DataFrame:
         chunks = self._chunks()
-        dim = 1
         vec = None
         m = self.store.manifest()
         v = chunks.select("chunk_id").where(F.lit(False)).withColumn("embedding", F.array().cast("array<float>"))
         if self.embedder and (m.model_id, m.model_dim) == (self.embedder.id, self.embedder.dim):
             vec = self.embedder.embed([query])[0].tolist()
-            v = vectors.embed(chunks, type(self.embedder))
+            v = self.store.read("vectors")  # chunks that have none yet are found by words alone
         q = self.spark.createDataFrame([(0, query, vec)], "qid long, query string, embedding array<float>")
         floor = self.embedder.distance_floor if self.embedder else None
         return search.hybrid(chunks, v, q, limit, floor).join(chunks, "chunk_id")
@@ -143,11 +142,15 @@ class Loom:
                 e, s = self.store.read("edges"), self.store.read("symbols")
                 best = {r["symbol_id"]: r["score"] for r in sorted(hits, key=lambda r: r["score"])}
                 found = (
-                    graph.callers(starts, e, s, 1, 10).select("start_id", F.col("caller_id").alias("other"))
-                    .unionByName(graph.callees(starts, e, 1, 10).select("start_id", F.col("dst_id").alias("other")))
-                    .unionByName(graph.imports(starts, e, s).select("start_id", F.col("other_id").alias("other")))
+                    graph.callers(starts, e, s, 1, 10).select("start_id", F.col("caller_id").alias("other"), F.lit(0).alias("way"), F.col("ord").cast("long"))
+                    .unionByName(graph.callees(starts, e, 1, 10).select("start_id", F.col("dst_id").alias("other"), F.lit(1).alias("way"), F.col("ord").cast("long")))
+                    .unionByName(graph.imports(starts, e, s).select("start_id", F.col("other_id").alias("other"), F.when(F.col("direction") == "out", 2).otherwise(3).alias("way"), F.col("edge_id").alias("ord")))
                 )
-                for r in found.where(F.col("other").isNotNull()).limit(20 * len(seeds) + neighbours).collect():
+                rank = self.spark.createDataFrame([(x, k) for k, x in enumerate(seeds)], "start_id long, seed int")
+                near_first = Window.partitionBy("start_id").orderBy("way", "ord")
+                # each seed brings at most as many neighbours as are wanted in all
+                ordered = found.where(F.col("other").isNotNull() & (F.col("other") != -1)).join(rank, "start_id").withColumn("n", F.row_number().over(near_first)).where(F.col("n") <= neighbours)
+                for r in ordered.orderBy("seed", "n").collect():
                     if len(near) < neighbours or r["other"] in near:
                         near[r["other"]] = max(near.get(r["other"], 0.0), NEIGHBOUR_SHARE * best[r["start_id"]])
         s_map = self.spark.createDataFrame([(0, 0.0), *near.items()], "symbol_id long, near double")
