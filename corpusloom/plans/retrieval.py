@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import chunking, graph, metrics, pack, resolve, search, snapshots, vectors
+from corpusloom.operators import chunking, evaluation, graph, metrics, pack, resolve, search, snapshots, vectors
 from corpusloom.session import table
 from corpusloom.sources import extract
 from corpusloom.sources import files as sources
@@ -65,9 +65,9 @@ _LATEST = r"""latest AS (SELECT path, hash FROM (SELECT hash, indexed_at,
     FROM file_snapshots WHERE snapshot_no = (SELECT max(snapshot_no) FROM file_snapshots)) WHERE r = 1 AND path <> '')"""
 
 
-def _latest(spark: SparkSession, d: str) -> DataFrame:
+def _latest(spark: SparkSession, d: str, which=F.max) -> DataFrame:
     snaps = table(spark, d, "file_snapshots")
-    last = snaps.agg(F.max("snapshot_no").alias("n")).first()["n"]
+    last = snaps.agg(which("snapshot_no").alias("n")).first()["n"]
     return snapshots.snapshot_states(snaps.where(F.col("snapshot_no") == last)).select("path", "hash")
 
 
@@ -81,9 +81,10 @@ def reconcile_diff(spark: SparkSession, d: str) -> DataFrame:
     return now.join(was, "path", "full").select("path", outcome.otherwise("unchanged").alias("outcome"))
 
 
-@query(f"WITH {_LATEST} SELECT l.path FROM latest l WHERE l.path NOT IN (SELECT path FROM files)")
+@query(f"""WITH {_LATEST.replace("max(snapshot_no)", "min(snapshot_no)")} SELECT l.path FROM latest l WHERE l.path NOT IN (SELECT path FROM files)""")
 def removed_files(spark: SparkSession, d: str) -> DataFrame:
-    return _latest(spark, d).select("path").join(table(spark, d, "files").select("path"), "path", "left_anti")
+    """Files of the first snapshot that are gone now."""
+    return _latest(spark, d, F.min).select("path").join(table(spark, d, "files").select("path"), "path", "left_anti")
 
 
 # --- scalar functions -------------------------------------------------------------------------------------------------
@@ -484,18 +485,70 @@ def edge_precision_recall(spark: SparkSession, d: str) -> DataFrame:
     return metrics.edge_quality(r, e)
 
 
-@query("""WITH v AS (SELECT CASE WHEN is_late THEN 'late' ELSE 'early' END AS corpus, event_type AS metric, avg(value) / 100 AS value FROM (SELECT *, row_number() OVER (ORDER BY event_id) * 2 > count(*) OVER () AS is_late FROM events) GROUP BY ALL)
-    SELECT 'events' AS corpus, a.metric, round(a.value, 4) AS before, round(b.value, 4) AS now FROM v a JOIN v b USING (metric) WHERE a.corpus = 'early' AND b.corpus = 'late' AND a.value - b.value > 0.02 + 1e-9""")
+@query("""WITH v AS (SELECT is_late, CAST(user_id % 10 AS VARCHAR) AS corpus, event_type AS metric, avg(value) / 100 AS value FROM (SELECT *, row_number() OVER (ORDER BY event_id) * 2 > count(*) OVER () AS is_late FROM events) GROUP BY ALL)
+    SELECT a.corpus, a.metric, round(a.value, 4) AS before, round(b.value, 4) AS now FROM v a JOIN v b USING (corpus, metric) WHERE NOT a.is_late AND b.is_late AND a.value - b.value > 0.02 + 1e-9""")
 def ratchet_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Ten cohorts of users as corpora, the earlier half of their events as baseline of the later."""
     ev = table(spark, d, "events")
     n = ev.count()
     # event ids are consecutive from the least on
     low = ev.agg(F.min("event_id").alias("m")).first()["m"] or 0
     late = (F.col("event_id") - low + 1) * 2 > n
-    v = lambda part: ev.where(part).groupBy("event_type").agg((F.avg("value") / 100).alias("value")).select(F.lit("events").alias("corpus"), F.col("event_type").alias("metric"), "value")
+    v = lambda part: ev.where(part).groupBy((F.col("user_id") % 10).cast("string").alias("corpus"), F.col("event_type").alias("metric")).agg((F.avg("value") / 100).alias("value"))
     return metrics.ratchet(v(~late), v(late)).select("corpus", "metric", F.round("before", 4).alias("before"), F.round("now", 4).alias("now"))
 
 
+_PACKED = f"""{_DEDUPED}, sized AS (SELECT request_id, item_id, content, CAST(floor(length(content) / 4) AS INTEGER) + 20 AS cost, least(coalesce(budget_tokens, 8000), 20000) AS budget,
+        row_number() OVER (PARTITION BY request_id ORDER BY score DESC NULLS LAST, item_id) AS n FROM deduped JOIN explore_calls USING (request_id)),
+    fold AS (SELECT request_id, item_id, content, n, TRUE AS selected, cost AS used FROM sized WHERE n = 1
+        UNION ALL SELECT s.request_id, s.item_id, s.content, s.n, f.used + s.cost <= s.budget, f.used + CASE WHEN f.used + s.cost <= s.budget THEN s.cost ELSE 0 END FROM fold f JOIN sized s ON s.request_id = f.request_id AND s.n = f.n + 1),
+    bundles AS (SELECT request_id, string_agg(content, chr(10) ORDER BY item_id) AS bundle FROM fold WHERE selected GROUP BY request_id),
+    firsts AS (SELECT symbol_id, content FROM (SELECT symbol_id, content, row_number() OVER (PARTITION BY symbol_id ORDER BY start_line, item_id) AS r FROM bundle_items WHERE symbol_id IS NOT NULL AND content IS NOT NULL) WHERE r = 1),
+    places AS (SELECT request_id, symbol_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC NULLS LAST, item_id) AS best, row_number() OVER (PARTITION BY request_id ORDER BY score, item_id) AS worst FROM bundle_items WHERE symbol_id IS NOT NULL AND score IS NOT NULL),
+    want AS (SELECT DISTINCT request_id, symbol_id FROM places WHERE best <= 3), bar AS (SELECT DISTINCT request_id, symbol_id FROM places WHERE worst <= 3),
+    a AS (SELECT w.request_id, bool_and(coalesce(contains(b.bundle, f.content), FALSE)) AS ok FROM want w JOIN bundles b USING (request_id) LEFT JOIN firsts f USING (symbol_id) GROUP BY 1),
+    c AS (SELECT w.request_id, avg(CASE WHEN contains(b.bundle, f.content) THEN 0.0 ELSE 1.0 END) AS clean FROM bar w JOIN bundles b USING (request_id) LEFT JOIN firsts f USING (symbol_id) GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {_PACKED} SELECT b.request_id, coalesce(a.ok, FALSE) AS answer_in_bundle, round(coalesce(c.clean, 1.0), 4) AS bundle_clean
+    FROM bundles b LEFT JOIN a USING (request_id) LEFT JOIN c USING (request_id)""")
+def bundle_quality(spark: SparkSession, d: str) -> DataFrame:
+    """The three best-scored symbols of a request as expected, the three worst as forbidden."""
+    items = table(spark, d, "bundle_items")
+    chosen = pack_greedy(spark, d).where("selected").select("item_id")
+    parts = items.join(chosen, "item_id").groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("item_id", "content"))).alias("a"))
+    bundles = parts.select("request_id", F.array_join("a.content", "\n").alias("bundle"))
+    scored = items.where(F.col("symbol_id").isNotNull() & F.col("score").isNotNull())
+    first = lambda *order: scored.withColumn("r", F.row_number().over(Window.partitionBy("request_id").orderBy(*order))).where("r <= 3").select("request_id", "symbol_id")
+    firsts = evaluation.first_chunks(items.select("symbol_id", "start_line", F.col("item_id").alias("chunk_id"), "content"))
+    return evaluation.bundle_quality(bundles, firsts, first(F.desc("score"), "item_id"), first("score", "item_id"))
+
+
+@query("""WITH hits AS (SELECT request_id AS qid, qualname, row_number() OVER (PARTITION BY request_id ORDER BY score DESC NULLS LAST, item_id) AS rank FROM bundle_items)
+    SELECT qid, qualname, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM hits WHERE rank <= 20 AND qualname IS NOT NULL""")
+def search_eval(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("request_id").orderBy(F.desc_nulls_last("score"), "item_id")
+    return evaluation.ranked_names(table(spark, d, "bundle_items").select(F.col("request_id").alias("qid"), "qualname", F.row_number().over(w).alias("rank")))
+
+
+@query("""WITH m AS (SELECT kind AS name, CAST(max(floor(length(content) / 4)) AS BIGINT) AS value FROM (SELECT b.content, CASE WHEN b.symbol_id IS NULL THEN 'slice' ELSE s.kind END AS kind FROM bundle_items b LEFT JOIN (SELECT id, max(kind) AS kind FROM symbols GROUP BY id) s ON s.id = b.symbol_id) GROUP BY 1)
+    SELECT name, value, CAST(max_tokens AS BIGINT) AS budget FROM m JOIN size_limits ON kind = name WHERE value > max_tokens""")
+def over_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of items whose largest item is above the limit of the kind."""
+    kinds = table(spark, d, "symbols").groupBy(F.col("id").alias("symbol_id")).agg(F.max("kind").alias("kind"))
+    named = table(spark, d, "bundle_items").join(kinds, "symbol_id", "left").withColumn("name", F.when(F.col("symbol_id").isNull(), "slice").otherwise(F.col("kind")))
+    measured = named.groupBy("name").agg(F.max(T.estimate_tokens(F.col("content"))).cast("long").alias("value"))
+    return evaluation.over_budget(measured, table(spark, d, "size_limits").select(F.col("kind").alias("name"), F.col("max_tokens").cast("long").alias("budget")))
+
+
+@query("""SELECT id, 'src/file_' || id || '.' || ['py', 'ts', 'rs'][id % 3 + 1] AS path, CASE id % 3
+    WHEN 0 THEN 'def work_' || id || '(x):' || chr(10) || CASE WHEN id > 0 THEN '    x = work_' || (id - 1) || '(x)' || chr(10) ELSE '' END || '    return x + 1' || chr(10)
+    WHEN 1 THEN 'export function work_' || id || '(x: number): number {' || chr(10) || '  x = work_' || (id - 1) || '(x);' || chr(10) || '  return x + 1;' || chr(10) || '}' || chr(10)
+    ELSE 'pub fn work_' || id || '(x: u64) -> u64 {' || chr(10) || '    let x = work_' || (id - 1) || '(x);' || chr(10) || '    x + 1' || chr(10) || '}' || chr(10) END AS content FROM range(500) t(id)""")
+def synthetic_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.synthetic_files(spark, max(evaluation.SWEEP))
+
+
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
     SELECT event_type, percent, value FROM r, (VALUES (50), (99)) p(percent) WHERE k = round(percent / 100 * (n - 1))""")
 def percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -510,9 +563,12 @@ def embed_backlog(spark: SparkSession, d: str) -> DataFrame:
     return vectors.backlog(table(spark, d, "bundle_items").select(F.col("item_id").alias("chunk_id")), table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id")))
 
 
-@query()
+@query("SELECT item_id AS chunk_id, 256 AS dims, 1.0 AS norm FROM bundle_items WHERE content IS NOT NULL")
 def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.embed(table(spark, d, "bundle_items").select(F.col("item_id").alias("chunk_id"), "content"), vectors.HashEmbedder)
+    """What holds of the vectors of any embedder: one for each content, of its length, of norm 1."""
+    v = vectors.embed(table(spark, d, "bundle_items").select(F.col("item_id").alias("chunk_id"), "content"), vectors.HashEmbedder)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return v.select("chunk_id", F.size("embedding").alias("dims"), F.round(norm, 4).alias("norm"))
 
 
 @query("""SELECT 'files' AS relation, (SELECT count(*) FROM files) AS rows UNION ALL SELECT 'symbols', (SELECT count(DISTINCT id) FROM symbols)
