@@ -30,8 +30,9 @@ def resolve(edges: DataFrame, symbols: DataFrame, touched: DataFrame | None = No
     ``dst_id`` is null and the confidence ``name_only``. Within a tier the caller's file comes first, then the id.
 
     TOUCHED (``name``) limits the work to edges that such names can affect; an edge is resolved once however many of
-    the names it matches. Candidates are summarised per name, arity and file before they are joined, so that a name
-    shared by very many symbols or edges never multiplies; the planner splits the skewed side.
+    the names it matches. Candidates are summarised per name, arity and file, and edges are reduced to their distinct
+    (name, arity, file) before these meet, so that a name shared by very many symbols or edges never multiplies; the
+    edges themselves are joined once, where the planner splits the skewed side.
     """
     s = distinct_symbols(symbols).select("id", "file_id", "name", "qualname", "arity")
     e = distinct_edges(edges).select("id", "src_id", "kind", "dst_name", "dst_arity")
@@ -52,16 +53,20 @@ def resolve(edges: DataFrame, symbols: DataFrame, touched: DataFrame | None = No
         (least("s_file", name, file), {name: "last", file: "src_file"}),
         (least("s_any", name), {name: "last"}),
     ]
+    # what an edge means depends on these columns alone, so each combination is resolved once and the edges meet it once
+    by = ["dst_name", "last", "dst_arity", "src_file"]
+    ways = e.select(*by).distinct()
     for t, keys in tables:
         for k in keys:
             t = t.withColumnRenamed(k, f"_{k}")
         cond = [F.col(v) == F.col(f"_{k}") for k, v in keys.items()]
-        e = e.join(t, cond, "left").drop(*(f"_{k}" for k in keys))
+        ways = ways.join(t, cond, "left").drop(*(f"_{k}" for k in keys))
     exact = F.coalesce("x_file", "x_any")
     by_arity = F.coalesce("a_file", F.when(F.col("n_a_any") <= CROWD, F.col("a_any")))
     by_name = F.coalesce("s_file", F.when(F.col("n_s_any") == 1, F.col("s_any")))
-    return e.select(
-        "id", "src_id", "kind", "dst_name", "dst_arity",
-        F.coalesce(exact, by_arity, by_name).alias("dst_id"),
+    meant = ways.select(
+        *(F.col(c).alias(f"_{c}") for c in by), F.coalesce(exact, by_arity, by_name).alias("dst_id"),
         F.when(exact.isNotNull(), "exact").when(by_arity.isNotNull(), "name_arity").otherwise("name_only").alias("confidence"),
     )
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return e.join(meant, same, "left").select("id", "src_id", "kind", "dst_name", "dst_arity", "dst_id", "confidence")
