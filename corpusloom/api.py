@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import graph, pack, search, vectors
 from corpusloom.operators.index import Store
+from corpusloom.sources.files import read_slice
 
 # Fixed values of the reference: (entries, entry symbols, neighbours, default budget) by size class
 TIERS = {"tiny": (8, 6, 12, 4000), "small": (8, 6, 16, 4000), "medium": (12, 8, 24, 8000)}
@@ -24,10 +25,13 @@ def fence(content: str) -> str:
 
 
 class Loom:
-    """Questions to the index below ROOT. EMBEDDER, if any, has to match the model of the index."""
+    """Questions to the index below ROOT. EMBEDDER, if any, has to match the model of the index.
 
-    def __init__(self, spark: SparkSession, root: str, embedder: vectors.Embedder | None = None):
-        self.spark, self.store, self.embedder = spark, Store(spark, root), embedder
+    FILES (``path, content``), if given, are what lines of a path are opened from; else its chunks are.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, embedder: vectors.Embedder | None = None, files: DataFrame | None = None):
+        self.spark, self.store, self.embedder, self.files = spark, Store(spark, root), embedder, files
 
     def _chunks(self) -> DataFrame:
         f = self.store.read("files").select(F.col("id").alias("file_id"), "path", "lang")
@@ -64,7 +68,9 @@ class Loom:
         """The lines PATH:FIRST-LAST, or the source of a symbol, cut at the budget but never empty."""
         m = re.fullmatch(r"(.*[/.].*):(\d+)-(\d+)", target)
         chunks = self._chunks()
-        if m:
+        if m and self.files is not None:
+            rows = read_slice(self.files, m[1], int(m[2]), int(m[3])).select(F.col("line").alias("start_line"), F.concat("text", F.lit("\n")).alias("content"), F.lit(m[1]).alias("path"))
+        elif m:
             rows = chunks.where((F.col("path") == m[1]) & (F.col("end_line") >= int(m[2])) & (F.col("start_line") <= int(m[3])))
         else:
             found = self._one(target)
@@ -103,18 +109,29 @@ class Loom:
         else:
             cap = graph.IMPACT_CAP if what == "impact" else graph.CALLERS_CAP
             rows = graph.callers(starts, self.store.read("edges"), s, depth, cap).join(name, F.col("caller_id") == F.col("k")).select(
-                "depth", (~F.col("resolved")).alias("open"), F.col("qualname").alias("label"), F.lit(1).alias("times"), "ord"
+                "depth", (~F.col("resolved")).alias("open"), F.col("qualname").alias("label"), F.lit(1).alias("times"), "ord", "caller_id"
             )
         out, used = [], 0
         got = rows.orderBy("depth", "open", "ord").collect()  # capped above
+        full = what == "impact" and len(got) >= graph.IMPACT_CAP or what != "impact" and len(got) >= graph.CALLERS_CAP
         for r in got:
             line = f"{'  ' * r['depth']}{r['label']}{' ×' + str(r['times']) if r['times'] > 1 else ''}{' (unresolved)' if r['open'] else ''}\n"
             if out and used + len(line) // 4 > budget:
                 break
             out.append(line)
             used += len(line) // 4
-        foot = f"affected: {len({r['label'] for r in got})} symbols\n" if what == "impact" else ""
-        return f"{what} of {target}: {sum(r['times'] for r in got)}\n" + "".join(out) + foot
+        foot = self._foot(starts, rows.select("caller_id")) if what == "impact" else ""
+        return f"{what} of {target}: {sum(r['times'] for r in got)}\n" + "".join(out) + ("(more were left out)\n" if full or len(out) < len(got) else "") + foot
+
+    def _foot(self, starts: DataFrame, callers: DataFrame) -> str:
+        """How many symbols and files calls reach, and which modules import the file of the start."""
+        s = self.store.read("symbols")
+        n = callers.join(s.select(F.col("id").alias("caller_id"), "file_id"), "caller_id").agg(F.count_distinct("caller_id").alias("s"), F.count_distinct("file_id").alias("f")).first()
+        into = graph.imports(starts, self.store.read("edges"), s).where(F.col("direction") == "in").select(F.col("other_id").alias("k")).distinct()
+        names = [r["qualname"] for r in into.join(s.select(F.col("id").alias("k"), "qualname"), "k").orderBy("qualname").limit(MOST_LABELS + 1).collect()]
+        more = " and more" if len(names) > MOST_LABELS else ""
+        imported = f"imported by: {', '.join(names[:MOST_LABELS])}{more}\n" if names else ""
+        return f"affected: {n['s']} symbols in {n['f']} files\n{imported}"
 
     def callers(self, symbol: str, depth: int = 1, budget_tokens: int = 4000) -> str:
         return self._tree(symbol, min(max(depth, 1), 3), "callers", budget_tokens)

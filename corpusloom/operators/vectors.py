@@ -35,6 +35,23 @@ class HashEmbedder:
         return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
+def embedder(choice: str | Callable[[], Embedder] | None) -> Callable[[], Embedder] | None:
+    """The factory that CHOICE names: ``mock``, ``none`` (keywords and structure alone), or a factory of one's own.
+
+    A factory that fails stands for none, so that a missing model never keeps an index from working.
+    """
+    if choice in (None, "none"):
+        return None
+    factory = HashEmbedder if choice == "mock" else choice
+    if not callable(factory):
+        raise ValueError(f"no embedder is named {choice}")
+    try:
+        factory()
+    except Exception:  # whatever a model may raise while it loads
+        return None
+    return factory
+
+
 def backlog(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Chunks (``chunk_id``) without a vector."""
     return chunks.join(vectors.select("chunk_id").distinct(), "chunk_id", "left_anti")

@@ -397,6 +397,20 @@ def symbol_lookup(spark: SparkSession, d: str) -> DataFrame:
     return graph.lookup(s, s.where(F.col("id") % 100 == 0).select(F.col("name").alias("target")))
 
 
+@query("""WITH s AS (SELECT id, max_by(name, name || '|' || coalesce(qualname, '')) AS name, max_by(qualname, name || '|' || coalesce(qualname, '')) AS qualname FROM symbols GROUP BY id),
+    t AS (SELECT DISTINCT substr(name, 1, length(name) - 1) AS target FROM s WHERE id % 100 = 0 AND regexp_matches(name, '^\w{4,}$')),
+    lost AS (SELECT target FROM t WHERE target NOT IN (SELECT name FROM s) AND target NOT IN (SELECT qualname FROM s WHERE qualname IS NOT NULL)),
+    n AS (SELECT name, min(struct_pack(qualname := qualname, id := id)) AS q FROM s GROUP BY name),
+    near AS (SELECT target, name, q, contains(lower(name), lower(target)) AS close FROM lost JOIN n ON contains(lower(name), substr(lower(target), 1, 3))),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY length(name), name) AS r FROM near QUALIFY close = bool_or(close) OVER (PARTITION BY target))
+    SELECT target, 'suggestion' AS outcome, q.id AS symbol_id, q.qualname AS qualname FROM kept QUALIFY row_number() OVER (PARTITION BY target ORDER BY length(name), name) <= 5""")
+def symbol_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """Names of which the last letter is missing: what is suggested for them."""
+    s = table(spark, d, "symbols")
+    cut_off = s.where((F.col("id") % 100 == 0) & F.col("name").rlike(r"^\w{4,}$")).select(F.expr("substr(name, 1, length(name) - 1)").alias("target"))
+    return graph.lookup(s, cut_off).where(F.col("outcome").isin("suggestion", "not_found"))
+
+
 # --- packing ----------------------------------------------------------------------------------------------------------
 
 _DEDUPED = """deduped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, chunk_id ORDER BY score DESC NULLS LAST, item_id) AS r FROM bundle_items WHERE chunk_id IS NOT NULL AND chunk_id <> -1) WHERE r = 1

@@ -42,14 +42,19 @@ def file_class(path: Column, content: Column) -> Column:
     )
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """The regular files below ROOT with ``path`` (relative), ``content`` and ``hash``, without version control data."""
+def read_tree(spark: SparkSession, root: str, tracked: bool = False) -> DataFrame:
+    """The regular files below ROOT with ``path`` (relative), ``content`` and ``hash``, without version control data.
+
+    TRACKED leaves out what is ignored (:func:`tracked_paths`, a walk of the driver over a local tree): contents of other
+    files are not read on.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = Path(root).resolve().as_uri().rstrip("/") + "/"
     path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:///"), "^" + base.replace(".", r"\."), "")
-    return df.select(path.alias("path"), "content", F.unhex(F.sha2("content", 256)).alias("hash")).where(
-        ~F.concat(F.lit("/"), F.col("path")).rlike(r"/\.git/")
-    )
+    files = df.select(path.alias("path"), "content").where(~F.concat(F.lit("/"), F.col("path")).rlike(r"/\.git/"))
+    if tracked:
+        files = files.join(spark.createDataFrame([(p,) for p in tracked_paths(root)], "path string"), "path", "left_semi")
+    return files.select("path", "content", F.unhex(F.sha2("content", 256)).alias("hash"))
 
 
 def tracked_paths(root: str) -> list[str]:

@@ -152,7 +152,9 @@ def test_operations(spark, tmp_path):
     assert "app.a.parse_line" in loom.search("parse_line").splitlines()[0]
     assert loom.search("zzz") == "No match.\n"
     assert "app.a.parse_line" in loom.callers("split_words") and "app.b.split_words" in loom.callees("app.a.parse_line")
-    assert "affected: 2 symbols" in loom.impact("split_words")
+    assert "affected: 2 symbols in 2 files" in loom.impact("split_words")
+    sliced = Loom(spark, str(tmp_path), files=files(spark, texts))
+    assert sliced.open("app/a.py:2-2") == fence("    return split_words(x)\n") and "not found" in sliced.open("../app/a.py:1-2")
     assert "return x.split()" in loom.open("split_words") and "was not found" in loom.open("nope")
     assert "split_words" in loom.explore("where is parse_line")
     assert "files: 3" in loom.status()
