@@ -397,7 +397,7 @@ def symbol_lookup(spark: SparkSession, d: str) -> DataFrame:
     return graph.lookup(s, s.where(F.col("id") % 100 == 0).select(F.col("name").alias("target")))
 
 
-@query("""WITH s AS (SELECT id, max_by(name, name || '|' || coalesce(qualname, '')) AS name, max_by(qualname, name || '|' || coalesce(qualname, '')) AS qualname FROM symbols GROUP BY id),
+@query(r"""WITH s AS (SELECT id, max_by(name, name || '|' || coalesce(qualname, '')) AS name, max_by(qualname, name || '|' || coalesce(qualname, '')) AS qualname FROM symbols GROUP BY id),
     t AS (SELECT DISTINCT substr(name, 1, length(name) - 1) AS target FROM s WHERE id % 100 = 0 AND regexp_matches(name, '^\w{4,}$')),
     lost AS (SELECT target FROM t WHERE target NOT IN (SELECT name FROM s) AND target NOT IN (SELECT qualname FROM s WHERE qualname IS NOT NULL)),
     n AS (SELECT name, min(struct_pack(qualname := qualname, id := id)) AS q FROM s GROUP BY name),
