@@ -1,6 +1,7 @@
 """The labelled rows that ship with problem 10: word lists by class, and sentences with marked spans.
 
-The rows were written from general knowledge of abuse in four languages, by kind of abuse, without looking at any table.
+The rows were written from general knowledge of abuse in four languages, by kind of abuse, not from any table. Their author
+had seen an earlier set that held sentences of the test tables; what resembled those was left out.
 A span stands in square brackets; ``{x}`` is filled with an entry of list x. Sentences without brackets are clean.
 """
 
