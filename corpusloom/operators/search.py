@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from corpusloom.functions import text as T
 from corpusloom.session import cut
@@ -18,6 +21,8 @@ RRF_K, CANDIDATES = 60, 50
 TEST_PRIOR, MODULE_PRIOR, SHORT_PRIOR, SHORT_TOKENS = 0.4, 0.7, 0.7, 32
 #: Query vectors that are compared at once; larger query sets are cut into such blocks.
 QUERY_BLOCK = 4096
+#: Queries of keyword search that are looked up at once, and postings that a task holds.
+KEYWORD_BLOCK, BLOCK_POSTINGS = 100_000, 4_000_000
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -34,46 +39,178 @@ def _top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _bm25(tf: Column, df: Column, doc_len: Column, n: Column, avg_len: Column) -> Column:
-    idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / avg_len))
-
-
-def _pairs(w: Column) -> Column:
-    """Neighbouring terms of the list W, joined by ``_``."""
-    return F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit("_"), b))).otherwise(
-        F.array().cast("array<string>")
-    )
-
-
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """The K best chunks of each query (``qid, query``): ``qid, chunk_id, score, rank``, ties by chunk id.
 
-    A word of several terms (joined by ``_``) is a phrase: its terms have to follow each other. A phrase of n terms
-    stands where its n - 1 pairs of neighbours do, so each position is looked up by its term and its pair, whatever the
-    length of phrases. Chunks are read once for their length and once for the postings.
+    A word of several terms (joined by ``_``) is a phrase: its terms have to follow each other. Queries are a stated set,
+    cut into blocks of KEYWORD_BLOCK. For a block, each chunk becomes one row of numbers, its phrases and their counts;
+    these rows are dealt by chunk id to tasks that hold about BLOCK_POSTINGS of them. A task adds up the scores of its
+    chunks in memory and returns the K best per query, so what is shuffled is postings and K rows per query and task,
+    never a row per query and chunk.
     """
     asked = queries.select("qid", F.explode(T.query_terms(F.col("query"))).alias("word")).select(
         "qid", F.array_join(T.terms(F.col("word")), "_").alias("phrase")
     ).where(F.col("phrase") != "").distinct()
     words = chunks.where(F.col("content").isNotNull()).select("chunk_id", T.terms(F.col("content")).alias("w"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg_len")).first()  # one row
-    w = F.split("phrase", "_")
-    wanted = asked.select("phrase").distinct().select(
-        "phrase", F.size(w).alias("n"), F.posexplode(F.when(F.size(w) == 1, w).otherwise(_pairs(w))).alias("off", "gram")
-    )
-    at = words.select("chunk_id", F.size("w").alias("doc_len"), F.posexplode(F.concat("w", _pairs(F.col("w")))).alias("pos", "gram"))
-    start = F.when(F.col("n") == 1, F.lit(0)).otherwise(F.col("pos") - F.col("off"))
-    hits = at.join(wanted, "gram").groupBy("chunk_id", "doc_len", "phrase", "n", start.alias("start")).agg(F.count("*").alias("c"))
-    times = F.when(F.col("n") == 1, F.col("c")).otherwise((F.col("c") == F.col("n") - 1).cast("long"))
-    tf = cut(hits.groupBy("chunk_id", "doc_len", "phrase").agg(F.sum(times).alias("tf")).where(F.col("tf") > 0))  # read twice
-    df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
-    n, avg_len = F.lit(stats["n"]), F.lit(float(stats["avg_len"] or 1.0))
-    scored = tf.join(df, "phrase").join(asked, "phrase").select(
-        "qid", "chunk_id", _bm25(F.col("tf"), F.col("df"), F.col("doc_len"), n, avg_len).alias("s")
-    )
-    total = scored.groupBy("qid", "chunk_id").agg(F.round(F.sum("s"), 9).alias("score"))
-    return _top(total, k, F.desc("score"), F.asc("chunk_id")).select("qid", "chunk_id", "score", "rank")
+    blocks = max(1, -(-queries.count() // KEYWORD_BLOCK))
+    parts = [_keyword(words, asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b), k) for b in range(blocks)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return _top(out, k, F.desc("score"), F.asc_nulls_last("chunk_id")).select("qid", "chunk_id", "score", "rank")
+
+
+def _keyword(words: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The K best chunks of WORDS (``chunk_id, w``) in each task for each query of ASKED (``qid, phrase``): ``qid, chunk_id, score``."""
+    spark, chunk_id = words.sparkSession, StructField("chunk_id", words.schema["chunk_id"].dataType)
+    held = asked.toArrow()  # at most the phrases of about KEYWORD_BLOCK queries
+    phrase, qid = (held.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in ("phrase", "qid"))
+    phrases, qids = phrase.dictionary.to_pylist(), qid.dictionary
+    of, has = qid.indices.to_numpy(zero_copy_only=False), phrase.indices.to_numpy(zero_copy_only=False)
+    order = np.lexsort((has, of))
+    has, bounds = has[order], np.searchsorted(of[order], np.arange(len(qids) + 1))
+    ints = ArrayType(IntegerType())
+    rows = cut(words.mapInArrow(_numbered(phrases), StructType([chunk_id, StructField("doc_len", IntegerType()), StructField("phrases", ints), StructField("tfs", ints)])))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"), F.sum(F.size("phrases")).alias("postings")).first()  # one row
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(stats["postings"] or 0) // BLOCK_POSTINGS))
+    dealt = cut(rows.where(F.size("phrases") > 0).repartition(tasks, "chunk_id"))  # read twice
+    counted = dealt.mapInArrow(_frequencies, "phrase int, df long").groupBy("phrase").agg(F.sum("df").alias("df")).toArrow()  # a row per phrase
+    df = np.zeros(len(phrases))
+    df[counted.column("phrase").to_numpy()] = counted.column("df").to_numpy()
+    idf = np.maximum(np.log((stats["n"] - df + 0.5) / (df + 0.5)), IDF_FLOOR)
+    best = _best(idf, float(stats["avg_len"] or 1.0), qids, bounds, has, k)
+    return dealt.mapInArrow(best, StructType([StructField("qid", asked.schema["qid"].dataType), chunk_id, StructField("score", DoubleType())]))
+
+
+def _numbered(phrases: list[str]):
+    """Words of chunks to the numbers of the PHRASES in them, and how often each stands there."""
+    terms: dict[str, int] = {}
+    step: dict[tuple[int, int], int] = {}
+    end = [-1]  # the phrase that ends in a state of the trie
+    for i, p in enumerate(phrases):
+        at = 0
+        for t in p.split("_"):
+            at = step.setdefault((at, terms.setdefault(t, len(terms))), len(end))
+            if at == len(end):
+                end.append(-1)
+        end[at] = i
+    keys = np.array([s * len(terms) + t for s, t in step], dtype=np.int64)
+    order = np.argsort(keys)
+    keys, to, ends, known = keys[order], np.array([*step.values()], dtype=np.int64)[order], np.array(end), pa.array([*terms], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = batch.column("w")
+            sizes, flat = pc.list_value_length(w).to_numpy(zero_copy_only=False).astype(np.int64), w.flatten()
+            ids = pc.fill_null(pc.index_in(flat, value_set=known.cast(flat.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            stop = np.cumsum(sizes)
+            here = np.flatnonzero(ids >= 0)
+            row, at = np.searchsorted(stop, here, side="right"), np.zeros(len(here), dtype=np.int64)
+            found = [np.zeros(0, dtype=np.int64)]
+            while len(here):
+                key = at * len(terms) + ids[here]
+                j = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                ok = keys[j] == key
+                here, row, at = here[ok] + 1, row[ok], to[j[ok]]
+                done = ends[at] >= 0
+                found.append(row[done] * len(phrases) + ends[at[done]])
+                ok = here < stop[row]
+                here, row, at = here[ok], row[ok], at[ok]
+                ok = ids[here] >= 0
+                here, row, at = here[ok], row[ok], at[ok]
+            codes, tf = np.unique(np.concatenate(found), return_counts=True)
+            row, phrase = np.divmod(codes, max(1, len(phrases)))
+            offsets = pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (phrase, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), pa.array(sizes, pa.int32()), *lists], ["chunk_id", "doc_len", "phrases", "tfs"])
+
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """The chunk ids of a task in order; and by phrase and chunk: phrase, number of the chunk, its length, count.
+
+    Rows of one id and length are one chunk.
+    """
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return None
+    t = pa.Table.from_batches(held).combine_chunks()
+    ids, phrases, tfs = (pa.concat_arrays(t.column(c).chunks) for c in ("chunk_id", "phrases", "tfs"))
+    order = pc.array_sort_indices(ids, null_placement="at_end")
+    coded = ids.take(order).dictionary_encode(null_encoding="encode")
+    doc = np.empty(len(ids), dtype=np.int32)
+    doc[order.to_numpy()] = coded.indices.to_numpy()
+    sizes = pc.list_value_length(phrases).to_numpy()
+    phrase, tf = phrases.flatten().to_numpy(), tfs.flatten().to_numpy()
+    doc, length = np.repeat(doc, sizes), np.repeat(t.column("doc_len").to_numpy(), sizes)
+    by = np.lexsort((length, doc, phrase))
+    phrase, doc, length, tf = phrase[by], doc[by], length[by], tf[by]
+    first = _firsts(phrase, doc, length)
+    return coded.dictionary, phrase[first], doc[first], length[first], np.add.reduceat(tf, first, dtype=np.int64)
+
+
+def _firsts(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where a new combination begins."""
+    new = np.ones(len(sorted_by[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_by])
+    return np.flatnonzero(new)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many chunks of a task each phrase stands."""
+    if got := _gathered(batches):
+        phrase, df = np.unique(got[1], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(phrase, pa.int32()), pa.array(df, pa.int64())], ["phrase", "df"])
+
+
+def _best(idf: np.ndarray, avg_len: float, qids: pa.Array, bounds: np.ndarray, has: np.ndarray, k: int):
+    """The K best chunks of a task for each query; query q has the phrases HAS[BOUNDS[q]:BOUNDS[q + 1]]."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (got := _gathered(batches)):
+            return
+        ids, phrase, doc, length, tf = got
+        part = idf[phrase] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len))
+        first = _firsts(phrase, doc)  # one chunk id may have rows of several lengths
+        phrase, doc, part = phrase[first], doc[first], np.add.reduceat(part, first)
+        at = np.searchsorted(phrase, np.arange(len(idf) + 1))
+        total, rows = np.zeros(len(ids)), []
+        for q in range(len(qids)):
+            own = [slice(at[p], at[p + 1]) for p in has[bounds[q] : bounds[q + 1]] if at[p] < at[p + 1]]
+            if not own:
+                continue
+            if len(own) == 1:
+                docs, score = doc[own[0]], part[own[0]]
+            else:
+                for x in own:
+                    total[doc[x]] += part[x]
+                hits = []
+                for x in own:  # each chunk once, and TOTAL is zero again
+                    d = doc[x]
+                    d = d[total[d] > 0]
+                    hits.append((d, total[d]))
+                    total[d] = 0
+                docs, score = (np.concatenate(x) for x in zip(*hits, strict=True))
+            score = np.floor(score * 1e9 + 0.5) / 1e9
+            if len(score) > k:
+                some = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+                some = some[np.lexsort((docs[some], -score[some]))[:k]]
+                docs, score = docs[some], score[some]
+            rows.append((q, docs, score))
+            if len(rows) == 1000:
+                yield _hits(rows, qids, ids)
+                rows = []
+        if rows:
+            yield _hits(rows, qids, ids)
+
+    return run
+
+
+def _hits(rows: list[tuple[int, np.ndarray, np.ndarray]], qids: pa.Array, ids: pa.Array) -> pa.RecordBatch:
+    q = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])
+    docs, score = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
+    return pa.RecordBatch.from_arrays([qids.take(pa.array(q)), ids.take(pa.array(docs)), pa.array(score)], ["qid", "chunk_id", "score"])
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:

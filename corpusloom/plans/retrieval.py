@@ -194,6 +194,11 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """What keyword search needs of the chunks; nothing is joined."""
+    return table(spark, d, "bundle_items").select(F.col("item_id").alias("chunk_id"), "content")
+
+
 def _questions(spark: SparkSession, d: str) -> DataFrame:
     """The stated query set: the words of the name of every symbol whose id is divisible by 100."""
     s = table(spark, d, "symbols").where(F.col("id") % 100 == 0)
@@ -215,14 +220,14 @@ _Q_NAMES = _BM25.replace("{0}", "id").replace("{1}", "name").replace("{2}", "(SE
 
 @query(f"WITH {_Q_QUESTIONS} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM keyword")
 def bm25_top50(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.bm25(_chunks(spark, d).select("chunk_id", "content"), _questions(spark, d))
+    hits = search.bm25(_texts(spark, d), _questions(spark, d))
     return hits.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {_Q_NAMES} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM keyword")
 def bm25_phrases(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "symbols").where(F.col("id") % 100 == 0).select(F.col("id").alias("qid"), F.col("name").alias("query")).distinct()
-    hits = search.bm25(_chunks(spark, d).select("chunk_id", "content"), names)
+    hits = search.bm25(_texts(spark, d), names)
     return hits.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import collections
 import hashlib
 import math
 import random
@@ -101,6 +102,50 @@ def test_bm25_compares_whole_phrases(spark):
     assert sorted((r.qid, r.chunk_id) for r in search.bm25(df, q).collect()) == [(0, 1), (1, 2)]
 
 
+def shuffled_rows(spark):
+    """Rows that all stages so far have written to a shuffle."""
+    sc, jvm = spark.sparkContext, spark._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_bm25_shuffles_no_row_per_query_and_chunk(spark):
+    df = spark.range(4000).select(F.col("id").alias("chunk_id"), F.lit("alpha beta").alias("content"))
+    q = spark.range(100).select(F.col("id").alias("qid"), F.lit("alpha beta").alias("query"))
+    before = shuffled_rows(spark)
+    got = search.bm25(df, q).collect()
+    assert len(got) == 5000 and {r.chunk_id for r in got} == set(range(50))
+    assert shuffled_rows(spark) - before < 100_000  # 400,000 hits
+
+
+def test_bm25_in_blocks_with_repeated_and_missing_ids(spark, monkeypatch):
+    monkeypatch.setattr(search, "KEYWORD_BLOCK", 4)
+    monkeypatch.setattr(search, "BLOCK_POSTINGS", 5)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(25)]), " ".join(rng.choices("abcd", k=rng.randint(0, 6)))) for _ in range(60)]
+    asks = [(i, " ".join(rng.choice(["a", "b", "a_b", "b_c_d", "d", "zz"]) for _ in range(rng.randint(0, 3)))) for i in range(12)]
+    tf = collections.Counter()
+    for i, t in rows:
+        w = t.split()
+        for p in ("a", "b", "d", "a_b", "b_c_d"):
+            tf[i, len(w), p] += sum(w[j : j + len(p.split("_"))] == p.split("_") for j in range(len(w)))
+    tf = {x: n for x, n in tf.items() if n}
+    df = collections.Counter(p for _, _, p in tf)
+    avg = sum(len(t.split()) for _, t in rows) / len(rows)
+    want = set()
+    for q, ask in asks:
+        total = collections.Counter()
+        for (i, size, p), n in tf.items():
+            if p in ask.split():
+                total[i] += max(1e-6, math.log((len(rows) - df[p] + 0.5) / (df[p] + 0.5))) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size / avg))
+        best = sorted(total, key=lambda i: (-round(total[i], 9), i is None, i))[:7]
+        want |= {(q, i, round(total[i], 6), rank) for rank, i in enumerate(best, 1)}
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string")
+    got = search.bm25(chunks, spark.createDataFrame(asks, "qid long, query string"), 7)
+    assert {(r.qid, r.chunk_id, round(r.score, 6), r.rank) for r in got.collect()} == want
+
+
 def T_words(t):
     return [w for w in t.replace("_", " ").split() if w]
 
