@@ -280,7 +280,7 @@ def _hybrid(spark: SparkSession, d: str) -> DataFrame:
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     q = _questions(spark, d)
-    keyword = search.bm25(_chunks(spark, d).select("chunk_id", "content"), q)
+    keyword = search.bm25(_texts(spark, d), q)
     near = search.knn(v, q.join(v.select(F.col("chunk_id").alias("qid"), "embedding"), "qid"))
     return search.fuse(keyword, near).select("qid", "chunk_id", F.round("score", 6).alias("score"))
 

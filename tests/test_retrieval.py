@@ -146,6 +146,18 @@ def test_bm25_in_blocks_with_repeated_and_missing_ids(spark, monkeypatch):
     assert {(r.qid, r.chunk_id, round(r.score, 6), r.rank) for r in got.collect()} == want
 
 
+def test_rrf_fuse_shuffles_no_row_per_query_and_chunk(spark, tmp_path):
+    items = spark.range(4000).select(F.col("id").alias("item_id"), F.lit(0).alias("symbol_id"), F.lit("a.py").alias("path"), F.lit("alpha beta").alias("content"))
+    symbols = spark.range(100).select((F.col("id") * 100).alias("id"), F.lit("alpha_beta").alias("name"), F.lit("function").alias("kind"))
+    vectors = spark.createDataFrame([(0, [1.0]), (9000, [0.5])], "vec_id long, embedding array<float>")
+    for name, df in (("bundle_items", items), ("symbols", symbols), ("embeddings", vectors)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    before = shuffled_rows(spark)
+    got = {(r.qid, r.chunk_id): r.score for r in retrieval.rrf_fuse(spark, str(tmp_path)).collect()}
+    assert len(got) == 5002 and got[0, 0] == round(2 / 60, 6) and got[9000, 9000] == round(1 / 60, 6) and got[100, 49] == round(1 / 109, 6)
+    assert shuffled_rows(spark) - before < 100_000  # 400,000 hits
+
+
 def T_words(t):
     return [w for w in t.replace("_", " ").split() if w]
 
