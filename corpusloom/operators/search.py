@@ -281,32 +281,41 @@ def candidates(keyword: DataFrame, nearest: DataFrame, floor: float | None) -> t
     return kept.select("qid", "chunk_id", "distance", F.row_number().over(w).alias("rank")), outcome
 
 
-def prior(kind: Column, path: Column, lang: Column, content: Column, tokens: Column, wants_tests: Column) -> Column:
+def prior(kind: Column, test: Column, tokens: Column, wants_tests: Column) -> Column:
     """The product of what speaks against a chunk: tests (unless wanted), module level, very short."""
-    test = (T.is_test_path(path) | F.coalesce(T.inline_tests(lang, content), F.lit(False))) & ~wants_tests
     return (
-        F.when(test, TEST_PRIOR).otherwise(1.0)
+        F.when(test & ~wants_tests, TEST_PRIOR).otherwise(1.0)
         * F.when(kind == "module", MODULE_PRIOR).otherwise(1.0)
         * F.when(tokens < SHORT_TOKENS, SHORT_PRIOR).otherwise(1.0)
     )
 
 
-def rerank(fused: DataFrame, chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+def rerank(fused: DataFrame, chunks: DataFrame, queries: DataFrame, limit: int, kinds: DataFrame | None = None) -> DataFrame:
     """Fused hits times their priors, the LIMIT best of each query: ``qid, chunk_id, score, rank``.
 
-    CHUNKS has ``chunk_id, path, lang, kind, content, token_count``. Priors act before the cut. Only candidates (at
-    most twice CANDIDATES per query) meet the contents.
+    CHUNKS has ``chunk_id, path, lang, kind, content, token_count``, or ``symbol_id`` in place of ``kind`` where KINDS
+    (``symbol_id, kind``) are given. Priors act before the cut. What they need of a content is one flag, so no content is
+    shuffled.
     """
     asked = queries.select("qid", T.seeks_tests(F.col("query")).alias("wants_tests"))
-    p = prior(F.col("kind"), F.col("path"), F.col("lang"), F.col("content"), F.col("token_count"), F.col("wants_tests"))
-    scored = fused.join(chunks, "chunk_id").join(asked, "qid").select("qid", "chunk_id", F.round(F.col("score") * p, 9).alias("score"))
+    test = T.is_test_path(F.col("path")) | F.coalesce(T.inline_tests(F.col("lang"), F.col("content")), F.lit(False))
+    about = chunks.select("chunk_id", "kind" if kinds is None else "symbol_id", "token_count", test.alias("test"))
+    if kinds is not None:
+        about = about.join(kinds, "symbol_id", "left")
+    p = prior(F.col("kind"), F.col("test"), F.col("token_count"), F.col("wants_tests"))
+    scored = fused.join(about, "chunk_id").join(asked, "qid").select("qid", "chunk_id", F.round(F.col("score") * p, 9).alias("score"))
     return _top(scored, limit, F.desc("score"), F.asc("chunk_id")).select("qid", "chunk_id", "score", "rank")
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 10, floor: float | None = None) -> DataFrame:
-    """Hybrid search: ``qid, chunk_id, score, rank, outcome``. QUERIES are ``qid, query, embedding`` (null: keyword only)."""
-    keyword = bm25(chunks, queries)
-    nearest = knn(vectors, queries)
+def hybrid(
+    chunks: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 10, floor: float | None = None, kinds: DataFrame | None = None
+) -> DataFrame:
+    """Hybrid search: ``qid, chunk_id, score, rank, outcome``. QUERIES are ``qid, query, embedding`` (null: keyword only).
+
+    Both lists are read several times, so each is made once and held, as K rows per query. KINDS as in ``rerank``.
+    """
+    keyword = cut(bm25(chunks.select("chunk_id", "content"), queries))
+    nearest = cut(knn(vectors, queries))
     near, outcome = candidates(keyword, nearest, floor)
-    hits = rerank(fuse(keyword, near), chunks, queries, limit)
+    hits = rerank(fuse(keyword, near), chunks, queries, limit, kinds)
     return hits.join(outcome, "qid", "left").select("qid", "chunk_id", "score", "rank", F.coalesce("outcome", F.lit("strong")).alias("outcome"))

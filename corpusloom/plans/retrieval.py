@@ -188,15 +188,14 @@ def container_skeletons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    kinds = table(spark, d, "symbols").groupBy(F.col("id").alias("symbol_id")).agg(F.max("kind").alias("kind"))
-    return table(spark, d, "bundle_items").join(kinds, "symbol_id", "left").select(
-        F.col("item_id").alias("chunk_id"), "path", sources.language(F.col("path")).alias("lang"), "kind", "content", T.estimate_tokens(F.col("content")).alias("token_count"), "symbol_id"
+    """The chunks; their kinds are those of their symbols."""
+    return table(spark, d, "bundle_items").select(
+        F.col("item_id").alias("chunk_id"), "path", sources.language(F.col("path")).alias("lang"), "content", T.estimate_tokens(F.col("content")).alias("token_count"), "symbol_id"
     )
 
 
-def _texts(spark: SparkSession, d: str) -> DataFrame:
-    """What keyword search needs of the chunks; nothing is joined."""
-    return table(spark, d, "bundle_items").select(F.col("item_id").alias("chunk_id"), "content")
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "symbols").groupBy(F.col("id").alias("symbol_id")).agg(F.max("kind").alias("kind"))
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
@@ -220,14 +219,14 @@ _Q_NAMES = _BM25.replace("{0}", "id").replace("{1}", "name").replace("{2}", "(SE
 
 @query(f"WITH {_Q_QUESTIONS} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM keyword")
 def bm25_top50(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.bm25(_texts(spark, d), _questions(spark, d))
+    hits = search.bm25(_chunks(spark, d).select("chunk_id", "content"), _questions(spark, d))
     return hits.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {_Q_NAMES} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM keyword")
 def bm25_phrases(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "symbols").where(F.col("id") % 100 == 0).select(F.col("id").alias("qid"), F.col("name").alias("query")).distinct()
-    hits = search.bm25(_texts(spark, d), names)
+    hits = search.bm25(_chunks(spark, d).select("chunk_id", "content"), names)
     return hits.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -273,14 +272,14 @@ _HYBRID = f"""WITH {_Q_QUESTIONS}, {_VEC_SQL},
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     q = _questions(spark, d).join(v.select(F.col("chunk_id").alias("qid"), "embedding"), "qid", "left")
-    return search.hybrid(_chunks(spark, d), v, q)
+    return search.hybrid(_chunks(spark, d), v, q, kinds=_kinds(spark, d))
 
 
 @query(f"""WITH {_Q_QUESTIONS}, {_VEC_SQL} SELECT qid, chunk_id, round(sum(1.0 / (59 + rank)), 6) AS score FROM (SELECT qid, chunk_id, rank FROM keyword UNION ALL SELECT qid, chunk_id, rank FROM near) GROUP BY qid, chunk_id""")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     q = _questions(spark, d)
-    keyword = search.bm25(_texts(spark, d), q)
+    keyword = search.bm25(_chunks(spark, d).select("chunk_id", "content"), q)
     near = search.knn(v, q.join(v.select(F.col("chunk_id").alias("qid"), "embedding"), "qid"))
     return search.fuse(keyword, near).select("qid", "chunk_id", F.round("score", 6).alias("score"))
 

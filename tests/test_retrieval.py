@@ -158,6 +158,25 @@ def test_rrf_fuse_shuffles_no_row_per_query_and_chunk(spark, tmp_path):
     assert shuffled_rows(spark) - before < 100_000  # 400,000 hits
 
 
+def test_hybrid_makes_each_list_once(spark, monkeypatch):
+    made, cut = [], search.cut
+    monkeypatch.setattr(search, "cut", lambda df: made.append(df.columns) or cut(df))
+    chunks = spark.createDataFrame(
+        [(1, "tests/a.py", "python", "alpha", 90, 7), (2, "b.py", "python", "alpha", 90, 7), (3, "c.py", "python", "alpha", 90, 8)],
+        "chunk_id long, path string, lang string, content string, token_count int, symbol_id long",
+    )
+    kinds = spark.createDataFrame([(7, "function"), (8, "module")], "symbol_id long, kind string")
+    v = spark.createDataFrame([(3, [1.0])], "chunk_id long, embedding array<float>")
+    q = spark.createDataFrame([(0, "alpha", [1.0]), (1, "alpha tests", None)], "qid long, query string, embedding array<float>")
+    got = search.hybrid(chunks, v, q, kinds=kinds)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and "MapInArrow" not in plan
+    assert ["qid", "chunk_id", "score", "rank"] in made and ["qid", "chunk_id", "distance", "rank"] in made
+    want = {(0, 1, round(0.4 / 60, 9)), (0, 2, round(1 / 61, 9)), (0, 3, round(0.7 * round(1 / 62 + 1 / 60, 9), 9))}
+    want |= {(1, 1, round(1 / 60, 9)), (1, 2, round(1 / 61, 9)), (1, 3, round(0.7 * round(1 / 62, 9), 9))}
+    assert {(r.qid, r.chunk_id, r.score) for r in got.collect()} == want
+
+
 def T_words(t):
     return [w for w in t.replace("_", " ").split() if w]
 
