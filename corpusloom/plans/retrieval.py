@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -217,10 +217,15 @@ _Q_QUESTIONS = _BM25.replace("{0}", "id").replace("{1}", "replace(name, '_', ' '
 _Q_NAMES = _BM25.replace("{0}", "id").replace("{1}", "name").replace("{2}", "(SELECT DISTINCT id, name FROM symbols WHERE id % 100 = 0)")
 
 
+def _round6(x: Column) -> Column:
+    """X, not negative, at six decimals as SQL rounds it: by the product in binary, not by the decimal digits."""
+    return F.floor(x * 1e6 + 0.5) / 1e6
+
+
 @query(f"WITH {_Q_QUESTIONS} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM keyword")
 def bm25_top50(spark: SparkSession, d: str) -> DataFrame:
     hits = search.bm25(_chunks(spark, d).select("chunk_id", "content"), _questions(spark, d))
-    return hits.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return hits.select("qid", "chunk_id", _round6(F.col("score")).alias("score"), "rank")
 
 
 @query(f"WITH {_Q_NAMES} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM keyword")

@@ -146,6 +146,11 @@ def test_bm25_in_blocks_with_repeated_and_missing_ids(spark, monkeypatch):
     assert {(r.qid, r.chunk_id, round(r.score, 6), r.rank) for r in got.collect()} == want
 
 
+def test_scores_are_rounded_as_in_sql(spark):
+    x = spark.createDataFrame([(16.2627395,), (0.0,), (1.5,)], "x double").select(retrieval._round6(F.col("x")).alias("y"))
+    assert [r.y for r in x.collect()] == [16.262739, 0.0, 1.5]
+
+
 def test_rrf_fuse_shuffles_no_row_per_query_and_chunk(spark, tmp_path):
     items = spark.range(4000).select(F.col("id").alias("item_id"), F.lit(0).alias("symbol_id"), F.lit("a.py").alias("path"), F.lit("alpha beta").alias("content"))
     symbols = spark.range(100).select((F.col("id") * 100).alias("id"), F.lit("alpha_beta").alias("name"), F.lit("function").alias("kind"))
